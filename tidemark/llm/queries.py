@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe
+from tidemark.llm import byte_bpe, token_store
+from tidemark.llm._shared import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every whole text of ``documents`` as token files, and read them back."""
+    path = new_folder(spark, "tokens")
+    token_store.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_store.read(spark, path)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
     return byte_bpe.round_trip(
@@ -23,7 +31,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op6_byte_bpe,)}
+    return {f.__name__: f for f in (op1_token_store, op6_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
