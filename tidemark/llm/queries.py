@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, token_store
+from tidemark.llm import byte_bpe, decontamination, token_store
 from tidemark.llm._shared import new_folder
 
 
@@ -22,6 +22,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every ``benchmark`` window in every whole text of ``documents``."""
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
     return byte_bpe.round_trip(
@@ -31,9 +36,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op6_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op6_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that SQL can express on whole tables."""
-    return {}
+    return {"op3_decontamination": decontamination.ORACLE_SQL}
