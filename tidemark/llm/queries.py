@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, decontamination, token_store
+from tidemark.llm import byte_bpe, decontamination, quality_rules, token_store
 from tidemark.llm._shared import new_folder
 
 
@@ -34,9 +34,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and robust outliers over every whole text of ``documents``."""
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op6_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op6_byte_bpe, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
