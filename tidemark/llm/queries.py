@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, decontamination, quality_rules, token_store
+from tidemark.llm import byte_bpe, decontamination, quality_rules, token_store, warc
 from tidemark.llm._shared import new_folder
 
 
@@ -34,6 +34,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a WARC record, and read all records back through the index."""
+    return warc.read(warc.write(_table(spark, sf_dir, "pages")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and robust outliers over every whole text of ``documents``."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
@@ -41,9 +46,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op6_byte_bpe, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op6_byte_bpe, op7_warc, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that SQL can express on whole tables."""
-    return {"op3_decontamination": decontamination.ORACLE_SQL}
+    return {"op3_decontamination": decontamination.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
