@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, quality_rules, token_store, warc
+from tidemark.llm import byte_bpe, decontamination, quality_rules, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder
 
 
@@ -27,6 +28,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text of ``documents``, learning from the labels that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.tag(docs, model).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
     return byte_bpe.round_trip(
@@ -46,7 +60,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op6_byte_bpe, op7_warc, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
