@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, quality_rules, token_store, toxicity, warc
+from tidemark.llm import byte_bpe, decontamination, ngram_join, quality_rules, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder
 
 
@@ -23,6 +23,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` that share 75 percent of their 5-word shingles."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every ``benchmark`` window in every whole text of ``documents``."""
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -60,7 +65,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
