@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, ngram_join, quality_rules, token_store, toxicity, warc
+from tidemark.llm import byte_bpe, decontamination, ngram_join, quality_rules, repeats, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder
 
 
@@ -63,9 +63,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` that a repeated string of 200 bytes covers."""
+    return repeats.remove(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
