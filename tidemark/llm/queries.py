@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, ngram_join, quality_rules, repeats, token_store, toxicity, warc
+from tidemark.llm import byte_bpe, decontamination, ngram_join, personal_data, quality_rules, repeats, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder
 
 
@@ -68,9 +68,15 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every whole text of ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data.report(docs, personal_data.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats)}
+    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
