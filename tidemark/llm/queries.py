@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, ngram_join, personal_data, quality_rules, repeats, token_store, toxicity, warc
+from tidemark.llm import byte_bpe, decontamination, ngram_join, personal_data, quality_rules, repeats, site_quality, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder
 
 
@@ -33,6 +33,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents`` with its source and language as site and section."""
+    docs = _table(spark, sf_dir, "documents")
+    return site_quality.judge(docs, site_quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text of ``documents``, learning from the labels that are not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -76,7 +82,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data)}
+    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op4_site_quality, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
