@@ -206,8 +206,10 @@ def decode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "
     )
 
 
-def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256``: encode every whole text, decode the ids, give digests.
+def round_trip(
+    df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encode every whole text, decode the ids, give digests.
 
     ``ids_sha256`` is of the decimal ids joined by commas.  A null text counts
     as empty: no tokens and the digests of nothing.
@@ -217,16 +219,18 @@ def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str
         bpe = codec(vocabulary_path, pattern)
         decimal = {rank: str(rank) for rank in bpe.token_of}.__getitem__
         for keys, texts in rows(batches, "id", "text"):
-            counts, digests, decoded = [], [], []
+            counts, digests, decoded, lists = [], [], [], []
             for text in texts:
                 ids = array("I", bpe.encode(text or ""))
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                if with_ids:
+                    lists.append(np.array(ids, dtype=np.int32))
+            columns = [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return keyed_text(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
