@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VINTAGE = T._parse_datatype_string(
+
+def _schema(text: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "date": T.DateType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in map(str.split, text.split(","))])
+
+
+VINTAGE = _schema(
     "geographic_type string, geographic_code string, ownership string, industry_type string, industry_code string,"
     "ref_date date, vintage_date date, revision int, benchmark_revision int, employment double,"
     "size_class_type string, size_class_code string, source string, seasonally_adjusted boolean"
 )
-PANEL = T._parse_datatype_string(
+PANEL = _schema(
     "period date, geographic_type string, geographic_code string, industry_code string, industry_level string,"
     "source string, source_type string, growth double, employment_level double, is_seasonally_adjusted boolean,"
     "vintage_date date, revision_number int, is_final boolean, publication_lag_months int, coverage_ratio double"
 )
-CALENDAR = T._parse_datatype_string("publication string, ref_date date, vintage_date date, revision int, benchmark_revision int")
+CALENDAR = _schema("publication string, ref_date date, vintage_date date, revision int, benchmark_revision int")
 
 #: What makes a stored row unique; the vintage date and the level are not part of it.
 STORE_KEY = [
