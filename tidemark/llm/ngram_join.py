@@ -12,15 +12,19 @@ are never used.
   sets also one for each segment without one element; in bands of tiny sets
   every element is a segment).
 * Probe: the larger set of a pair looks up H + 1 of its segments, in its own
-  band and the next lower one, and picks those that are rarest around it; where
-  it has fewer, some are looked up with their one-deletion neighbourhoods.  A
+  band and the next lower one, and picks those of least cost: rare ones, by a bounded sample of documents and by
+  its own batch (the costs decide which segments are looked up, never what is
+  found); where it has fewer, some are looked up with their one-deletion neighbourhoods.  A
   set that cannot reach H + 1 even so is joined by all its n-grams instead.
 * Signatures travel as packed arrays, one row for each batch and bucket.
 
-A bucket never lists its pairs.  Its members are compared with its smallest
-one; links form components; and only buckets that still hold several
-components are looked at again, pair by pair across components.  All links
-between different components are thus verified, on the n-gram sets themselves.
+A bucket never lists its pairs.  It names its smallest member as pivot, and two
+sets of one bucket both stand in the group of its pivot.  Groups are compared
+inside tasks, in blocks of bounded size, on the n-gram sets themselves; what a
+block emits is one link for each set and component.  Equal texts are one set
+from the start, so groups of copies never count by their size, and where a
+group is larger than a block, only sets outside its largest component meet the
+other blocks.  All links between different texts are thus verified.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import in_slices, keyed_text, rows, stored
@@ -40,8 +44,10 @@ WORDS, PERCENT = 5, 75
 #: Bands whose smallest set is below these have every element as a segment, or use one-deletion neighbourhoods.
 TINY, SMALL = 16, 64
 SLICE_BYTES = 16 << 20
-#: Members of one pivot that are verified in one group.
-GROUP_MEMBERS = 128
+#: Documents that common n-grams are estimated from, chosen by a hash, and how many must hold one that counts as common.
+COST_DOCS, COMMON_DOCS = 6_000, 2
+#: Members of one pivot that are compared in one block, besides the pivot.
+BLOCK = 384
 #: Bits of the filter that keeps texts without candidates out of the shuffle: its size is fixed.
 FILTER_BITS = 1 << 24
 
@@ -111,9 +117,11 @@ def _segments(least: np.ndarray) -> np.ndarray:
 class _Sets:
     """The sets of a batch, end to end."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], common: np.ndarray):
         self.size = np.array([len(s) for s in sets], dtype=np.int64)
         self.all = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        at = np.minimum(np.searchsorted(common, self.all), max(0, len(common) - 1))
+        self.common = common[at] == self.all if len(common) else np.zeros(len(self.all), bool)
         self.band = np.searchsorted(_BANDS, self.size, side="right") - 1
 
 
@@ -125,7 +133,7 @@ def _signatures(sets: _Sets, chosen: np.ndarray, band: np.ndarray, need: np.ndar
     """
     of_element = np.repeat(np.arange(len(sets.size)), sets.size)
     on = chosen[of_element]
-    of_element, element = of_element[on], sets.all[on]
+    of_element, element, common = of_element[on], sets.all[on], sets.common[on]
     least = _BANDS[band]
     tiny, small = least < TINY, (least >= TINY) & (least < SMALL)
     m = np.where(chosen, np.where(tiny, sets.size, _segments(least)), 0)
@@ -144,7 +152,8 @@ def _signatures(sets: _Sets, chosen: np.ndarray, band: np.ndarray, need: np.ndar
     full = np.flatnonzero(count)
     plain, by = _mix(total[full] ^ salt[full]), owner[full]
     _, inverse, often = np.unique(plain, return_inverse=True, return_counts=True)
-    order = np.lexsort((often[inverse], by))  # the rarest segments of each set first
+    rare = np.bincount(slot, ~common, minlength=len(total))[full]  # a segment of common n-grams alone is costly
+    order = np.lexsort((often[inverse], rare == 0, by))  # the rarest segments of each set first
     first = np.searchsorted(by[order], np.arange(len(m)))
     rank = np.empty(len(full), np.int64)
     rank[order] = np.arange(len(full)) - first[by[order]]
@@ -167,13 +176,13 @@ def _signatures(sets: _Sets, chosen: np.ndarray, band: np.ndarray, need: np.ndar
 
 
 _SENT = "part int, sigs binary, owners binary, ids binary"
-_FOUND = "kind string, a long, b long, n long, members binary"
+_FOUND = "kind string, a long, b long, n long"
 
 
-def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Signatures by bucket, packed; under negative buckets the sizes, and the sets without an allocation."""
     for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
-        sets = _Sets([shingles(x) for x in texts])
+        sets = _Sets([shingles(x) for x in texts], common)
         known, keys = np.array([i is not None for i in ids]), np.array([-1 if i is None else i for i in ids], dtype=np.int64)
         own = known & (sets.size > 0)
         under = np.maximum(sets.band - 1, 0)
@@ -185,7 +194,8 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         part = (sigs % _U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        out = [(-1 - int(xxhash.xxh3_64_intdigest(keys.tobytes()) % parts), sets.size.astype("<i8").tobytes(), known.tobytes(), keys.tobytes())]
+        digests = np.array([xxhash.xxh64_intdigest(x or "", 42) for x in texts], dtype=np.uint64)  # as Spark's xxhash64
+        out = [(-1 - int(_mix(digests[:1])[0] % _U(parts)), sets.size.astype("<i8").tobytes(), b"", digests.tobytes())]
         if failed := np.union1d(a[3], b[3]).tolist():
             out.append((-1 - parts, b"", b"", keys[failed].tobytes()))
         for p in range(parts):
@@ -198,15 +208,14 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], ["part", "sigs", "owners", "ids"])
 
 
-def _table(kind: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None, members: list[bytes] | None = None, mask: np.ndarray | None = None) -> pa.Table:
+def _table(kind: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.Table:
     size = len(a)
     return pa.table(
         {
             "kind": pa.array([kind] * size, pa.string()),
-            "a": pa.array(a, pa.int64(), mask=mask),
+            "a": pa.array(a, pa.int64()),
             "b": pa.nulls(size, pa.int64()) if b is None else pa.array(b, pa.int64()),
             "n": pa.nulls(size, pa.int64()) if n is None else pa.array(n, pa.int64()),
-            "members": pa.nulls(size, pa.binary()) if members is None else pa.array(members, pa.binary()),
         }
     )
 
@@ -214,16 +223,16 @@ def _table(kind: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None,
 def _meet(table: pa.Table, parts: int) -> pa.Table:
     """What the signatures of one bucket number show.
 
-    "size" rows give sets their sizes; "star" rows (a: smallest member, b, n: signatures shared there) are
-    candidates; "bucket" rows list the members of buckets with three or more; "rest" rows are sets without allocation.
+    "size" rows give texts (a: hash) the sizes of their sets; "star" rows (a: smallest member, b, n: signatures shared there) are
+    candidates; "rest" rows are sets without allocation.
     """
     part = table["part"][0].as_py()
     blobs = [table[n].to_pylist() for n in ("sigs", "owners", "ids")]
     if part == -1 - parts:
         return _table("rest", np.concatenate([np.frombuffer(x, np.int64) for x in blobs[2]]), None, None)
     if part < 0:
-        size, known, ids = (np.concatenate([np.frombuffer(x, k) for x in xs]) for xs, k in zip(blobs, (np.int64, bool, np.int64)))
-        return _table("size", ids, None, size, mask=~known)
+        size, digests = (np.concatenate([np.frombuffer(x, np.int64) for x in xs]) for xs in (blobs[0], blobs[2]))
+        return _table("size", digests, None, size)
     sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs[0]])
     ids, probes = [], []
     for raw, packed, keys in zip(*blobs):
@@ -246,25 +255,13 @@ def _meet(table: pa.Table, parts: int) -> pa.Table:
     pivot = ids[begin][group]
     star = fresh & ~begin & probed[group] & (ids != pivot)
     pairs, n = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0, return_counts=True)
-    keep = fresh & probed[group]
-    ids, group = ids[keep], group[keep]
-    sizes = np.bincount(group)
-    ids, group = ids[sizes[group] > 2], group[sizes[group] > 2]
-    members: list[bytes] = []
-    if len(ids):
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        stops = np.append(starts[1:], len(ids))
-        _, one = np.unique(np.add.reduceat(_mix(ids.astype(np.uint64)), starts), return_index=True)  # equal lists once
-        members = [ids[starts[i] : stops[i]].tobytes() for i in one.tolist()]
-    stars = _table("star", pairs[:, 0], pairs[:, 1], n)
-    buckets = _table("bucket", np.array([np.frombuffer(x, np.int64)[0] for x in members], dtype=np.int64), None, None, members)
-    return pa.concat_tables([stars, buckets])
-
-
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that ``ids`` (distinct) names; a filter of fixed size keeps most others out of the shuffle."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) & 31 AS INT))")).alias("bits"))
+    return _table("star", pairs[:, 0], pairs[:, 1], n)
+
+
+def _passing(docs: DataFrame, ids: DataFrame, hits: bool) -> DataFrame:
+    """``docs`` whose id passes (or not) a filter of fixed size over ``ids``; what does not pass is surely not among them."""
+    bit = f"CAST(pmod(xxhash64(id), {FILTER_BITS}) AS INT)"
+    words = ids.groupBy(F.expr(f"shiftright({bit}, 5)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit} & 31)")).alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.collect():
         bitmap[r.word] = r.bits
@@ -274,40 +271,94 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
         bits = np.frombuffer(held.value, np.uint32)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
-
-    some = docs.where("id IS NOT NULL").select("id", "text", bit.alias("bit")).mapInArrow(passes, "id long, text string")
-    return some.join(ids, "id")
+            yield batch.select([0, 1]).filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool) == hits))
+
+    return docs.select("id", "text", F.expr(bit).alias("bit")).mapInArrow(passes, "id long, text string")
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections within a block, by products of incidence columns."""
+    k = len(sets)
+    grams = np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])[order]
+    column = np.cumsum(np.concatenate([[False], grams[order][1:] != grams[order][:-1]]))
+    often = np.bincount(column)
+    several = often[column] > 1
+    owner, column = owner[several], (np.cumsum(often > 1) - 1)[column[several]]
+    common = np.zeros((k, k), np.int64)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [begin, begin + 4096])
+        incidence = np.zeros((k, 4096), np.float32)
+        incidence[owner[a:b], column[a:b] - begin] = 1
+        common += np.rint(incidence @ incidence.T).astype(np.int64)
+    return common
+
+
+def _block(ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
+    """Links that join each set of a block to the smallest id of its component there."""
+    sets = [shingles(t) for t in texts]
+    if len(ids) == 2:
+        return [(min(ids), max(ids))] if linked(*sets) else []
+    size = np.array([len(s) for s in sets])
+    common = _intersections(sets)
+    link = (common > 0) & (100 * common >= PERCENT * (size[:, None] + size[None, :] - common))
+    np.fill_diagonal(link, True)
+    label = np.array(ids, dtype=np.int64)
+    while True:
+        least = np.where(link, label[None, :], np.iinfo(np.int64).max).min(1)
+        if (least == label).all():
+            return [(int(a), int(b)) for a, b in zip(label, ids) if a != b]
+        label = least
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the blocks of a sorted partition, one after the other."""
+    current, ids, texts = None, [], []
+
+    def links() -> pa.RecordBatch:
+        found = _block(ids, texts) if len(ids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for pivots, blocks, some, more in rows(in_slices(batches, "text", SLICE_BYTES), "a", "g", "id", "text"):
+        for block, i, text in zip(zip(pivots, blocks), some, more):
+            if block != current:
+                yield links()
+                current, ids, texts = block, [], []
+            ids.append(i)
+            texts.append(text)
+    yield links()
+
+
+def _verify(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """``a, b``: links within blocks; ``places`` has pivot a, block g and id of each set that a block compares."""
+    places = stored(places.distinct(), f"{name}-places")
+    ids = stored(places.select("id").distinct(), f"{name}-ids")
+    texts = _passing(docs, ids, True)
+    placed = texts.join(places, "id").select("a", "g", "id", "text")
+    return stored(placed.repartition("a", "g").sortWithinPartitions("a", "g", "id").mapInArrow(_compare, "a long, b long"), f"{name}-links")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """``a, b, linked`` for distinct pairs; the members of one pivot are dealt to groups of bounded size."""
-    pairs = stored(pairs, f"{name}-pairs")
-    degrees = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("groups")), f"{name}-degrees")
-    dealt = stored(pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g")), f"{name}-dealt")
-    ids = stored(dealt.select(F.col("a").alias("id")).union(dealt.select("b")).distinct(), f"{name}-ids")
-    texts = _wanted(docs, ids)
-    places = dealt.select(F.col("b").alias("id"), "a", "g").union(dealt.select(F.col("a").alias("id"), "a", "g").distinct())
-    placed = texts.join(places, "id").select("a", "g", "id", "text")
+def _labelled(pairs: DataFrame, components: DataFrame, column: str) -> DataFrame:
+    """Adds ``component`` for a column of ids; one without links is its own component."""
+    own = components.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+    return pairs.join(own, F.col(column) == F.col("_id"), "left").withColumn("component", F.coalesce("_component", column)).drop("_id", "_component")
 
-    def compare(table: pa.Table) -> pa.Table:
-        pivot = table["a"][0].as_py()
-        sets: dict[int, list[np.ndarray]] = {}
-        for i, text in zip(table["id"].to_pylist(), table["text"].to_pylist()):
-            sets.setdefault(i, []).append(shingles(text))
-        others = [i for i in sets if i != pivot]
-        result = [any(linked(x, y) for x in sets.get(pivot, []) for y in sets[i]) for i in others]
-        return pa.table({"a": pa.array([pivot] * len(others), pa.int64()), "b": pa.array(others, pa.int64()), "linked": pa.array(result, pa.bool_())})
 
-    return stored(placed.groupBy("a", "g").applyInArrow(compare, "a long, b long, linked boolean"), f"{name}-verified")
+def _common(docs: DataFrame) -> np.ndarray:
+    """Sorted n-grams that several of at most ``COST_DOCS`` sampled documents hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in rows(in_slices(batches, "text", SLICE_BYTES), "text"):
+            grams = np.concatenate([shingles(x) for x in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
 
-def _labelled(pairs: DataFrame, components: DataFrame, *columns: str) -> DataFrame:
-    """Adds ``component_x`` for each column x; a node without links is its own component."""
-    for c in columns:
-        own = components.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
-        pairs = pairs.join(own, F.col(c) == F.col("_id"), "left").withColumn(f"component_{c}", F.coalesce("_component", c)).drop("_id", "_component")
-    return pairs
+    n = docs.count()
+    share = min(1.0, COST_DOCS / max(1, n))
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    often = some.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON_DOCS)
+    got = often.orderBy(F.desc("count"), "gram").limit(50_000).toPandas().gram.to_numpy(np.int64)
+    return np.sort(got.view(np.uint64))
 
 
 def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,66 +372,59 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark: SparkSession = df.sparkSession
     docs = keyed_text(df, id_col, text_col)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.mapInArrow(lambda batches: _send(batches, parts), _SENT)
-    found = stored(sent.groupBy("part").applyInArrow(lambda table: _meet(table, parts), _FOUND), "ngram-buckets")
-    sizes = found.where("kind = 'size'").select(F.col("a").alias("id"), F.col("n").alias("n_shingles"))
-    stars = stored(found.where("kind = 'star'").groupBy("a", "b").agg(F.sum("n").alias("n")), "stars")
-
-    # 1. each member with the pivot it shares most signatures with
-    best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    verified = _verify(docs, best, "best")
-    links = verified.where("linked").select("a", "b")
-    components = stored(connected(links), "components")
 
-    # 2. the other stars between components
-    apart = _labelled(stars, components, "a", "b").where("component_a <> component_b").select("a", "b")
-    others = apart.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-    verified = verified.unionByName(_verify(docs, others, "stars"))
-    links = verified.where("linked").select("a", "b")
-    components = stored(connected(links), "components")
+    # equal texts are one set; a repeated id joins those of all its texts
+    texts = docs.select("id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.sha1("text"))).alias("digest"))
+    texts = stored(texts.where("id IS NOT NULL"), "text-digests")
+    owners = stored(texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
+    copies = stored(texts.join(owners, "digest").where("id <> owner").select(F.col("owner").alias("a"), F.col("id").alias("b")), "copies")
+    held = stored(texts.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    gone = stored(copies.select(F.col("b").alias("id")).distinct().join(held, "id", "left_anti"), "copied-ids")
+    own = docs.where("text IS NOT NULL")
+    single = _passing(own, gone, False).union(_passing(own, gone, True).join(gone, "id", "left_anti"))
+
+    common = _common(own)
+    sent = single.mapInArrow(lambda batches: _send(batches, parts, common), _SENT)
+    found = stored(sent.groupBy("part").applyInArrow(lambda table: _meet(table, parts), _FOUND), "ngram-buckets")
+    stars = stored(found.where("kind = 'star'").select("a", "b").distinct(), "stars")
 
-    # 3. buckets that hold several components, pair by pair across components
-    failed = stored(_labelled(stars, components, "a", "b").where("component_a <> component_b").select("a", "b"), "failed-stars")
-    buckets = found.where("kind = 'bucket'").select(F.xxhash64("members").alias("bucket"), "members").dropDuplicates(["bucket"])
-    buckets = stored(buckets.join(failed.select("a").distinct(), _first("members") == F.col("a"), "left_semi"), "ngram-shared")
-    member = stored(_members(buckets), "ngram-members")
-    mixed = stored(member.join(failed, [member.pivot == failed.a, member.id == failed.b], "left_semi").select("bucket").distinct(), "ngram-mixed")
-    inside = _labelled(member.join(mixed, "bucket"), components, "id")
-    inside = stored(inside.join(sizes.groupBy("id").agg(F.max("n_shingles").alias("size")), "id").select("bucket", "id", "component_id", "size"), "ngram-inside")
-    left, right = inside.alias("l"), inside.alias("r")
-    fits = "l.bucket = r.bucket AND l.id < r.id AND l.component_id <> r.component_id AND 100 * least(l.size, r.size) >= " + f"{PERCENT} * greatest(l.size, r.size)"
-    across = left.join(right, F.expr(fits)).selectExpr("l.id AS a", "r.id AS b").distinct()
-
-    # 4. sets without an allocation, by all their n-grams
+    # groups of a pivot, in blocks that all hold it
+    degrees = stored(stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "degrees")
+    dealt = stored(stars.join(degrees, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")), "dealt")
+    places = dealt.select("a", "g", F.col("b").alias("id")).union(dealt.select("a", "g", F.col("a").alias("id")))
+    links = copies.union(_verify(own, places, "stars"))
     rest = found.where("kind = 'rest'").select(F.col("a").alias("id")).distinct()
-    if not rest.isEmpty():
-        across = across.union(_by_all_ngrams(docs, rest)).distinct()
-    across = across.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-    late = _verify(docs, across, "across").where("linked").select("a", "b")
-    if not late.isEmpty():
-        components = stored(connected(links.unionByName(late)), "components")
-    out = _labelled(sizes, components, "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
-
-
-def _first(column: str) -> Column:
-    """The first of packed 64-bit ids."""
-    return F.conv(F.hex(F.reverse(F.substring(column, 1, 8))), 16, -10).cast("long")
-
-
-def _members(buckets: DataFrame) -> DataFrame:
-    """``bucket, pivot, id``: a row for each member."""
+    if not rest.isEmpty():  # sets without an allocation, by all their n-grams
+        links = links.union(_verify(own, _pairs_as_places(_by_all_ngrams(own, rest)), "rest"))
+    components = stored(connected(links), "components")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, lists in rows(batches, "bucket", "members"):
-            ids = [np.frombuffer(x, np.int64) for x in lists]
-            n = [len(x) for x in ids]
-            first = np.array([x[0] for x in ids], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.repeat(first, n)), pa.array(np.concatenate(ids) if ids else first)], ["bucket", "pivot", "id"]
-            )
-
-    return buckets.mapInArrow(run, "bucket long, pivot long, id long")
+    # groups of several blocks: what is outside the largest component meets all blocks
+    large = dealt.where("blocks > 1").select("a", F.col("b").alias("id"))
+    if not large.isEmpty():
+        members = stored(_labelled(large, components, "id"), "large-groups")
+        sizes = members.groupBy("a", "component").agg(F.count("*").alias("n"))
+        top = sizes.groupBy("a").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+        top = stored(top.select(F.col("a").alias("p"), F.col("top.component").alias("most"), (F.col("n") - F.col("top.n")).alias("out"), "n").where("out > 0"), "large-tops")
+        cut = members.join(top, F.col("a") == F.col("p")).withColumns(
+            {"outside": F.ceil(F.col("out") / (BLOCK // 2)).cast("int"), "inside": F.ceil(F.col("n") / (BLOCK // 2)).cast("int")}
+        )
+        row, column = F.pmod(F.xxhash64("id", F.lit(1)), F.col("outside")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("inside"))
+        outer = cut.where("component <> most").select("a", F.explode(F.expr("sequence(0, inside - 1)")).alias("c"), row.alias("r"), "id", "inside")
+        inner = cut.select("a", column.alias("c"), F.explode(F.expr("sequence(0, outside - 1)")).alias("r"), "id", "inside")
+        places = outer.union(inner).select("a", (F.col("r") * F.col("inside") + F.col("c")).cast("int").alias("g"), "id")
+        late = _verify(own, places, "large")
+        components = stored(connected(components.select(F.col("component").alias("a"), F.col("id").alias("b")).union(late)), "components")
+
+    sizes = stored(found.where("kind = 'size'").groupBy(F.col("a").alias("hash")).agg(F.max("n").alias("n_shingles")), "sizes")
+    counted = docs.select("id", F.xxhash64("text").alias("hash")).join(sizes, "hash", "left")
+    out = _labelled(counted, components, "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _pairs_as_places(pairs: DataFrame) -> DataFrame:
+    """A block for each pair."""
+    g = F.xxhash64("b").cast("int")
+    return pairs.select("a", g.alias("g"), F.col("a").alias("id")).union(pairs.select("a", g.alias("g"), F.col("b").alias("id")))
 
 
 def _by_all_ngrams(docs: DataFrame, ids: DataFrame) -> DataFrame:
