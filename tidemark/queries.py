@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, series
 from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, store, triangle, views
 from tidemark.plans.demo import OBS_SQL, order_months, vintage_obs
-from tidemark.schemas import SERIES
+from tidemark.schemas import SERIES, VINTAGE, conform
 from tidemark.sources import readers
 from tidemark.sources.readers import table
+from tidemark.streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -668,6 +670,23 @@ def scl16_series_ids(spark, sf_dir):
 # ------------------------------------------------------------------ jobs with user functions
 
 
+# the model-data table: one row for each month of the grid, with what each source knew
+
+
+@query(_PANEL + """, span AS (SELECT min(period) AS a, max(period) AS b FROM panel), grid AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS period FROM span)
+SELECT industry_code, g.period, CAST(datediff('month', a, g.period) AS INT) AS t, round(max(growth) FILTER (source = 'ces_sa'), 6) AS g_sa, round(max(growth) FILTER (source = 'ces_nsa'), 6) AS g_nsa,
+round(max(growth) FILTER (source = 'qcew'), 6) AS g_census FROM grid g CROSS JOIN span CROSS JOIN (SELECT DISTINCT industry_code FROM panel) i LEFT JOIN panel p USING (period, industry_code) GROUP BY industry_code, g.period, a""")
+def rsh09_model_data(spark, sf_dir):
+    panel = _panel(spark, sf_dir)
+    span = panel.agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    grid = span.select("a", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("period"))
+    one = lambda s: F.round(F.max(F.when(F.col("source") == s, F.col("growth"))), 6)
+    wide = panel.groupBy("industry_code", "period").agg(one("ces_sa").alias("g_sa"), one("ces_nsa").alias("g_nsa"), one("qcew").alias("g_census"))
+    full = panel.select("industry_code").distinct().join(F.broadcast(grid))  # industries by months, a stated grid
+    full = full.withColumn("t", dates.months_between(F.col("period"), F.col("a"))).drop("a")
+    return full.join(wide, ["industry_code", "period"], "left")
+
+
 @query(_TARGETS + " SELECT industry_code, target, round(avg(change), 6) AS forecast FROM kn GROUP BY ALL")
 def udf05_forecast_fan_out(spark, sf_dir):
     """A forecast function of the user's, applied to what each as-of slice knew."""
@@ -682,6 +701,56 @@ def udf05_forecast_fan_out(spark, sf_dir):
     return out.withColumn("forecast", F.round("forecast", 6))
 
 
+# ------------------------------------------------------------------ streams
+
+
+def _run_stream(spark: SparkSession, name: str, rows: DataFrame, keep: Callable[[DataFrame, str, str], None]) -> str:
+    """Land rows in two files of a new folder, run a stream over it to its end, and return the folder of its output."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.repartition(2).write.parquet(f"{folder}/landing")
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+    keep(arrivals, folder, f"{folder}/offsets").awaitTermination()
+    return folder
+
+
+@query(_SPLIT + f""" SELECT source, seasonally_adjusted, count(*) AS n, sum(employment) AS total FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(_KEY)} ORDER BY vintage_date, employment) AS rn
+FROM (SELECT * FROM o1)) WHERE rn = 1 GROUP BY ALL""")
+def str03_idempotent_append(spark, sf_dir):
+    """Stored rows arrive as a stream, twice over; the second time nothing is appended."""
+    _, stored = _halves(spark, sf_dir)
+    rows = conform(stored, VINTAGE, fill=True)
+
+    def run(arrivals, folder, offsets):
+        return capture.capture(arrivals, f"{folder}/store", f"{folder}/drift", offsets)
+
+    folder = _run_stream(spark, "append", rows.unionByName(rows), run)
+    return store.read(spark, f"{folder}/store").groupBy("source", "seasonally_adjusted").agg(F.count("*").alias("n"), F.sum("employment").alias("total"))
+
+
+@query(""" SELECT event_type, CAST(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS DATE) AS week, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL""")
+def str08_windowed_means(spark, sf_dir):
+    """Weekly means of the events as a stream; complete once it has ended."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+    def run(arrivals, folder, offsets):
+        means = capture.windowed_means(arrivals, "7 days", "60 days", ["event_type"], "value")
+
+        def write(batch, epoch):
+            batch.write.mode("overwrite").parquet(f"{folder}/means")
+
+        return means.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+
+    folder = _run_stream(spark, "means", events, run)
+    out = spark.read.parquet(f"{folder}/means")
+    return out.select("event_type", F.col("window.start").cast("date").alias("week"), F.round("mean", 6).alias("mean"), "n")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (named or "/tmp/tidemark-shared").rstrip("/")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
