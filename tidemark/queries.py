@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, series
-from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, store, triangle, views
+from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, rebuild, store, triangle, views
 from tidemark.plans.demo import OBS_SQL, order_months, vintage_obs
 from tidemark.schemas import SERIES, VINTAGE, conform
 from tidemark.sources import readers
@@ -614,6 +614,102 @@ def prj20_interventions(spark, sf_dir):
     return rows.select("month", "i.name", F.round(evaluate.intervention(j, F.col("i.kind"), F.col("i.k"), F.col("i.rho")), 6).alias("basis"))
 
 
+# ------------------------------------------------------------------ rebuilding and comparing
+
+_NSA = """, fpn0 AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, employment AS level, vintage_date FROM obs WHERE source = 'ces' AND NOT seasonally_adjusted AND revision = 0 AND benchmark_revision = 0),
+prn AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS prior, employment AS p, vintage_date AS pv, revision, benchmark_revision FROM obs WHERE source = 'ces' AND NOT seasonally_adjusted),
+ppn AS (SELECT f.*, p, pv, revision, benchmark_revision FROM fpn0 f JOIN prn ON f.industry_code = prn.industry_code AND prn.prior = CAST(f.month - INTERVAL 1 MONTH AS DATE) AND pv <= f.vintage_date + 15),
+fcn AS (SELECT industry_code, month, vintage_date, level - coalesce(arg_min(p, pv) FILTER (revision = 1 AND benchmark_revision = 0), arg_max(p, benchmark_revision * 1000 + revision)) AS change FROM ppn GROUP BY industry_code, month, vintage_date, level)"""
+
+
+@query(_FIRST_PRINT + _NSA + """ SELECT a.industry_code, a.month, a.change AS total, b.change AS part, a.change - b.change AS wedge, abs(datediff('day', a.vintage_date, b.vintage_date)) <= 15 AS same_release
+FROM fpc a JOIN fcn b ON a.industry_code = b.industry_code AND a.month = b.month""")
+def jon13_wedge(spark, sf_dir):
+    other = evaluate.first_print_changes(vintage_obs(spark, sf_dir).where("source = 'ces' AND NOT seasonally_adjusted"), ["industry_code"])
+    return rebuild.wedge(_first_prints(spark, sf_dir), other, ["industry_code"])
+
+
+_SIZED = """, lv AS (SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+sz AS (SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(p_size % 3 AS VARCHAR) AS size_class_code, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE month(l_shipdate) <= 3 GROUP BY ALL)"""
+
+
+@query(_SIZED + """ SELECT s.p_type, s.month, s.size_class_code, CASE WHEN s.size_class_code = '0' THEN l.v ELSE s.v END AS v FROM sz s JOIN lv l ON s.p_type = l.p_type AND s.month = l.month
+UNION ALL SELECT p_type, month, NULL, v FROM lv WHERE NOT EXISTS (SELECT 1 FROM sz WHERE sz.p_type = lv.p_type AND sz.month = lv.month)""")
+def pip07_compose(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.select("p_type", dates.month(F.col("l_shipdate").cast("date")).alias("month"), (F.col("p_size") % 3).cast("string").alias("size_class_code"), "l_quantity")
+    levels = lines.groupBy("p_type", "month").agg(F.sum("l_quantity").alias("v"))
+    sized = lines.where(F.month("month") <= 3).groupBy("p_type", "month", "size_class_code").agg(F.sum("l_quantity").alias("v"))
+    return rebuild.compose(levels, sized, ["p_type", "month"], "v")
+
+
+@query(_REVISIONS + """ SELECT publication, cal.ref_date, cal.vintage_date, cal.revision, cal.benchmark_revision, industry_code, employment AS value FROM cal JOIN obs ON date_trunc('month', obs.ref_date) = cal.ref_date AND obs.revision = cal.revision
+WHERE cal.vintage_date > DATE '1998-06-01' AND cal.vintage_date <= DATE '1999-06-01' AND cal.benchmark_revision = 0 AND source = 'ces' AND seasonally_adjusted AND obs.benchmark_revision = 0""")
+def jon23_archive_window(spark, sf_dir):
+    prints = vintage_obs(spark, sf_dir).where("source = 'ces' AND seasonally_adjusted AND benchmark_revision = 0").withColumnRenamed("employment", "value")
+    return rebuild.archive_window(_calendar(spark, sf_dir), prints, ["industry_code"], _day("1998-06-01"), _day("1999-06-01"))
+
+
+_SETTLED_SQL = ", sl AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, arg_max(employment, vintage_date * 1 ) AS level FROM (SELECT industry_code, ref_date, employment, datediff('day', DATE '1970-01-01', vintage_date) * 10 + revision AS vintage_date FROM obs WHERE source = 'qcew') GROUP BY ALL)"
+
+
+@query(_SETTLED_SQL + ", c AS (SELECT *, level - lag(level) OVER (PARTITION BY industry_code ORDER BY month) AS change FROM sl) SELECT * FROM c WHERE change IS NOT NULL")
+def win07_settled_changes(spark, sf_dir):
+    return rebuild.settled_changes(vintage_obs(spark, sf_dir).where("source = 'qcew'"), ["industry_code"])
+
+
+@query(_MONTHLY_SQL + """, x AS (SELECT *, lag(n) OVER w AS b, lead(n) OVER w AS a, lag(month) OVER w AS bm, lead(month) OVER w AS am FROM mon WINDOW w AS (PARTITION BY c_mktsegment ORDER BY month)),
+y AS (SELECT *, CASE WHEN quarter(bm) <> 1 AND datediff('month', bm, month) = 1 THEN b END AS b1, CASE WHEN quarter(am) <> 1 AND datediff('month', month, am) = 1 THEN a END AS a1 FROM x),
+z AS (SELECT *, CASE WHEN a1 IS NOT NULL AND b1 IS NOT NULL THEN (a1 + b1) / 2 ELSE coalesce(a1, b1) END AS beside FROM y)
+SELECT c_mktsegment, month, n, CAST(beside AS DOUBLE) AS beside, abs(n / beside - 1) <= 0.25 AS ok FROM z WHERE quarter(month) = 1 AND beside IS NOT NULL""")
+def win12_quarter_continuity(spark, sf_dir):
+    out = rebuild.quarter_continuity(_monthly(spark, sf_dir), ["c_mktsegment"], "n", 0.25)
+    return out.select("c_mktsegment", "month", "n", F.col("beside").cast("double").alias("beside"), "ok")
+
+
+@query(_ALL + """, r AS (SELECT a.industry_code, b.growth - a.growth AS d FROM full_panel a JOIN full_panel b ON a.period = b.period AND a.industry_code = b.industry_code
+WHERE a.source = 'ces_sa' AND b.source = 'ces_sa' AND a.revision_number = 0 AND b.revision_number = 2) SELECT industry_code, round(median(d), 6) AS bias, count(*) AS n FROM r GROUP BY ALL""")
+def agg24_pooled_bias(spark, sf_dir):
+    diff = views.vintage_diff(_full_panel(spark, sf_dir), "ces_sa", 0, 2, ["period", "industry_code"])
+    return rebuild.pooled_bias(diff, ["industry_code"], "difference").withColumn("bias", F.round("bias", 6))
+
+
+@query(_TARGETS + """, s AS (SELECT p.*, sl.level AS best FROM pred p JOIN (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, sum(employment) AS level FROM obs WHERE source = 'ces' AND seasonally_adjusted AND revision = 2 AND benchmark_revision = 0 GROUP BY ALL) sl
+ON p.industry_code = sl.industry_code AND p.target = sl.month)
+SELECT industry_code, count(*) AS n, count(*) FILTER (abs(best - actual) > 300) AS n_splice, round(avg(abs(rw - best)), 4) AS mae, round(avg(abs(rw - best)) FILTER (abs(best - actual) <= 300), 4) AS mae_without FROM s GROUP BY ALL""")
+def agg37_splice_metrics(spark, sf_dir):
+    best = vintage_obs(spark, sf_dir).where("source = 'ces' AND seasonally_adjusted AND revision = 2 AND benchmark_revision = 0")
+    best = best.groupBy("industry_code", dates.month(F.col("ref_date")).alias("target")).agg(F.sum("employment").alias("best"))
+    out = rebuild.splice_metrics(_predictions(spark, sf_dir).join(best, ["industry_code", "target"]), ["industry_code"], "actual", "best", "rw", 300.0)
+    return out.withColumns({"mae": F.round("mae", 4), "mae_without": F.round("mae_without", 4)})
+
+
+@query(""", d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) / 10000 AS growth FROM events GROUP BY ALL),
+i AS (SELECT *, 100 * exp(sum(growth) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)) AS idx FROM d)
+SELECT event_type, day, round(growth, 6) AS growth, round(idx, 4) AS "index", round(idx - coalesce(lag(idx) OVER (PARTITION BY event_type ORDER BY day), 100), 4) AS change FROM i""")
+def agg32_draw_paths(spark, sf_dir):
+    draws = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"), (F.col("value") / 10000).alias("g"))
+    out = rebuild.draw_paths(draws, ["event_type"], "day", "g", 100.0)
+    return out.select("event_type", "day", F.round("growth", 6).alias("growth"), F.round("index", 4).alias("index"), F.round("change", 4).alias("change"))
+
+
+@query(_MONTHLY_SQL + """, c AS (SELECT c_mktsegment, month, n - lag(n) OVER (PARTITION BY c_mktsegment ORDER BY month) AS d FROM mon)
+SELECT c_mktsegment, CAST(month(month) AS INT) AS calendar_month, count(d) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM c GROUP BY ALL""")
+def agg30_month_profile(spark, sf_dir):
+    w = Window.partitionBy("c_mktsegment").orderBy("month")
+    changes = _monthly(spark, sf_dir).withColumn("d", F.col("n") - F.lag("n").over(w))
+    out = changes.groupBy("c_mktsegment", F.month("month").alias("calendar_month")).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    return out.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+
+
+@query(_MONTHLY_SQL + """, r AS (SELECT c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY month) - 1 AS INT) AS t, total FROM mon WHERE n > 1), g AS (SELECT DISTINCT c_mktsegment FROM r), x AS (SELECT max(t) AS n FROM r)
+SELECT g.c_mktsegment, CAST(i AS INT) AS t, coalesce(total, 0) AS total, total IS NOT NULL AS mask FROM g CROSS JOIN x CROSS JOIN LATERAL (SELECT unnest(range(0, x.n + 1)) AS i) LEFT JOIN r ON r.c_mktsegment = g.c_mktsegment AND r.t = i""")
+def rsh12_padding(spark, sf_dir):
+    t = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("month")) - 1
+    rows = _monthly(spark, sf_dir).where("n > 1").select("c_mktsegment", t.alias("t"), "total")
+    return rebuild.pad(rows, ["c_mktsegment"], "t", ["total"])
+
+
 # ------------------------------------------------------------------ checks
 
 
