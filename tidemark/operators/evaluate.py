@@ -140,3 +140,46 @@ def intervention(j: Column, kind: Column, k: Column, rho: Column) -> Column:
         .when(kind == "box", F.when(j < k, 1.0 / k).otherwise(0.0))
         .when(kind == "tc", F.when(j == 0, 1.0).otherwise(-(1 - rho) * F.pow(rho, j - 1)))
     )
+
+
+def ols2(df: DataFrame, by: list[str], y: str, x1: str, x2: str) -> DataFrame:
+    """Regression on two regressors and an intercept over complete rows: coefficients and R2, from moments in one pass."""
+    rows = df.where(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull())
+    m = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), *[F.avg(c).alias(f"m_{k}") for k, c in (("y", y), ("1", x1), ("2", x2))], F.var_pop(x1).alias("s11"), F.var_pop(x2).alias("s22"), F.var_pop(y).alias("syy"),
+        F.covar_pop(x1, x2).alias("s12"), F.covar_pop(x1, y).alias("s1y"), F.covar_pop(x2, y).alias("s2y"),
+    )
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    m = m.where((F.col("n") > 3) & (det > 0)).withColumns(
+        {"b1": (F.col("s1y") * F.col("s22") - F.col("s2y") * F.col("s12")) / det, "b2": (F.col("s2y") * F.col("s11") - F.col("s1y") * F.col("s12")) / det}
+    )
+    fit = (F.col("b1") * F.col("s1y") + F.col("b2") * F.col("s2y")) / F.col("syy")
+    return m.select(*by, "n", (F.col("m_y") - F.col("b1") * F.col("m_1") - F.col("b2") * F.col("m_2")).alias("b0"), "b1", "b2", fit.alias("r2"))
+
+
+def revision_table(panel: DataFrame, by: list[str], first: int, later: int, value: str) -> DataFrame:
+    """First and later print of each month, the revision, and the revision of the month before."""
+    one = lambda r: F.max(F.when(F.col("revision_number") == r, F.col(value)))
+    both = panel.groupBy(*by, "period").agg(one(first).alias("first"), one(later).alias("later")).where("first IS NOT NULL AND later IS NOT NULL")
+    w = Window.partitionBy(*by).orderBy("period")
+    return both.withColumn("revision", F.col("later") - F.col("first")).withColumn("lagged", F.lag("revision").over(w))
+
+
+def decompose(df: DataFrame, by: list[str], parts: list[str]) -> DataFrame:
+    """Mean and mean absolute error of each part of an error, and of their sum."""
+    total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
+    long = df.withColumn("total", total).unpivot(by, [*parts, "total"], "component", "error")
+    return long.groupBy(*by, "component").agg(F.count("error").alias("n"), F.avg("error").alias("me"), F.avg(F.abs("error")).alias("mae"))
+
+
+def assemble_total(parts: DataFrame, wedges: DataFrame, by: list[str], draws: int) -> DataFrame:
+    """Draws of a sum: part draw i with the wedge draw of index (7 i + 3) modulo the number of draws; both have ``draw, value``."""
+    other = wedges.select(*by, F.col("draw").alias("_j"), F.col("value").alias("_w"))
+    return parts.withColumn("_j", (7 * F.col("draw") + 3) % draws).join(other, [*by, "_j"]).select(*by, "draw", (F.col("value") + F.col("_w")).alias("value"))
+
+
+def indicator(df: DataFrame, months: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Monthly means of a finer series on a grid of months, standardised over the series; ``degenerate`` where nothing varies."""
+    monthly = df.groupBy(*by, "month").agg(F.avg(value).alias(value))
+    aligned = months.join(monthly, [*by, "month"], "left")
+    return standardise(aligned, by, value).withColumn("degenerate", F.max(F.abs("z")).over(Window.partitionBy(*by)) == 0)

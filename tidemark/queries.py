@@ -710,6 +710,67 @@ def rsh12_padding(spark, sf_dir):
     return rebuild.pad(rows, ["c_mktsegment"], "t", ["total"])
 
 
+_REV = _ALL + """, rt0 AS (SELECT industry_code, period, max(growth) FILTER (revision_number = 0) AS f, max(growth) FILTER (revision_number = 2) AS l FROM full_panel WHERE source = 'ces_sa' GROUP BY ALL),
+rt AS (SELECT *, l - f AS revision, lag(l - f) OVER (PARTITION BY industry_code ORDER BY period) AS lagged FROM rt0 WHERE f IS NOT NULL AND l IS NOT NULL)"""
+
+
+def _revisions(spark, sf_dir):
+    return evaluate.revision_table(_full_panel(spark, sf_dir).where("source = 'ces_sa'"), ["industry_code"], 0, 2, "growth")
+
+
+@query(_REV + " SELECT industry_code, period, round(f, 6) AS first, round(l, 6) AS later, round(revision, 6) AS revision, round(lagged, 6) AS lagged FROM rt")
+def jon12_revision_table(spark, sf_dir):
+    return _revisions(spark, sf_dir).select("industry_code", "period", *[F.round(c, 6).alias(c) for c in ("first", "later", "revision", "lagged")])
+
+
+@query(_REV + """, m AS (SELECT industry_code, count(*) AS n, avg(revision) AS my, avg(f) AS m1, avg(lagged) AS m2, var_pop(f) AS s11, var_pop(lagged) AS s22, var_pop(revision) AS syy, covar_pop(f, lagged) AS s12, covar_pop(f, revision) AS s1y, covar_pop(lagged, revision) AS s2y
+FROM rt WHERE lagged IS NOT NULL GROUP BY ALL), b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m WHERE n > 3)
+SELECT industry_code, n, round(my - b1 * m1 - b2 * m2, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2, round((b1 * s1y + b2 * s2y) / syy, 4) AS r2 FROM b""")
+def agg25_revision_regression(spark, sf_dir):
+    out = evaluate.ols2(_revisions(spark, sf_dir), ["industry_code"], "revision", "first", "lagged")
+    return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("b0", "b1", "b2", "r2")])
+
+
+@query(_TARGETS + """, e AS (SELECT industry_code, tm - rw AS a, rw - actual AS b FROM pred), u AS (SELECT industry_code, 'a' AS component, a AS error FROM e UNION ALL SELECT industry_code, 'b', b FROM e UNION ALL SELECT industry_code, 'total', a + b FROM e)
+SELECT industry_code, component, count(error) AS n, round(avg(error), 6) AS me, round(avg(abs(error)), 6) AS mae FROM u GROUP BY ALL""")
+def agg34_error_parts(spark, sf_dir):
+    p = _predictions(spark, sf_dir).select("industry_code", (F.col("tm") - F.col("rw")).alias("a"), (F.col("rw") - F.col("actual")).alias("b"))
+    out = evaluate.decompose(p, ["industry_code"], ["a", "b"])
+    return out.withColumns({"me": F.round("me", 6), "mae": F.round("mae", 6)})
+
+
+@query(""", d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw FROM events), x AS (SELECT (7 * i + 3) % 500 AS j, i FROM range(500) t(i)), p AS (SELECT * FROM d WHERE event_type = 'view'), w AS (SELECT * FROM d WHERE event_type = 'click')
+SELECT CAST(i AS INT) AS draw, round(p.value + w.value, 6) AS value FROM x JOIN p ON p.draw = i JOIN w ON w.draw = j""")
+def agg33_assemble_total(spark, sf_dir):
+    """500 draws each: the number of draws is a parameter of the run, as in any simulation."""
+    draw = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    d = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").select("event_type", draw.alias("draw"), "value").where("draw < 500").withColumn("series", F.lit(1))
+    out = evaluate.assemble_total(d.where("event_type = 'view'").drop("event_type"), d.where("event_type = 'click'").drop("event_type"), ["series"], 500)
+    return out.select("draw", F.round("value", 6).alias("value"))
+
+
+@query(""", mo AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), g AS (SELECT p_size % 3 AS k, month FROM mo, (SELECT DISTINCT p_size % 3 AS p_size FROM part)),
+v AS (SELECT p_size % 3 AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), a AS (SELECT g.k, g.month, q FROM g LEFT JOIN v ON g.k = v.k AND g.month = v.month)
+SELECT CAST(k AS INT) AS k, month, round(coalesce((q - avg(q) OVER (PARTITION BY k)) / stddev_pop(q) OVER (PARTITION BY k), 0), 5) AS z FROM a""")
+def pip05_indicator(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.select((F.col("p_size") % 3).alias("k"), dates.month(F.col("l_shipdate").cast("date")).alias("month"), "l_quantity")
+    months = table(spark, sf_dir, "orders").select(dates.month(F.col("o_orderdate").cast("date")).alias("month")).distinct()
+    grid = months.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    return evaluate.indicator(lines, grid, ["k"], "l_quantity").select("k", "month", F.round("z", 5).alias("z"))
+
+
+@query(""" SELECT n_nationkey, c_mktsegment, adj, 'SM' || adj || rpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '00000' || rpad(left(c_mktsegment, 8), 8, '0') || '01' AS id
+FROM nation, (SELECT DISTINCT c_mktsegment FROM customer), (VALUES ('S'), ('U')) a(adj)""")
+def rsh13_series_list(spark, sf_dir):
+    """All series of three dimensions: states, industries, adjustments."""
+    segments = table(spark, sf_dir, "customer").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("s"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey").join(F.broadcast(segments))
+    rows = rows.select("n_nationkey", F.explode("s").alias("c_mktsegment")).withColumn("adj", F.explode(F.array(F.lit("S"), F.lit("U"))))
+    made = series.build_series_id("SM", seasonal=F.col("adj"), state=F.col("n_nationkey").cast("string"), area=F.lit("00000"), industry=F.substring("c_mktsegment", 1, 8), data_type=F.lit("01"))
+    return rows.withColumn("id", made)
+
+
 # ------------------------------------------------------------------ checks
 
 
