@@ -49,6 +49,19 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
+def hash_sample(df: DataFrame, bound: int, *key: str) -> DataFrame:
+    """At most ``bound`` rows of ``df``, those whose keys have the smallest hashes.
+
+    The rows are counted first, and those that surely have larger hashes go
+    before anything is sorted, so no task gathers a share of all partitions.
+    """
+    n = df.count()
+    out = df.withColumn("_hash", F.xxhash64(*key))
+    if n > 2 * bound:  # twice the expected number is left: more than the bound, but for chance beyond measure
+        out = out.where(F.pmod("_hash", F.lit(1 << 40)) < int(2 * bound / n * (1 << 40)))
+    return out.orderBy(F.pmod("_hash", F.lit(1 << 40)), *key).limit(bound).drop("_hash")
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """Each Arrow batch as Python lists of the named columns."""
     for batch in batches:

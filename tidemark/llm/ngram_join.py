@@ -43,7 +43,7 @@ from tidemark.llm.components import connected
 WORDS, PERCENT = 5, 75
 #: Bands whose smallest set is below these have every element as a segment, or use one-deletion neighbourhoods.
 TINY, SMALL = 16, 64
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 #: Documents that common n-grams are estimated from, chosen by a hash, and how many must hold one that counts as common.
 COST_DOCS, COMMON_DOCS = 6_000, 2
 #: Members of one pivot that are compared in one block, besides the pivot.
@@ -180,7 +180,7 @@ _FOUND = "kind string, a long, b long, n long"
 
 
 def _send(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Signatures by bucket, packed; under negative buckets the sizes, and the sets without an allocation."""
+    """Signatures by bucket, packed; under negative buckets the texts' sizes, and the sets without an allocation."""
     for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
         sets = _Sets([shingles(x) for x in texts], common)
         known, keys = np.array([i is not None for i in ids]), np.array([-1 if i is None else i for i in ids], dtype=np.int64)
@@ -258,22 +258,46 @@ def _meet(table: pa.Table, parts: int) -> pa.Table:
     return _table("star", pairs[:, 0], pairs[:, 1], n)
 
 
-def _passing(docs: DataFrame, ids: DataFrame, hits: bool) -> DataFrame:
-    """``docs`` whose id passes (or not) a filter of fixed size over ``ids``; what does not pass is surely not among them."""
-    bit = f"CAST(pmod(xxhash64(id), {FILTER_BITS}) AS INT)"
-    words = ids.groupBy(F.expr(f"shiftright({bit}, 5)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit} & 31)")).alias("bits"))
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size over ``ids``; what does not pass is surely not among them."""
+    words = ids.groupBy(F.expr(f"shiftright({_BIT}, 5)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {_BIT} & 31)")).alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.collect():
         bitmap[r.word] = r.bits
-    held = ids.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    return bitmap
 
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint32)
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool) == hits))
 
-    return docs.select("id", "text", F.expr(bit).alias("bit")).mapInArrow(passes, "id long, text string")
+_BIT = f"CAST(pmod(xxhash64(id), {FILTER_BITS}) AS INT)"
+
+
+def _passed(batches: Iterator[pa.RecordBatch], bits: np.ndarray, hits: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text, bit) without the rows that the filter sends the other way, and without the bit."""
+    for batch in batches:
+        at = batch.column(2).to_numpy(zero_copy_only=False)
+        yield batch.select([0, 1]).filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool) == hits))
+
+
+def _passing(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """``docs`` whose id passes the filter."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _passed(batches, np.frombuffer(held.value, np.uint32), True)
+
+    return docs.select("id", "text", F.expr(_BIT).alias("bit")).mapInArrow(run, "id long, text string")
+
+
+def _signed(docs: DataFrame, gone: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
+    """What :func:`_send` makes of ``docs`` without the ids in ``gone``: only documents that the filter cannot clear are joined with them."""
+    bitmap = _bitmap(gone)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # filter and signatures in one worker
+        return _send(_passed(batches, np.frombuffer(held.value, np.uint32), False), parts, common)
+
+    sure = docs.select("id", "text", F.expr(_BIT).alias("bit")).mapInArrow(cleared, _SENT)
+    others = _passing(docs, bitmap).join(gone, "id", "left_anti")
+    return sure.union(others.mapInArrow(lambda batches: _send(batches, parts, common), _SENT))
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -334,7 +358,7 @@ def _verify(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """``a, b``: links within blocks; ``places`` has pivot a, block g and id of each set that a block compares."""
     places = stored(places.distinct(), f"{name}-places")
     ids = stored(places.select("id").distinct(), f"{name}-ids")
-    texts = _passing(docs, ids, True)
+    texts = _passing(docs, _bitmap(ids))
     placed = texts.join(places, "id").select("a", "g", "id", "text")
     return stored(placed.repartition("a", "g").sortWithinPartitions("a", "g", "id").mapInArrow(_compare, "a long, b long"), f"{name}-links")
 
@@ -381,10 +405,8 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     held = stored(texts.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
     gone = stored(copies.select(F.col("b").alias("id")).distinct().join(held, "id", "left_anti"), "copied-ids")
     own = docs.where("text IS NOT NULL")
-    single = _passing(own, gone, False).union(_passing(own, gone, True).join(gone, "id", "left_anti"))
 
-    common = _common(own)
-    sent = single.mapInArrow(lambda batches: _send(batches, parts, common), _SENT)
+    sent = _signed(own, gone, parts, _common(own))
     found = stored(sent.groupBy("part").applyInArrow(lambda table: _meet(table, parts), _FOUND), "ngram-buckets")
     stars = stored(found.where("kind = 'star'").select("a", "b").distinct(), "stars")
 

@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import keyed_text, rows
+from tidemark.llm._shared import hash_sample, in_slices, keyed_text, rows, stored
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
-#: Zones that the field is trained on at most, chosen by a hash; passes over them; posterior that a span needs.
-TRAIN_ZONES, PASSES, ACCEPT = 1_500, 4, 0.9
+#: Documents and zones that the field is trained on at most, chosen by hashes; steps of training; posterior that a span needs.
+TRAIN_DOCS, TRAIN_ZONES, STEPS, ACCEPT = 8_000, 1_500, 6_000, 0.9
+
+#: Bytes of text that a task handles at a time.
+SLICE_BYTES = 4 << 20
 
 # Fixed patterns. The look-behinds and possessive repeats only skip starts that cannot match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -216,7 +219,7 @@ def _labelled(text: str, zone: list[tuple[int, int]], spans: list[Span]) -> list
 def _train(sample: list[tuple[str, str, list[tuple[int, int]], list[tuple[int, int]]]], rate: float = 0.2) -> SpanField:
     """Stochastic ascent of the labelled segmentations' likelihood, with adaptive rates."""
     field, seen = SpanField(), defaultdict(lambda: [1e-3] * 5)
-    for step in range(PASSES):
+    for _ in range(min(40, -(-STEPS // len(sample))) if sample else 0):
         for text, before, zone, gold in sample:
             segments, posterior = field.posteriors(text, before, zone)
             truth, j = set(), 0
@@ -255,9 +258,9 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Spa
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["id", "n", "typed", "text", "before", "places", "gold"])
 
     schema = "id long, n int, typed boolean, text string, before string, places array<int>, gold array<int>"
-    found = keyed_text(df, id_col, text_col).mapInArrow(run, schema)
-    order = [F.xxhash64("id", "n"), F.col("text"), F.col("id")]
-    half = [found.where(c).orderBy(*order).limit(TRAIN_ZONES // 2).collect() for c in ("typed", "NOT typed")]
+    docs = hash_sample(keyed_text(df, id_col, text_col).where(F.col("text").rlike("[0-9@]")), TRAIN_DOCS, "id")
+    found = stored(docs.mapInArrow(run, schema), "zones")
+    half = [hash_sample(found.where(c), TRAIN_ZONES // 2, "id", "n").collect() for c in ("typed", "NOT typed")]
     mixed = [r for pair in zip(*half) for r in pair] + [r for h in half for r in h[min(map(len, half)) :]]
     pairs = lambda x: list(zip(x[::2], x[1::2]))
     return _train([(r.text, r.before, pairs(r.places), pairs(r.gold)) for r in mixed])
@@ -284,7 +287,7 @@ def find(df: DataFrame, field: SpanField, *, id_col: str = "doc_id", text_col: s
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, "id", "text"):
+        for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
             found = [all_spans(x, field) for x in texts]
             columns = [[[{"kind": KINDS[k], "start": a, "stop": b} for k, a, b in s[which]] for s in found] for which in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, span) for c in columns)], ["id", "base", "spans"])
@@ -318,7 +321,7 @@ def redact(df: DataFrame, field: SpanField, *, text_col: str = "text") -> DataFr
         return "".join([*out, text[last:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, text_col, SLICE_BYTES):
             i = names.index(text_col)
             cleaned = pa.array([clean(x) for x in batch.column(i).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:i], cleaned, *batch.columns[i + 1 :]], names)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stored
+from tidemark.llm._shared import hash_sample, stored
 
 #: Labelled documents that the classifier is trained on at most, chosen by a hash of their ids.
 TRAIN_DOCS = 20_000
@@ -81,14 +81,8 @@ def _design(x: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[float]:
     """Weights of the classifier; with labels of one kind only, the share of that kind is all it knows."""
-    chosen = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-        .where("id IS NOT NULL AND y IS NOT NULL")
-        .groupBy("id")
-        .agg(F.min("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(TRAIN_DOCS)
-    )
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    chosen = hash_sample(known.groupBy("id").agg(F.min("y").alias("y")), TRAIN_DOCS, "id")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     got = evidence_features(texts, "text").select("x", "y").toPandas()
     width = 1 + 2 * len(_FEATURES)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import keyed_text, rows, stored
+from tidemark.llm._shared import hash_sample, in_slices, keyed_text, rows, stored
 
 #: Labelled documents that are learned from at most, and features at most.
 TRAIN_DOCS, MAX_FEATURES = 12_000, 20_000
@@ -39,7 +39,8 @@ MIN_SHARE, MIN_DOCS = 0.5, 4
 MIN_RATIO = 14.0
 PREFIXES = (4, 5, 6)
 SPAN_MARGINAL, PREDICT_AT = 0.5, 0.7
-CACHE_ENTRIES = 400_000
+#: Tokens that a worker remembers before it forgets all, and bytes of text that it handles at a time: bound memory, never results.
+CACHE_ENTRIES, SLICE_BYTES = 200_000, 4 << 20
 
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\S+")
@@ -143,9 +144,8 @@ class Tagger:
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic`` of at most ``TRAIN_DOCS`` labelled documents, chosen by a hash of their ids."""
-    chosen = (
-        labels.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-    )
+    known = labels.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    chosen = hash_sample(known, TRAIN_DOCS, "id")
     return docs.where("text IS NOT NULL").join(F.broadcast(chosen), "id").select("text", "toxic")
 
 
@@ -289,7 +289,7 @@ def tag(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model.tagger()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("marginal", pa.float64())]))
-        for ids, texts in rows(batches, "id", "text"):
+        for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
             found = [tagger.document(x) for x in texts]
             spans = [[{"start": a, "stop": b, "marginal": p} for a, b, p in s] for _, s in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], ["id", "score", "spans"])
@@ -309,7 +309,7 @@ def keep_clean(df: DataFrame, model: ToxicityModel, *, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model.tagger()
-        for batch in batches:
+        for batch in in_slices(batches, text_col, SLICE_BYTES):
             texts = batch.column(names.index(text_col)).to_pylist()
             yield batch.filter(pa.array([tagger.document(x)[0] < PREDICT_AT for x in texts], pa.bool_()))
 
