@@ -41,7 +41,7 @@ from tidemark.llm._shared import in_slices, keyed_text, rows, stored
 from tidemark.llm.components import connected
 
 WORDS, PERCENT = 5, 75
-#: Bands whose smallest set is below these have every element as a segment, or use one-deletion neighbourhoods.
+#: Bands whose smallest set is below these have every element as a segment, or one-deletion neighbourhoods where segments run short.
 TINY, SMALL = 16, 64
 SLICE_BYTES = 2 << 20
 #: Documents that common n-grams are estimated from, chosen by a hash, and how many must hold one that counts as common.
@@ -110,8 +110,8 @@ _BANDS = _bands()
 
 
 def _segments(least: np.ndarray) -> np.ndarray:
-    """Segments of the universe for bands by their smallest set; in bands of tiny sets none are drawn."""
-    return np.where(least < SMALL, least // 3 + 2, (0.47 * least + 1.2 * np.sqrt(least)).astype(np.int64) + 1)
+    """Segments of the universe for bands by their smallest set: so many that a set may pass over its costly ones; in bands of tiny sets none are drawn."""
+    return (0.47 * least + 1.2 * np.sqrt(least)).astype(np.int64) + 1
 
 
 class _Sets:
