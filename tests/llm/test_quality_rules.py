@@ -73,3 +73,27 @@ def test_cases(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(odd[r.doc_id])
         assert r.kept == (not r.base_failed)
     assert Q.judge(df.limit(0)).count() == 0
+
+
+def test_each_statistic_rejects_alone(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(2, 9, 5000)]
+
+    def lines(words):
+        return "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+
+    plain = [lines(list(rng.choice(vocabulary, n))) for n in np.exp(rng.normal(5.6, 0.4, 400)).astype(int)]
+    words = list(rng.choice(vocabulary, 260))
+    junk = {
+        "s1": lines(list(rng.choice(vocabulary, 19_000))),
+        "s2": lines([w * 5 for w in words]),
+        "s3": lines([w + "#" * (i % 2) for i, w in enumerate(words)]),
+        "s4": "\n".join([" ".join(words[:60]), *[w for i in range(60) for w in (words[60 + i], "more")]]),
+        "s5": lines(words[:200] + words[:35]),
+    }
+    rows = [(str(i), t, "en", "s") for i, t in enumerate(plain)] + [(k, t, "en", "s") for k, t in junk.items()]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert {k for k in junk if got[k].base_failed} == set()
+    assert {k for k in junk if got[k].kept} == set()
+    assert got["s1"].n_symbols == got["s2"].n_symbols == got["s4"].n_symbols == got["s5"].n_symbols == 0
+    assert sum(got[str(i)].kept for i in range(400)) >= 390
