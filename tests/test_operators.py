@@ -205,3 +205,22 @@ def test_conform_and_empty(spark):
     assert schemas.empty(spark, schemas.PANEL).count() == 0
     with pytest.raises(ValueError, match="missing"):
         schemas.conform(spark.range(1), schemas.CALENDAR)
+
+
+@pytest.mark.parametrize("p, n", [(9, 9), (700, 1400), (1403, 601), (1, 5)])
+def test_total_takes_every_wedge_draw(spark, p, n):
+    rng = np.random.default_rng(p)
+    ids = np.sort(rng.choice(50_000, p + n, replace=False)) - 20_000
+    kinds, values = rng.permutation(["p"] * p + ["w"] * n), rng.normal(size=p + n)
+    df = spark.createDataFrame([(k, int(i), float(v), 1) for k, i, v in zip(kinds, ids, values)], "kind string, id long, value double, s int")
+    d = evaluate.number_draws(df, ["kind"], "id", width=1000)
+    out = evaluate.resample_total(d.where("kind = 'p'"), d.where("kind = 'w'"), ["s"])
+    parts, wedges = values[kinds == "p"], values[kinds == "w"]
+    want = np.array([wedges[j] + parts[j * p // n] for j in range(n)])
+    got = sorted((r.draw, r.value) for r in out.collect())
+    assert [i for i, _ in got] == list(range(n)) and np.allclose([v for _, v in got], want)
+    r = evaluate.score_total(out.withColumn("a", F.lit(0.5)), ["s"], "value", "a").first()
+    spread = np.abs(want[:, None] - want[None, :]).mean() / 2
+    assert abs(r.point_err - abs(want.mean() - 0.5)) < 1e-9 and abs(r.crps - (np.abs(want - 0.5).mean() - spread)) < 1e-9
+    low, high = np.percentile(want, [10, 90])
+    assert r.covered == (low <= 0.5 <= high)

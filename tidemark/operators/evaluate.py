@@ -178,6 +178,49 @@ def assemble_total(parts: DataFrame, wedges: DataFrame, by: list[str], draws: in
     return parts.withColumn("_j", (7 * F.col("draw") + 3) % draws).join(other, [*by, "_j"]).select(*by, "draw", (F.col("value") + F.col("_w")).alias("value"))
 
 
+def _below(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """``df`` with ``_below``: the weight of all smaller ``_bucket``s of the same keys (nulls are smallest)."""
+    sums = df.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_bucket"])}
+    offsets = sums.select(*[F.col(k).alias(n) for k, n in names.items()], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"))
+    same = F.lit(True)
+    for k, n in names.items():
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return df.join(offsets, same).drop(*names.values())
+
+
+def number_draws(df: DataFrame, by: list[str], order: str, width: int = 10_000) -> DataFrame:
+    """Adds ``draw``, the place of a row in its series from 0, by a whole-numbered ``order``.
+
+    Rows are numbered within ranges of ``width`` values and moved up by the counts of the ranges
+    below, so that no task sorts a whole series.
+    """
+    cut = _below(df.withColumn("_bucket", F.floor(F.col(order) / width)), by, F.lit(1))
+    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(order)) - 1
+    return cut.withColumn("draw", place + F.col("_below")).drop("_bucket", "_below")
+
+
+def resample_total(parts: DataFrame, wedges: DataFrame, by: list[str]) -> DataFrame:
+    """One draw of a sum for each wedge draw of a series; both have ``draw, value``, with draws from 0 without gaps.
+
+    Of p part draws and n wedge draws, wedge draw j takes part draw j p / n, rounded down: the same draw
+    where there are as many, else all part draws about equally often or evenly spaced ones.
+    (A multiple of j modulo the count would leave out most draws where the two have a common factor.)
+    """
+    sizes = parts.groupBy(*by).agg(F.count("*").alias("_p")).join(wedges.groupBy(*by).agg(F.count("*").alias("_n")), by)
+    other = parts.select(*by, F.col("draw").cast("long").alias("_i"), F.col("value").alias("_v"))
+    taken = wedges.join(F.broadcast(sizes), by).withColumn("_i", F.expr("CAST(draw AS BIGINT) * _p DIV _n"))
+    return taken.join(other, [*by, "_i"]).select(*by, "draw", (F.col("value") + F.col("_v")).alias("value"))
+
+
+def score_total(draws: DataFrame, by: list[str], value: str, actual: str, level: float = 0.8) -> DataFrame:
+    """Absolute error of the mean draw, whether the central interval covers the actual value, and the probability score."""
+    point = draws.groupBy(*by).agg(F.abs(F.avg(value) - F.first(actual)).alias("point_err"))
+    covered = interval_coverage(draws, by, value, actual, level).select(*by, "covered")
+    return point.join(covered, by).join(crps(draws, by, value, actual), by)
+
+
 def indicator(df: DataFrame, months: DataFrame, by: list[str], value: str) -> DataFrame:
     """Monthly means of a finer series on a grid of months, standardised over the series; ``degenerate`` where nothing varies."""
     monthly = df.groupBy(*by, "month").agg(F.avg(value).alias(value))

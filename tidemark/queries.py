@@ -739,16 +739,29 @@ def agg34_error_parts(spark, sf_dir):
     return out.withColumns({"me": F.round("me", 6), "mae": F.round("mae", 6)})
 
 
+def _draws(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").select("event_type", "event_id", "value")
+    return evaluate.number_draws(rows, ["event_type"], "event_id").select("event_type", "draw", "value", F.lit(1).alias("series"))
+
+
 @query(""", d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw FROM events), x AS (SELECT (7 * i + 3) % 500 AS j, i FROM range(500) t(i)), p AS (SELECT * FROM d WHERE event_type = 'view'), w AS (SELECT * FROM d WHERE event_type = 'click')
 SELECT CAST(i AS INT) AS draw, round(p.value + w.value, 6) AS value FROM x JOIN p ON p.draw = i JOIN w ON w.draw = j""")
 def agg33_assemble_total(spark, sf_dir):
-    """500 draws each: the number of draws is a parameter of the run, as in any simulation."""
-    draw = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    d = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").select("event_type", draw.alias("draw"), "value").where("draw < 500").withColumn("series", F.lit(1))
+    """The first 500 draws of each, as its SQL has it; ``agg33_resample_total`` takes all."""
+    d = _draws(spark, sf_dir).where("draw < 500").withColumn("draw", F.col("draw").cast("int"))
     out = evaluate.assemble_total(d.where("event_type = 'view'").drop("event_type"), d.where("event_type = 'click'").drop("event_type"), ["series"], 500)
     return out.select("draw", F.round("value", 6).alias("value"))
 
 
+@query(""", d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw FROM events), p AS (SELECT * FROM d WHERE event_type = 'view'), w AS (SELECT * FROM d WHERE event_type = 'click'),
+c AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM w) AS nw) SELECT w.draw, round(p.value + w.value, 6) AS value FROM w CROSS JOIN c JOIN p ON p.draw = w.draw * np // nw""")
+def agg33_resample_total(spark, sf_dir):
+    """As many draws as there are wedge draws."""
+    d = _draws(spark, sf_dir)
+    out = evaluate.resample_total(d.where("event_type = 'view'").drop("event_type"), d.where("event_type = 'click'").drop("event_type"), ["series"])
+    return out.select("draw", F.round("value", 6).alias("value"))
+
+
 @query(""", mo AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), g AS (SELECT p_size % 3 AS k, month FROM mo, (SELECT DISTINCT p_size % 3 AS p_size FROM part)),
 v AS (SELECT p_size % 3 AS k, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), a AS (SELECT g.k, g.month, q FROM g LEFT JOIN v ON g.k = v.k AND g.month = v.month)
 SELECT CAST(k AS INT) AS k, month, round(coalesce((q - avg(q) OVER (PARTITION BY k)) / stddev_pop(q) OVER (PARTITION BY k), 0), 5) AS z FROM a""")
