@@ -1,12 +1,13 @@
 """Operators on small hand-built frames."""
 
 import datetime
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import schemas
+from tidemark import queries, schemas
 from tidemark.functions import dates, series
 from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, store, triangle
 from tidemark.sources import readers
@@ -224,3 +225,18 @@ def test_total_takes_every_wedge_draw(spark, p, n):
     assert abs(r.point_err - abs(want.mean() - 0.5)) < 1e-9 and abs(r.crps - (np.abs(want - 0.5).mean() - spread)) < 1e-9
     low, high = np.percentile(want, [10, 90])
     assert r.covered == (low <= 0.5 <= high)
+
+
+def test_crps_without_a_window_over_a_group(spark, small, capsys):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.normal(size=900), 1), rng.normal(size=50) * 1e-7, -np.exp(rng.normal(size=50) * 9)])
+    df = spark.createDataFrame([(1, float(v), 0.3) for v in x], "k int, v double, a double")
+    out = evaluate.crps(df, ["k"], "v", "a")
+    want = np.abs(x - 0.3).mean() - 0.5 * np.abs(x[:, None] - x[None, :]).mean()
+    assert abs(out.first().crps - want) < 1e-9 * abs(want)
+    for plan, by in ((out, r"k#\d+L?"), (queries.agg22_interval_coverage(spark, small), r"event_type#\d+"), (queries.agg23_crps(spark, small), r"day#\d+, event_type#\d+")):
+        plan.explain("extended")
+        text = capsys.readouterr().out
+        windows = re.findall(r"\+- Window \[(.*)\], \[([^\]]*)\]", text)
+        # only the running sum over one row for each bucket goes over a whole group
+        assert all("_bucket" in order_by or "_bucket" in line for line, order_by in windows if re.fullmatch(by, order_by))

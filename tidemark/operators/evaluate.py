@@ -43,18 +43,27 @@ def error_metrics(df: DataFrame, by: list[str], error: str) -> DataFrame:
 
 def interval_coverage(draws: DataFrame, by: list[str], value: str, actual: str, level: float) -> DataFrame:
     """Whether the actual value lies in the central interval of the draws (exact percentiles, linear in between)."""
-    ends = f"percentile({value}, array({(1 - level) / 2!r}D, {(1 + level) / 2!r}D))"
-    out = draws.groupBy(*by).agg(F.expr(ends).alias("q"), F.first(actual).alias("actual"))
+    ends = f"percentile({value}, array({(1 - level) / 2!r}D, {(1 + level) / 2!r}D), _c)"
+    counts = draws.groupBy(*by, value).agg(F.count("*").alias("_c"), F.first(actual).alias("_actual"))
+    out = counts.groupBy(*by).agg(F.expr(ends).alias("q"), F.first("_actual").alias("actual"))
     return out.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.col("actual").between(F.col("q")[0], F.col("q")[1]).alias("covered"))
 
 
 def crps(draws: DataFrame, by: list[str], value: str, actual: str) -> DataFrame:
-    """Continuous ranked probability score of the draws, from sorted ranks."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    ranked = draws.withColumn("_i", i)
-    n = F.count("*")
-    spread = F.sum((2 * F.col("_i")) * F.col(value)) - (n + 1) * F.sum(value)
-    return ranked.groupBy(*by).agg((F.avg(F.abs(F.col(value) - F.col(actual))) - spread / (n * n)).alias("crps"))
+    """Continuous ranked probability score of the draws, from sorted ranks.
+
+    Equal draws are counted first; values are ranked within buckets about 2 % wide, moved up by the
+    counts of the buckets below, so that no task sorts all draws of a group.
+    """
+    counts = draws.groupBy(*by, F.col(value).alias("_v"), F.col(actual).alias("_a")).agg(F.count("*").alias("_c"))
+    cut = _below(counts.withColumn("_bucket", F.floor(F.signum("_v") * F.log1p(F.abs("_v") * 1e6) * 50)), by, F.col("_c"))
+    w = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    c, n, off = F.col("_c"), F.sum("_c"), F.abs(F.col("_v") - F.col("_a"))
+    twice_ranks = (2 * F.col("_before") + c + 1) * c  # of the places before + 1 to before + c
+    spread = F.sum(twice_ranks * F.col("_v")) - (n + 1) * F.sum(c * F.col("_v"))
+    mean_off = F.sum(c * off) / F.sum(F.when(off.isNotNull(), c))
+    return ranked.groupBy(*by).agg((mean_off - spread / (n * n)).alias("crps"))
 
 
 def mincer_zarnowitz(df: DataFrame, by: list[str], actual: str, forecast: str) -> DataFrame:
