@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, notebooks).
+#: Used only where the session names no shared folder and runs on one machine (tests, notebooks).
 _FALLBACK_DIR = "/tmp/tidemark-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    If the session names none, a local one is set, which is right on one
-    machine only.
+    If the session names none, a local one is set where the master is local;
+    on a cluster that would lose data without a word, so it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by_context.isDefined():
         return set_by_context.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(_FALLBACK_DIR)
     return _FALLBACK_DIR
 
@@ -49,6 +54,18 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def hash_sample(df: DataFrame, bound: int, *key: str) -> DataFrame:
     """At most ``bound`` rows of ``df``, those whose keys have the smallest hashes.
 
@@ -62,6 +79,67 @@ def hash_sample(df: DataFrame, bound: int, *key: str) -> DataFrame:
     return out.orderBy(F.pmod("_hash", F.lit(1 << 40)), *key).limit(bound).drop("_hash")
 
 
+#: Rows of whole texts that Spark hands to a Python worker at a time: a few MB, where its default of 10,000 would be some 30.
+TEXT_BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make Arrow batches small enough for whole texts, unless the session names a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXT_BATCH_ROWS))
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return memory that this worker holds but does not use to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, with unused memory given back after some and at the end, as workers are used again."""
+    try:
+        for n, batch in enumerate(batches, 1):
+            yield batch
+            if n % 8 == 0:
+                del batch
+                give_back()
+    finally:
+        give_back()
+
+
+class Memo(dict):
+    """What ``make`` gives for many short strings at once, in two generations of about ``limit`` entries each.
+
+    A full generation becomes the older one, in place of the last; what is
+    asked for again comes back from there.  This bounds memory, never results.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], limit: int, longest: int = 48):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def joined(self, cut: list[list[str]], last: bytes = b"") -> list[bytes]:
+        """For each list of strings what they give, joined, and ``last`` after it."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        new = set(chain.from_iterable(cut)).difference(self)
+        for key in new.intersection(self.older):
+            self[key] = self.older[key]
+        left = list(new.difference(self.older))
+        self.update(zip(left, self.make(left)))
+        out = [b"".join([*map(self.__getitem__, keys), last]) for keys in cut]
+        for key in left:
+            if len(key) > self.longest:
+                del self[key]
+        return out
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """Each Arrow batch as Python lists of the named columns."""
     for batch in batches:

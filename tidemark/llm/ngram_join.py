@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import in_slices, keyed_text, rows, stored
+from tidemark.llm._shared import give_back, in_slices, keyed_text, lean, rows, stored
 from tidemark.llm.components import connected
 
 WORDS, PERCENT = 5, 75
 #: Bands whose smallest set is below these have every element as a segment, or one-deletion neighbourhoods where segments run short.
 TINY, SMALL = 16, 64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Documents that common n-grams are estimated from, chosen by a hash, and how many must hold one that counts as common.
 COST_DOCS, COMMON_DOCS = 6_000, 2
 #: Members of one pivot that are compared in one block, besides the pivot.
@@ -254,8 +254,11 @@ def _meet(table: pa.Table, parts: int) -> pa.Table:
     probed = np.bincount(group, probes) > 0
     pivot = ids[begin][group]
     star = fresh & ~begin & probed[group] & (ids != pivot)
-    pairs, n = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0, return_counts=True)
-    return _table("star", pairs[:, 0], pairs[:, 1], n)
+    pivot, ids = pivot[star], ids[star]
+    order = np.lexsort((ids, pivot))
+    pivot, ids = pivot[order], ids[order]
+    begin = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (ids[1:] != ids[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    return _table("star", pivot[begin], ids[begin], np.diff(np.append(begin, len(ids))))
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -293,11 +296,11 @@ def _signed(docs: DataFrame, gone: DataFrame, parts: int, common: np.ndarray) ->
     held = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # filter and signatures in one worker
-        return _send(_passed(batches, np.frombuffer(held.value, np.uint32), False), parts, common)
+        return lean(_send(_passed(batches, np.frombuffer(held.value, np.uint32), False), parts, common))
 
     sure = docs.select("id", "text", F.expr(_BIT).alias("bit")).mapInArrow(cleared, _SENT)
     others = _passing(docs, bitmap).join(gone, "id", "left_anti")
-    return sure.union(others.mapInArrow(lambda batches: _send(batches, parts, common), _SENT))
+    return sure.union(others.mapInArrow(lambda batches: lean(_send(batches, parts, common)), _SENT))
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -360,7 +363,7 @@ def _verify(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     ids = stored(places.select("id").distinct(), f"{name}-ids")
     texts = _passing(docs, _bitmap(ids))
     placed = texts.join(places, "id").select("a", "g", "id", "text")
-    return stored(placed.repartition("a", "g").sortWithinPartitions("a", "g", "id").mapInArrow(_compare, "a long, b long"), f"{name}-links")
+    return stored(placed.repartition("a", "g").sortWithinPartitions("a", "g", "id").mapInArrow(lambda batches: lean(_compare(batches)), "a long, b long"), f"{name}-links")
 
 
 def _labelled(pairs: DataFrame, components: DataFrame, column: str) -> DataFrame:
@@ -380,7 +383,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     share = min(1.0, COST_DOCS / max(1, n))
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    often = some.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON_DOCS)
+    often = some.mapInArrow(lambda batches: lean(run(batches)), "gram long").groupBy("gram").count().where(F.col("count") >= COMMON_DOCS)
     got = often.orderBy(F.desc("count"), "gram").limit(50_000).toPandas().gram.to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
@@ -406,8 +409,13 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     gone = stored(copies.select(F.col("b").alias("id")).distinct().join(held, "id", "left_anti"), "copied-ids")
     own = docs.where("text IS NOT NULL")
 
+    def meet(table: pa.Table) -> pa.Table:
+        out = _meet(table, parts)
+        give_back()
+        return out
+
     sent = _signed(own, gone, parts, _common(own))
-    found = stored(sent.groupBy("part").applyInArrow(lambda table: _meet(table, parts), _FOUND), "ngram-buckets")
+    found = stored(sent.groupBy("part").applyInArrow(meet, _FOUND), "ngram-buckets")
     stars = stored(found.where("kind = 'star'").select("a", "b").distinct(), "stars")
 
     # groups of a pivot, in blocks that all hold it

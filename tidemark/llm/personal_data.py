@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import hash_sample, in_slices, keyed_text, rows, stored
+from tidemark.llm._shared import hash_sample, in_slices, keyed_text, lean, rows, stored
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
@@ -259,7 +259,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Spa
 
     schema = "id long, n int, typed boolean, text string, before string, places array<int>, gold array<int>"
     docs = hash_sample(keyed_text(df, id_col, text_col).where(F.col("text").rlike("[0-9@]")), TRAIN_DOCS, "id")
-    found = stored(docs.mapInArrow(run, schema), "zones")
+    found = stored(docs.mapInArrow(lambda batches: lean(run(batches)), schema), "zones")
     half = [hash_sample(found.where(c), TRAIN_ZONES // 2, "id", "n").collect() for c in ("typed", "NOT typed")]
     mixed = [r for pair in zip(*half) for r in pair] + [r for h in half for r in h[min(map(len, half)) :]]
     pairs = lambda x: list(zip(x[::2], x[1::2]))
@@ -293,7 +293,7 @@ def find(df: DataFrame, field: SpanField, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, span) for c in columns)], ["id", "base", "spans"])
 
     kind = "array<struct<kind: string, start: long, stop: long>>"
-    return keyed_text(df, id_col, text_col).mapInArrow(run, f"id long, base {kind}, spans {kind}").withColumnRenamed("id", id_col)
+    return keyed_text(df, id_col, text_col).mapInArrow(lambda batches: lean(run(batches)), f"id long, base {kind}, spans {kind}").withColumnRenamed("id", id_col)
 
 
 def report(df: DataFrame, field: SpanField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +326,7 @@ def redact(df: DataFrame, field: SpanField, *, text_col: str = "text") -> DataFr
             cleaned = pa.array([clean(x) for x in batch.column(i).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:i], cleaned, *batch.columns[i + 1 :]], names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: lean(run(batches)), df.schema)
 
 
 def digest(spans: list[Span]) -> str:

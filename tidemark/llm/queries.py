@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontamination, ngram_join, personal_data, quality_rules, repeats, site_quality, token_store, toxicity, warc
-from tidemark.llm._shared import new_folder
+from tidemark.llm._shared import new_folder, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import in_slices, rows, stored
+from tidemark.llm._shared import give_back, in_slices, lean, rows, stored
 
 SPAN, GRAM = 200, 64
 #: Places of a gram in a window, and columns of a window once its gram is one.
@@ -255,7 +255,7 @@ def _hot_marks(asked: DataFrame) -> DataFrame:
                 starts = np.concatenate([a["start"] + np.arange(a["windows"]) for a in some])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(starts), pa.array(roll.at(starts, SPAN).view(np.int64))], ["key", "start", "hash"])
 
-    windows = stored(asked.mapInArrow(run, "key long, start long, hash long"), "hot-windows")
+    windows = stored(asked.mapInArrow(lambda batches: lean(run(batches)), "key long, start long, hash long"), "hot-windows")
     again = stored(windows.groupBy("hash").count().where("count > 1").select("hash"), "hot-hashes")
     return windows.join(again, "hash").select("key", "start", F.lit(1).alias("windows"))
 
@@ -282,7 +282,7 @@ def find(docs: DataFrame) -> DataFrame:
     """``key, start, windows``: starts of repeated windows, as stretches, for ``key, text``."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.where("text IS NOT NULL").mapInArrow(lambda batches: _send(batches, parts), _SENT)
+    sent = docs.where("text IS NOT NULL").mapInArrow(lambda batches: lean(_send(batches, parts)), _SENT)
     found = stored(sent.groupBy("part").applyInArrow(_meet, _FOUND), "runs")
     marks = found.where("kind = 'mark'").select("key", "start", "windows")
     asks = found.where("kind <> 'mark'")
@@ -290,7 +290,7 @@ def find(docs: DataFrame) -> DataFrame:
     per_text = stored(per_text, "asked-runs")
     texts = _filter(docs.where("text IS NOT NULL"), per_text.select("key").distinct(), True).dropDuplicates(["key"])
     asked = texts.join(per_text, "key")
-    cut = asked.where("kind = 'sort'").select("key", "text", "asks").mapInArrow(lambda batches: _cut(batches, parts), _STRINGS)
+    cut = asked.where("kind = 'sort'").select("key", "text", "asks").mapInArrow(lambda batches: lean(_cut(batches, parts)), _STRINGS)
     marks = marks.union(stored(cut.groupBy("part").applyInArrow(_columns, _MARKS), "sorted-marks"))
     if not per_text.where("kind = 'hot'").isEmpty():
         marks = marks.union(_hot_marks(asked.where("kind = 'hot'").select("key", "text", "asks")))
@@ -338,5 +338,5 @@ def remove(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
     keys = per_text.select("key")
     touched = _filter(keyed, keys, True).join(per_text, "key", "left").select("id", "text", "marks")
     untouched = _filter(keyed, keys, False).select("id", "text", F.lit(None).cast(per_text.schema["marks"].dataType).alias("marks"))
-    out = touched.mapInArrow(run, schema).union(untouched.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
+    out = touched.mapInArrow(lambda batches: lean(run(batches)), schema).union(untouched.mapInArrow(lambda batches: lean(run(batches)), schema)).withColumnRenamed("id", id_col)
     return out if with_bytes else out.drop("kept")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import hash_sample, in_slices, keyed_text, rows, stored
+from tidemark.llm._shared import hash_sample, in_slices, keyed_text, lean, rows, stored
 
 #: Labelled documents that are learned from at most, and features at most.
 TRAIN_DOCS, MAX_FEATURES = 12_000, 20_000
@@ -40,7 +40,7 @@ MIN_RATIO = 14.0
 PREFIXES = (4, 5, 6)
 SPAN_MARGINAL, PREDICT_AT = 0.5, 0.7
 #: Tokens that a worker remembers before it forgets all, and bytes of text that it handles at a time: bound memory, never results.
-CACHE_ENTRIES, SLICE_BYTES = 200_000, 4 << 20
+CACHE_ENTRIES, SLICE_BYTES = 200_000, 2 << 20
 
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\S+")
@@ -175,7 +175,7 @@ def _features(sample: DataFrame) -> list[str]:
     ratio = 2 * (
         part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share))
     )
-    counted = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(lambda batches: lean(_count(batches)), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = stored(counted.where((a + b >= MIN_DOCS) & (a + b < n)), "features")
     clear = (
         counted.where(a >= MIN_SHARE * (a + b))
@@ -206,7 +206,7 @@ def _windows(sample: DataFrame, features: list[str]) -> np.ndarray:
                 out.append(np.array([some, [int(label == 1 and x > 0) for x in some]], dtype="<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
 
-    got = sample.mapInArrow(run, "window binary").collect()
+    got = sample.mapInArrow(lambda batches: lean(run(batches)), "window binary").collect()
     return np.frombuffer(b"".join(bytes(r.window) for r in got), dtype="<i4").reshape(-1, 2, WINDOW_TOKENS)
 
 
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             values = [tagger.aggregates(tagger.marginals(t)[1], len(t)).tolist() for t in cut]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), pa.array([x == 1 for x in toxic], pa.bool_())], ["x", "y"])
 
-    got = sample.mapInArrow(run, "x array<double>, y boolean").collect()
+    got = sample.mapInArrow(lambda batches: lean(run(batches)), "x array<double>, y boolean").collect()
     return replace(model, document=tuple(_logistic(np.array([r.x for r in got]), np.array([r.y for r in got])).tolist()))
 
 
@@ -295,7 +295,7 @@ def tag(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], ["id", "score", "spans"])
 
     schema = "id long, score double, spans array<struct<start: long, stop: long, marginal: double>>"
-    return keyed_text(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return keyed_text(df, id_col, text_col).mapInArrow(lambda batches: lean(run(batches)), schema).withColumnRenamed("id", id_col)
 
 
 def held_out(key: Column) -> Column:
@@ -313,4 +313,4 @@ def keep_clean(df: DataFrame, model: ToxicityModel, *, text_col: str = "text") -
             texts = batch.column(names.index(text_col)).to_pylist()
             yield batch.filter(pa.array([tagger.document(x)[0] < PREDICT_AT for x in texts], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: lean(run(batches)), df.schema)
