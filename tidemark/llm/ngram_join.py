@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import give_back, in_slices, keyed_text, lean, rows, stored
+from tidemark.llm._shared import give_back, in_slices, keyed_text, lean, rows, stored, unused
 from tidemark.llm.components import connected
 
 WORDS, PERCENT = 5, 75
@@ -51,6 +51,9 @@ BLOCK = 384
 #: Bits of the filter that keeps texts without candidates out of the shuffle: its size is fixed.
 FILTER_BITS = 1 << 24
 
+#: Seeds of two hashes of a text, which Spark gives as xxhash64(text) and xxhash64(1, text).
+_SEEDS = (42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42))
+
 _U = np.uint64
 _ONE = _U(1)
 
@@ -194,7 +197,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) ->
         part = (sigs % _U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        digests = np.array([xxhash.xxh64_intdigest(x or "", 42) for x in texts], dtype=np.uint64)  # as Spark's xxhash64
+        digests = np.array([xxhash.xxh64_intdigest(x or "", seed) for x in texts for seed in _SEEDS], dtype=np.uint64)
         out = [(-1 - int(_mix(digests[:1])[0] % _U(parts)), sets.size.astype("<i8").tobytes(), b"", digests.tobytes())]
         if failed := np.union1d(a[3], b[3]).tolist():
             out.append((-1 - parts, b"", b"", keys[failed].tobytes()))
@@ -223,7 +226,7 @@ def _table(kind: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None)
 def _meet(table: pa.Table, parts: int) -> pa.Table:
     """What the signatures of one bucket number show.
 
-    "size" rows give texts (a: hash) the sizes of their sets; "star" rows (a: smallest member, b, n: signatures shared there) are
+    "size" rows give texts (a, b: hashes) the sizes of their sets; "star" rows (a: smallest member, b, n: signatures shared there) are
     candidates; "rest" rows are sets without allocation.
     """
     part = table["part"][0].as_py()
@@ -232,7 +235,7 @@ def _meet(table: pa.Table, parts: int) -> pa.Table:
         return _table("rest", np.concatenate([np.frombuffer(x, np.int64) for x in blobs[2]]), None, None)
     if part < 0:
         size, digests = (np.concatenate([np.frombuffer(x, np.int64) for x in xs]) for xs in (blobs[0], blobs[2]))
-        return _table("size", digests, None, size)
+        return _table("size", digests[::2], digests[1::2], size)
     sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs[0]])
     ids, probes = [], []
     for raw, packed, keys in zip(*blobs):
@@ -445,8 +448,8 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
         late = _verify(own, places, "large")
         components = stored(connected(components.select(F.col("component").alias("a"), F.col("id").alias("b")).union(late)), "components")
 
-    sizes = stored(found.where("kind = 'size'").groupBy(F.col("a").alias("hash")).agg(F.max("n").alias("n_shingles")), "sizes")
-    counted = docs.select("id", F.xxhash64("text").alias("hash")).join(sizes, "hash", "left")
+    sizes = found.where("kind = 'size'").groupBy(F.col("a").alias("hash"), F.col("b").alias("more")).agg(F.max("n").alias("n_shingles"))
+    counted = docs.select("id", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("more")).join(stored(sizes, "sizes"), ["hash", "more"], "left")
     out = _labelled(counted, components, "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
@@ -473,7 +476,23 @@ def _by_all_ngrams(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the smallest id of each component alone; all columns stay, and rows with a null id stay."""
+    """``df`` with the smallest id of each component alone; all columns stay, whatever their names.
+
+    Rows that repeat an id with the same text, or a text under null ids, are
+    one document as well: one row of them stays.  Null and empty texts are no
+    copies of each other and stay; an empty table stays empty.
+    """
     found = join(df, id_col=id_col, text_col=text_col)
-    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (gone_id, again) = unused(df, "gone", "again")
+    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone_id)).distinct(), "near-copies")
+    kept = df.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    # rows that repeat an id, or have none, are few: only they are compared by digest and numbered
+    held = df.groupBy(F.col(id_col).alias(gone_id)).count().where("count > 1").select(gone_id)
+    held = stored(held, "held-ids")
+    if held.isEmpty():
+        return kept
+    same = F.col(id_col).eqNullSafe(F.col(gone_id))
+    several = kept.join(held, same, "left_semi")
+    empty = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    distinct = several.where(~empty).withColumn(again, F.sha1(text_col)).dropDuplicates([id_col, again]).drop(again)
+    return kept.join(held, same, "left_anti").union(several.where(empty)).union(distinct)
