@@ -1,6 +1,7 @@
 """Operators on small hand-built frames."""
 
 import datetime
+import math
 import re
 
 import numpy as np
@@ -80,8 +81,62 @@ def test_stream_appends_once_and_sets_drift_aside(spark, tmp_path):
 
 def test_first_print_takes_the_partner_of_the_same_release(spark):
     rows = [(month(0), D(2024, 2, 6), 0, 0, 150000.0), (month(0), D(2024, 3, 6), 1, 0, 150300.0), (month(1), D(2024, 3, 6), 0, 0, 150800.0), (month(2), D(2024, 4, 6), 0, 0, -1.0)]
-    (r,) = evaluate.first_print_changes(obs(spark, rows), ["industry_code"]).collect()
+    edge, r = sorted(evaluate.first_print_changes(obs(spark, rows), ["industry_code"]).collect(), key=lambda r: r.month)
     assert r.change == 500.0 and r.month == D(2024, 2, 1)
+    assert edge.month == D(2024, 1, 1) and edge.change is None and edge.growth is None  # the month without a partner stays
+
+
+def test_of_several_first_prints_the_latest_counts(spark):
+    rows = [(month(0), D(2024, 2, 6), 0, 0, 150000.0), (month(1), D(2024, 3, 6), 0, 0, 150800.0), (month(1), D(2024, 3, 9), 0, 0, 150900.0)]
+    got = {r.month: (r.change, r.vintage_date) for r in evaluate.first_print_changes(obs(spark, rows), ["industry_code"]).collect()}
+    assert got[D(2024, 2, 1)] == (900.0, D(2024, 3, 9))
+
+
+def test_encompassing_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(100, 40, 200)
+    model, rival = y + rng.normal(0, 24, 200), y + rng.normal(0, 3, 200)
+    frame = [(1, float(a), float(m), float(r)) for a, m, r in zip(y, model, rival)] + [(1, float("nan"), 1.0, 2.0), (1, 3.0, None, 2.0), (1, 1.0, 2.0, float("inf"))] + [(2, 1.0, 2.0, 3.0)] * 4
+    (r,) = evaluate.encompassing(spark.createDataFrame(frame, "k int, y double, m double, r double"), ["k"], "y", "m", "r").collect()
+    x = np.column_stack([np.ones(200), model, rival])
+    beta, rss = np.linalg.lstsq(x, y, rcond=None)[0], float(np.linalg.lstsq(x, y, rcond=None)[1][0])
+    var_b = rss / 197 * np.linalg.inv(x.T @ x)[1, 1]
+    c = np.cov(y - model, y - rival)
+    weight = np.clip((c[1, 1] - c[0, 1]) / (c[0, 0] + c[1, 1] - 2 * c[0, 1]), 0, 1)
+    assert r.n == 200 and abs(r.b - beta[1]) < 1e-6 and abs(r.c - beta[2]) < 1e-6 and abs(r.weight - weight) < 1e-9 and r.weight < 0.1
+    assert abs(r.p_value - math.erfc(math.sqrt(beta[1] ** 2 / var_b / 2))) < 1e-6
+    assert abs(r.mae_combined - np.abs(y - weight * model - (1 - weight) * rival).mean()) < 1e-9 and r.mae_combined < r.mae_model
+    (same,) = evaluate.encompassing(spark.createDataFrame([(1, float(i), i + 1.0, i + 1.0) for i in range(9)], "k int, y double, m double, r double"), ["k"], "y", "m", "r").collect()
+    assert same.weight == 0.5 and same.b is None
+
+
+def test_month_types_by_threshold_and_finite_percentile(spark):
+    nan = float("nan")
+    rows = [(1, D(2024, i + 1, 1), r, m) for i, (r, m) in enumerate([(1.0, 0.0), (2.0, 45.0), (-99.0, 50.0), (nan, -40.0), (None, nan), (3.0, 39.9)])]
+    got = {r.month.month: r.month_type for r in evaluate.month_types(spark.createDataFrame(rows, "k int, month date, rev double, mom double"), ["k"], "rev", "mom").collect()}
+    assert np.percentile([1, 2, 99, 3], 90) < 99
+    assert got == {1: "normal", 2: "turning_point", 3: "large_revision", 4: "turning_point", 5: "normal", 6: "normal"}
+    only = spark.createDataFrame([(1, D(2024, 2, 1), nan, nan)], "k int, month date, rev double, mom double")
+    assert evaluate.month_types(only, ["k"], "rev", "mom").first().month_type == "benchmark_window"
+
+
+def test_assembled_total_against_numpy(spark):
+    growth, wedge = np.random.default_rng(2).normal(0.001, 0.002, 70), np.random.default_rng(3).normal(20, 5, 70)
+    frame = lambda v: spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "s int, draw long, value double")
+    part = 150.0 * (np.exp(growth) - 1) * 10.0
+    for eta in (0.0, 4.0):
+        out = evaluate.assemble_total(frame(growth), frame(wedge), ["s"], prev_index=150.0, idx_to_level=10.0, eta=eta)
+        got = np.array([r.value for r in out.orderBy("draw").collect()])
+        assert np.allclose(got, part + wedge + eta * (part - part.mean()) / part.std()) and abs(got.mean() - (part + wedge).mean()) < 1e-9
+    flat = evaluate.assemble_total(frame([0.0] * 5), frame(wedge[:7]), ["s"], prev_index=1.0, idx_to_level=1.0, eta=2.0)
+    assert np.allclose([r.value for r in flat.orderBy("draw").collect()], wedge[:7])
+
+
+def test_draws_that_are_not_finite_do_not_count(spark):
+    rows = spark.createDataFrame([("a", v, 2.0) for v in (1.0, 2.0, 3.0, float("nan"), float("inf"), None)], "k string, v double, y double")
+    r = evaluate.interval_coverage(rows, ["k"], "v", "y", 0.8).first()
+    assert np.allclose([r.low, r.high], [1.2, 2.8]) and r.covered is True
+    assert abs(evaluate.crps(rows, ["k"], "v", "y").first().crps - (2 / 3 - (2 / 9) * (-2 + 0 + 6) / 2)) < 1e-12
 
 
 def test_calendar_prints_and_shadows(spark):

@@ -11,25 +11,32 @@ from tidemark.functions.dates import month
 RELEASE_WINDOW_DAYS = 15
 
 
+def _finite(value: str | Column) -> Column:
+    """Whether a number is there, and neither NaN nor infinite."""
+    c = F.col(value) if isinstance(value, str) else value
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+
 def first_print_changes(store: DataFrame, by: list[str]) -> DataFrame:
     """Change and growth of each month as first published: its first print less the prior month's level of that release.
 
-    The partner is the prior month's second print, else its latest print, published at most
-    ``RELEASE_WINDOW_DAYS`` after the first print.  Rows without a positive level do not count.
+    Of several first prints the latest counts.  The partner is the prior month's second print, else its latest
+    print, published at most ``RELEASE_WINDOW_DAYS`` after the first print; months without one keep their row,
+    with nulls.  Rows without a positive level do not count.
     """
     rows = store.where("employment > 0").withColumn("month", month(F.col("ref_date")))
     first = (
         rows.where("revision = 0 AND benchmark_revision = 0")
         .groupBy(*by, "month")
-        .agg(F.min_by("employment", F.struct("vintage_date", "employment")).alias("level"), F.min("vintage_date").alias("vintage_date"))
+        .agg(F.max_by("employment", F.struct("vintage_date", "employment")).alias("level"), F.max("vintage_date").alias("vintage_date"))
         .withColumn("prior", F.add_months("month", -1))
     )
     prior = rows.select(*by, F.col("month").alias("prior"), F.col("employment").alias("p"), F.col("vintage_date").alias("pv"), "revision", "benchmark_revision")
-    pairs = first.join(prior, [*by, "prior"]).where(F.col("pv") <= F.date_add("vintage_date", RELEASE_WINDOW_DAYS))
-    second = (F.col("revision") == 1) & (F.col("benchmark_revision") == 0)
-    found = pairs.groupBy(*by, "month", "vintage_date", "level").agg(
+    known = F.col("pv") <= F.date_add("vintage_date", RELEASE_WINDOW_DAYS)
+    second = known & (F.col("revision") == 1) & (F.col("benchmark_revision") == 0)
+    found = first.join(prior, [*by, "prior"], "left").groupBy(*by, "month", "vintage_date", "level").agg(
         F.min_by(F.when(second, F.col("p")), F.when(second, F.struct("pv", "p"))).alias("primary"),
-        F.max_by("p", F.struct("benchmark_revision", "revision", "pv", "p")).alias("fallback"),
+        F.max_by(F.when(known, F.col("p")), F.when(known, F.struct("benchmark_revision", "revision", "pv", "p"))).alias("fallback"),
     )
     partner = F.coalesce("primary", "fallback")
     return found.select(*by, "month", "vintage_date", (F.col("level") - partner).alias("change"), (F.ln("level") - F.ln(partner)).alias("growth"))
@@ -42,7 +49,11 @@ def error_metrics(df: DataFrame, by: list[str], error: str) -> DataFrame:
 
 
 def interval_coverage(draws: DataFrame, by: list[str], value: str, actual: str, level: float) -> DataFrame:
-    """Whether the actual value lies in the central interval of the draws (exact percentiles, linear in between)."""
+    """Whether the actual value lies in the central interval of the draws (exact percentiles, linear in between).
+
+    Draws that are not finite do not count; groups without any other are left out.
+    """
+    draws = draws.where(_finite(value))
     ends = f"percentile({value}, array({(1 - level) / 2!r}D, {(1 + level) / 2!r}D), _c)"
     counts = draws.groupBy(*by, value).agg(F.count("*").alias("_c"), F.first(actual).alias("_actual"))
     out = counts.groupBy(*by).agg(F.expr(ends).alias("q"), F.first("_actual").alias("actual"))
@@ -53,9 +64,10 @@ def crps(draws: DataFrame, by: list[str], value: str, actual: str) -> DataFrame:
     """Continuous ranked probability score of the draws, from sorted ranks.
 
     Equal draws are counted first; values are ranked within buckets about 2 % wide, moved up by the
-    counts of the buckets below, so that no task sorts all draws of a group.
+    counts of the buckets below, so that no task sorts all draws of a group.  Draws that are not
+    finite do not count; groups without any other are left out.
     """
-    counts = draws.groupBy(*by, F.col(value).alias("_v"), F.col(actual).alias("_a")).agg(F.count("*").alias("_c"))
+    counts = draws.where(_finite(value)).groupBy(*by, F.col(value).alias("_v"), F.col(actual).alias("_a")).agg(F.count("*").alias("_c"))
     cut = _below(counts.withColumn("_bucket", F.floor(F.signum("_v") * F.log1p(F.abs("_v") * 1e6) * 50)), by, F.col("_c"))
     w = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
@@ -80,15 +92,47 @@ def mincer_zarnowitz(df: DataFrame, by: list[str], actual: str, forecast: str) -
     return m.withColumn("wald", wald).select(*by, "n", "intercept", "slope", "r2", "wald", F.exp(-F.col("wald") / 2).alias("p_value"))
 
 
+#: Fixed values of the rational approximation to the complementary error function (Abramowitz and Stegun, 7.1.26), good to 1.5e-7.
+ERFC_P, ERFC_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def chi_square_tail(value: Column) -> Column:
+    """Probability that a chi-square variable with one degree of freedom exceeds ``value``."""
+    x = F.sqrt(value / 2)
+    t = 1 / (1 + ERFC_P * x)
+    series = F.lit(0.0)
+    for a in reversed(ERFC_A):
+        series = (series + a) * t
+    return series * F.exp(-value / 2)
+
+
 def encompassing(df: DataFrame, by: list[str], actual: str, model: str, rival: str) -> DataFrame:
-    """Weights of two forecasts in a joint regression without intercept, the combining weight in [0, 1], and three mean absolute errors."""
-    e1, e2 = F.col(actual) - F.col(model), F.col(actual) - F.col(rival)
-    d = e1 - e2
-    weight = F.least(F.greatest(-F.covar_samp(e1, d) / F.var_samp(d), F.lit(0.0)), F.lit(1.0))
-    found = df.groupBy(*by).agg(F.count("*").alias("n"), weight.alias("weight")).where("n >= 5")
-    combined = (1 - F.col("weight")) * F.col(model) + F.col("weight") * F.col(rival)
-    return df.join(found, by).groupBy(*by, "n", "weight").agg(
-        F.avg(F.abs(e1)).alias("mae_model"), F.avg(F.abs(e2)).alias("mae_rival"), F.avg(F.abs(F.col(actual) - combined)).alias("mae_combined")
+    """Whether a model adds to a rival, and how the two are best combined, for groups of at least five complete rows.
+
+    ``b, c``: coefficients of model and rival in a regression of the actual value with an intercept; ``p_value``: of
+    b = 0, by its classical variance and chi-square.  ``weight``: of the model in the convex combination of least
+    error variance (one half where the errors do not differ).  Mean absolute errors of model, rival and combination.
+    """
+    rows = df.where(_finite(actual) & _finite(model) & _finite(rival))
+    em, er = F.col(actual) - F.col(model), F.col(actual) - F.col(rival)
+    m = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.var_samp(em).alias("vm"), F.var_samp(er).alias("vr"), F.covar_samp(em, er).alias("cov"),
+        F.var_pop(model).alias("s11"), F.var_pop(rival).alias("s22"), F.var_pop(actual).alias("syy"),
+        F.covar_pop(model, rival).alias("s12"), F.covar_pop(model, actual).alias("s1y"), F.covar_pop(rival, actual).alias("s2y"),
+    ).where("n >= 5")
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    det = F.when(det > 0, det)  # null where the two forecasts are one
+    m = m.withColumns({"b": (F.col("s1y") * F.col("s22") - F.col("s2y") * F.col("s12")) / det, "c": (F.col("s2y") * F.col("s11") - F.col("s1y") * F.col("s12")) / det})
+    left = F.greatest(F.col("syy") - F.col("b") * F.col("s1y") - F.col("c") * F.col("s2y"), F.lit(0.0))
+    variance = left / F.greatest(F.col("n") - 3, F.lit(1)) * F.col("s22") / det
+    wald = F.coalesce(F.col("b") * F.col("b") / F.when(variance > 0, variance), F.lit(0.0))
+    apart = F.col("vm") + F.col("vr") - 2 * F.col("cov")
+    share = (F.col("vr") - F.col("cov")) / F.when(apart > 0, apart)
+    weight = F.when(share.isNull(), 0.5).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    found = m.select(*by, "n", "b", "c", chi_square_tail(wald).alias("p_value"), weight.alias("weight"))
+    both = F.col("weight") * F.col(model) + (1 - F.col("weight")) * F.col(rival)
+    return rows.join(found, by).groupBy(*by, "n", "b", "c", "p_value", "weight").agg(
+        F.avg(F.abs(em)).alias("mae_model"), F.avg(F.abs(er)).alias("mae_rival"), F.avg(F.abs(F.col(actual) - both)).alias("mae_combined")
     )
 
 
@@ -108,14 +152,20 @@ def trailing_mean(known: DataFrame, keys: list[str], value: str, window: int = 1
     return known.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window).groupBy(*keys).agg(F.avg(value).alias("prediction"))
 
 
-def month_types(df: DataFrame, by: list[str], revision: str, momentum: str, share: float = 0.9) -> DataFrame:
-    """large_revision, turning_point, benchmark_window or normal, in this order of precedence."""
-    bound = df.groupBy(*by).agg(F.expr(f"percentile(abs({revision}), {share!r}D)").alias("_bound"))
-    w = Window.partitionBy(*by).orderBy("month")
+def month_types(
+    df: DataFrame, by: list[str], revision: str, momentum: str, *, share: float = 0.9, turn_at: float = 40.0, benchmark_months: tuple[int, ...] = (2,)
+) -> DataFrame:
+    """large_revision, turning_point, benchmark_window or normal, in this order of precedence.
+
+    A revision is large from the percentile ``share`` of all finite revisions of the series on; a month is a turning
+    point where momentum is ``turn_at`` or more either way; numbers that are not finite decide nothing.
+    """
+    size, move = F.when(_finite(revision), F.abs(revision)), F.when(_finite(momentum), F.abs(momentum))
+    bound = df.groupBy(*by).agg(F.percentile(size, share).alias("_bound"))
     kind = (
-        F.when(F.abs(revision) >= F.col("_bound"), "large_revision")
-        .when(F.signum(momentum) * F.lag(F.signum(momentum)).over(w) < 0, "turning_point")
-        .when(F.month("month").isin(1, 2), "benchmark_window")
+        F.when(size >= F.col("_bound"), "large_revision")
+        .when(move >= turn_at, "turning_point")
+        .when(F.month("month").isin(*benchmark_months), "benchmark_window")
         .otherwise("normal")
     )
     return df.join(bound, by).withColumn("month_type", kind).drop("_bound")
@@ -181,10 +231,25 @@ def decompose(df: DataFrame, by: list[str], parts: list[str]) -> DataFrame:
     return long.groupBy(*by, "component").agg(F.count("error").alias("n"), F.avg("error").alias("me"), F.avg(F.abs("error")).alias("mae"))
 
 
-def assemble_total(parts: DataFrame, wedges: DataFrame, by: list[str], draws: int) -> DataFrame:
-    """Draws of a sum: part draw i with the wedge draw of index (7 i + 3) modulo the number of draws; both have ``draw, value``."""
-    other = wedges.select(*by, F.col("draw").alias("_j"), F.col("value").alias("_w"))
-    return parts.withColumn("_j", (7 * F.col("draw") + 3) % draws).join(other, [*by, "_j"]).select(*by, "draw", (F.col("value") + F.col("_w")).alias("value"))
+def change_draws(growth: Column, prev_index: float, idx_to_level: float) -> Column:
+    """The change in level that a draw of growth stands for, from the index before it."""
+    return prev_index * (F.exp(growth) - 1) * idx_to_level
+
+
+def assemble_total(parts: DataFrame, wedges: DataFrame, by: list[str], *, prev_index: float, idx_to_level: float, eta: float = 0.0) -> DataFrame:
+    """Draws of a total change: growth draws of a part, turned into changes, each with a wedge draw; as many as there are wedge draws.
+
+    Both have ``draw, value``, with draws from 0 without gaps; see :func:`resample_total` for unequal counts.
+    ``eta`` times the standardised change of the part is added: the mean stays, intervals widen.
+    """
+    changes = parts.withColumn("value", change_draws(F.col("value"), prev_index, idx_to_level))
+    if not eta:
+        return resample_total(changes, wedges, by)
+    taken = resample_total(changes, wedges.withColumn("value", F.lit(0.0)), by).withColumnRenamed("value", "_part")
+    moments = taken.groupBy(*by).agg(F.avg("_part").alias("_mean"), F.stddev_pop("_part").alias("_sd"))
+    coupled = eta * (F.col("_part") - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    both = taken.join(moments, by).join(wedges.select(*by, "draw", F.col("value").alias("_wedge")), [*by, "draw"])
+    return both.select(*by, "draw", (F.col("_part") + F.col("_wedge") + coupled).alias("value"))
 
 
 def _below(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
@@ -219,7 +284,7 @@ def resample_total(parts: DataFrame, wedges: DataFrame, by: list[str]) -> DataFr
     """
     sizes = parts.groupBy(*by).agg(F.count("*").alias("_p")).join(wedges.groupBy(*by).agg(F.count("*").alias("_n")), by)
     other = parts.select(*by, F.col("draw").cast("long").alias("_i"), F.col("value").alias("_v"))
-    taken = wedges.join(F.broadcast(sizes), by).withColumn("_i", F.expr("CAST(draw AS BIGINT) * _p DIV _n"))
+    taken = wedges.join(sizes, by).withColumn("_i", F.expr("CAST(draw AS BIGINT) * _p DIV _n"))
     return taken.join(other, [*by, "_i"]).select(*by, "draw", (F.col("value") + F.col("_v")).alias("value"))
 
 

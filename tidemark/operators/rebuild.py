@@ -83,8 +83,11 @@ def splice_metrics(df: DataFrame, by: list[str], first: str, best: str, predicte
 
 
 def draw_paths(draws: DataFrame, by: list[str], t: str, growth: str, base: float) -> DataFrame:
-    """Mean growth over draws by period, the index it chains to from ``base``, and its change."""
-    mean = draws.groupBy(*by, t).agg(F.avg(growth).alias("growth"))
+    """Mean growth over draws by period, the index it chains to from ``base``, and its change.
+
+    Growth is summed in decimals of ten places, so that the index does not depend on the order of addition.
+    """
+    mean = draws.groupBy(*by, t).agg(F.round(F.avg(growth), 10).cast("decimal(20,10)").alias("growth"))
     w = Window.partitionBy(*by).orderBy(t)
-    index = mean.withColumn("index", base * F.exp(F.sum("growth").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    index = mean.withColumn("index", base * F.exp(F.sum("growth").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double"))).withColumn("growth", F.col("growth").cast("double"))
     return index.withColumn("change", F.col("index") - F.coalesce(F.lag("index").over(w), F.lit(base)))

@@ -492,9 +492,10 @@ def win08_cumulative_index(spark, sf_dir):
 
 # ------------------------------------------------------------------ evaluation
 
-_FIRST_PRINT = """, fp0 AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, employment AS level, vintage_date FROM obs WHERE source = 'ces' AND seasonally_adjusted AND revision = 0 AND benchmark_revision = 0),
-pr AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS prior, employment AS p, vintage_date AS pv, revision, benchmark_revision FROM obs WHERE source = 'ces' AND seasonally_adjusted),
-pp AS (SELECT f.*, p, pv, revision, benchmark_revision FROM fp0 f JOIN pr ON f.industry_code = pr.industry_code AND pr.prior = CAST(f.month - INTERVAL 1 MONTH AS DATE) AND pv <= f.vintage_date + 15),
+_FIRST_PRINT = """, fp0 AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, employment AS level, vintage_date FROM obs WHERE source = 'ces' AND seasonally_adjusted AND employment > 0 AND revision = 0 AND benchmark_revision = 0
+  QUALIFY row_number() OVER (PARTITION BY industry_code, date_trunc('month', ref_date) ORDER BY vintage_date DESC, employment DESC) = 1),
+pr AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS prior, employment AS p, vintage_date AS pv, revision, benchmark_revision FROM obs WHERE source = 'ces' AND seasonally_adjusted AND employment > 0),
+pp AS (SELECT f.*, p, pv, revision, benchmark_revision FROM fp0 f LEFT JOIN pr ON f.industry_code = pr.industry_code AND pr.prior = CAST(f.month - INTERVAL 1 MONTH AS DATE) AND pv <= f.vintage_date + 15),
 fc AS (SELECT industry_code, month, vintage_date, level, coalesce(arg_min(p, pv) FILTER (revision = 1 AND benchmark_revision = 0), arg_max(p, benchmark_revision * 1000 + revision)) AS q FROM pp GROUP BY ALL),
 fpc AS (SELECT industry_code, month, vintage_date, level - q AS change, ln(level) - ln(q) AS growth FROM fc)"""
 
@@ -508,13 +509,13 @@ def pip06_first_print_changes(spark, sf_dir):
     return _first_prints(spark, sf_dir).withColumn("growth", F.round("growth", 6))
 
 
-_TARGETS = _FIRST_PRINT + """, tgt AS (SELECT industry_code, month AS target, change AS actual, vintage_date - 7 AS as_of FROM fpc),
-kn AS (SELECT t.industry_code, target, actual, as_of, f.month, f.change, row_number() OVER (PARTITION BY t.industry_code, target ORDER BY f.month DESC) AS rn FROM tgt t JOIN fpc f ON f.industry_code = t.industry_code AND f.vintage_date <= t.as_of),
+_TARGETS = _FIRST_PRINT + """, tgt AS (SELECT industry_code, month AS target, change AS actual, vintage_date - 7 AS as_of FROM fpc WHERE change IS NOT NULL),
+kn AS (SELECT t.industry_code, target, actual, as_of, f.month, f.change, row_number() OVER (PARTITION BY t.industry_code, target ORDER BY f.month DESC) AS rn FROM tgt t JOIN fpc f ON f.industry_code = t.industry_code AND f.vintage_date <= t.as_of AND f.change IS NOT NULL),
 pred AS (SELECT industry_code, target, actual, max(CASE WHEN rn = 1 THEN change END) AS rw, avg(CASE WHEN rn <= 12 THEN change END) AS tm FROM kn GROUP BY ALL)"""
 
 
 def _predictions(spark, sf_dir):
-    prints = _first_prints(spark, sf_dir)
+    prints = _first_prints(spark, sf_dir).where("change IS NOT NULL")
     targets = prints.select("industry_code", F.col("month").alias("target"), F.col("change").alias("actual"), F.date_sub("vintage_date", 7).alias("as_of"))
     known = evaluate.known_history(targets, prints, ["industry_code"])
     keys = ["industry_code", "target", "actual"]
@@ -545,12 +546,18 @@ def agg26_mincer_zarnowitz(spark, sf_dir):
     return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("intercept", "slope", "r2", "wald", "p_value")])
 
 
-@query(_TARGETS + """, d AS (SELECT *, actual - rw AS e1, actual - tm AS e2 FROM pred), x AS (SELECT industry_code, count(*) AS n, least(1.0, greatest(0.0, -covar_samp(e1, e1 - e2) / var_samp(e1 - e2))) AS w FROM d GROUP BY ALL)
-SELECT industry_code, n, round(w, 4) AS weight, round(avg(abs(e1)), 4) AS mae_model, round(avg(abs(e2)), 4) AS mae_rival, round(avg(abs(actual - (1 - w) * rw - w * tm)), 4) AS mae_combined
-FROM d JOIN x USING (industry_code) WHERE n >= 5 GROUP BY industry_code, n, w""")
+@query(_TARGETS + """, m AS (SELECT industry_code, count(*) AS n, var_samp(actual - rw) AS vm, var_samp(actual - tm) AS vr, covar_samp(actual - rw, actual - tm) AS cov,
+  var_pop(rw) AS s11, var_pop(tm) AS s22, var_pop(actual) AS syy, covar_pop(rw, tm) AS s12, covar_pop(rw, actual) AS s1y, covar_pop(tm, actual) AS s2y FROM pred GROUP BY ALL),
+k AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS c FROM m WHERE n >= 5),
+v AS (SELECT *, greatest(syy - b * s1y - c * s2y, 0) / greatest(n - 3, 1) * s22 / (s11 * s22 - s12 * s12) AS vb FROM k),
+x AS (SELECT *, CASE WHEN vb > 0 THEN b * b / vb ELSE 0 END AS wald, CASE WHEN vm + vr - 2 * cov > 0 THEN least(1.0, greatest(0.0, (vr - cov) / (vm + vr - 2 * cov))) ELSE 0.5 END AS w FROM v),
+t AS (SELECT *, 1 / (1 + 0.3275911 * sqrt(wald / 2)) AS u FROM x)
+SELECT industry_code, n, round(b, 4) AS b, round(c, 4) AS c, round(u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-wald / 2), 4) AS p_value, round(w, 4) AS weight,
+  round(avg(abs(actual - rw)), 4) AS mae_model, round(avg(abs(actual - tm)), 4) AS mae_rival, round(avg(abs(actual - w * rw - (1 - w) * tm)), 4) AS mae_combined
+FROM pred JOIN t USING (industry_code) GROUP BY industry_code, n, b, c, u, wald, w""")
 def agg27_encompassing(spark, sf_dir):
     out = evaluate.encompassing(_predictions(spark, sf_dir), ["industry_code"], "actual", "rw", "tm")
-    return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("weight", "mae_model", "mae_rival", "mae_combined")])
+    return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("b", "c", "p_value", "weight", "mae_model", "mae_rival", "mae_combined")])
 
 
 @query(""", d AS (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS actual FROM events)
@@ -571,13 +578,15 @@ def agg23_crps(spark, sf_dir):
 
 
 @query(_MONTHLY_SQL + """, x AS (SELECT c_mktsegment, month, total, total - lag(total) OVER w AS rev, total - lag(total, 3) OVER w AS mom FROM mon WINDOW w AS (PARTITION BY c_mktsegment ORDER BY month)),
-b AS (SELECT c_mktsegment, quantile_cont(abs(rev), 0.9) AS bound FROM x GROUP BY ALL),
-y AS (SELECT x.*, bound, lag(sign(mom)) OVER (PARTITION BY x.c_mktsegment ORDER BY month) AS ps FROM x JOIN b USING (c_mktsegment))
-SELECT c_mktsegment, month, CASE WHEN abs(rev) >= bound THEN 'large_revision' WHEN sign(mom) * ps < 0 THEN 'turning_point' WHEN month(month) IN (1, 2) THEN 'benchmark_window' ELSE 'normal' END AS month_type FROM y""")
+b AS (SELECT c_mktsegment, quantile_cont(abs(rev), 0.9) AS bound, median(abs(rev)) * 2 AS turn FROM x GROUP BY ALL)
+SELECT c_mktsegment, month, CASE WHEN abs(rev) >= bound THEN 'large_revision' WHEN abs(mom) / turn >= 1 THEN 'turning_point' WHEN month(month) IN (2) THEN 'benchmark_window' ELSE 'normal' END AS month_type FROM x JOIN b USING (c_mktsegment)""")
 def win17_month_types(spark, sf_dir):
+    """Momentum is put in units of twice the median change of its segment, so that one bound fits all sizes."""
     w = Window.partitionBy("c_mktsegment").orderBy("month")
     rows = evaluate.momentum(_monthly(spark, sf_dir).withColumn("rev", F.col("total") - F.lag("total").over(w)), ["c_mktsegment"], "total", 3)
-    return evaluate.month_types(rows, ["c_mktsegment"], "rev", "momentum").select("c_mktsegment", "month", "month_type")
+    unit = rows.groupBy("c_mktsegment").agg((F.median(F.abs("rev")) * 2).alias("turn"))
+    rows = rows.join(unit, "c_mktsegment").withColumn("momentum", F.col("momentum") / F.col("turn"))
+    return evaluate.month_types(rows, ["c_mktsegment"], "rev", "momentum", turn_at=1.0).select("c_mktsegment", "month", "month_type")
 
 
 @query(_MONTHLY_SQL + """ SELECT c_mktsegment, month, round((total - avg(total) OVER (PARTITION BY c_mktsegment)) / stddev_pop(total) OVER (PARTITION BY c_mktsegment), 6) AS z FROM mon""")
@@ -618,9 +627,10 @@ def prj20_interventions(spark, sf_dir):
 
 # ------------------------------------------------------------------ rebuilding and comparing
 
-_NSA = """, fpn0 AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, employment AS level, vintage_date FROM obs WHERE source = 'ces' AND NOT seasonally_adjusted AND revision = 0 AND benchmark_revision = 0),
-prn AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS prior, employment AS p, vintage_date AS pv, revision, benchmark_revision FROM obs WHERE source = 'ces' AND NOT seasonally_adjusted),
-ppn AS (SELECT f.*, p, pv, revision, benchmark_revision FROM fpn0 f JOIN prn ON f.industry_code = prn.industry_code AND prn.prior = CAST(f.month - INTERVAL 1 MONTH AS DATE) AND pv <= f.vintage_date + 15),
+_NSA = """, fpn0 AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, employment AS level, vintage_date FROM obs WHERE source = 'ces' AND NOT seasonally_adjusted AND employment > 0 AND revision = 0 AND benchmark_revision = 0
+  QUALIFY row_number() OVER (PARTITION BY industry_code, date_trunc('month', ref_date) ORDER BY vintage_date DESC, employment DESC) = 1),
+prn AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS prior, employment AS p, vintage_date AS pv, revision, benchmark_revision FROM obs WHERE source = 'ces' AND NOT seasonally_adjusted AND employment > 0),
+ppn AS (SELECT f.*, p, pv, revision, benchmark_revision FROM fpn0 f LEFT JOIN prn ON f.industry_code = prn.industry_code AND prn.prior = CAST(f.month - INTERVAL 1 MONTH AS DATE) AND pv <= f.vintage_date + 15),
 fcn AS (SELECT industry_code, month, vintage_date, level - coalesce(arg_min(p, pv) FILTER (revision = 1 AND benchmark_revision = 0), arg_max(p, benchmark_revision * 1000 + revision)) AS change FROM ppn GROUP BY industry_code, month, vintage_date, level)"""
 
 
@@ -686,9 +696,9 @@ def agg37_splice_metrics(spark, sf_dir):
     return out.withColumns({"mae": F.round("mae", 4), "mae_without": F.round("mae_without", 4)})
 
 
-@query(""", d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) / 10000 AS growth FROM events GROUP BY ALL),
-i AS (SELECT *, 100 * exp(sum(growth) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)) AS idx FROM d)
-SELECT event_type, day, round(growth, 6) AS growth, round(idx, 4) AS "index", round(idx - coalesce(lag(idx) OVER (PARTITION BY event_type ORDER BY day), 100), 4) AS change FROM i""")
+@query(""", d AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(round(avg(value / 10000), 10) AS DECIMAL(20, 10)) AS growth FROM events GROUP BY ALL),
+i AS (SELECT *, 100 * exp(CAST(sum(growth) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS DOUBLE)) AS idx FROM d)
+SELECT event_type, day, round(CAST(growth AS DOUBLE), 6) AS growth, round(idx, 4) AS "index", round(idx - coalesce(lag(idx) OVER (PARTITION BY event_type ORDER BY day), 100), 4) AS change FROM i""")
 def agg32_draw_paths(spark, sf_dir):
     draws = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"), (F.col("value") / 10000).alias("g"))
     out = rebuild.draw_paths(draws, ["event_type"], "day", "g", 100.0)
@@ -746,13 +756,31 @@ def _draws(spark, sf_dir):
     return evaluate.number_draws(rows, ["event_type"], "event_id").select("event_type", "draw", "value", F.lit(1).alias("series"))
 
 
-@query(""", d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw FROM events), x AS (SELECT (7 * i + 3) % 500 AS j, i FROM range(500) t(i)), p AS (SELECT * FROM d WHERE event_type = 'view'), w AS (SELECT * FROM d WHERE event_type = 'click')
-SELECT CAST(i AS INT) AS draw, round(p.value + w.value, 6) AS value FROM x JOIN p ON p.draw = i JOIN w ON w.draw = j""")
+_TOTAL = """, d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw FROM events),
+p AS (SELECT draw, 100 * (exp(value / 10000) - 1) * 2 AS value FROM d WHERE event_type = 'view'), w AS (SELECT draw, value FROM d WHERE event_type = 'click'),
+c AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM w) AS nw), x AS (SELECT w.draw, p.value AS part, w.value AS wedge FROM w CROSS JOIN c JOIN p ON p.draw = w.draw * np // nw),
+tot AS (SELECT draw, part + wedge + 0.5 * (part - (SELECT avg(part) FROM x)) / (SELECT stddev_pop(part) FROM x) AS value FROM x)"""
+
+
+def _total(spark, sf_dir):
+    d = _draws(spark, sf_dir)
+    parts = d.where("event_type = 'view'").select("series", "draw", (F.col("value") / 10000).alias("value"))
+    return evaluate.assemble_total(parts, d.where("event_type = 'click'").drop("event_type"), ["series"], prev_index=100.0, idx_to_level=2.0, eta=0.5)
+
+
+@query(_TOTAL + " SELECT draw, round(value, 6) AS value FROM tot")
 def agg33_assemble_total(spark, sf_dir):
-    """The first 500 draws of each, as its SQL has it; ``agg33_resample_total`` takes all."""
-    d = _draws(spark, sf_dir).where("draw < 500").withColumn("draw", F.col("draw").cast("int"))
-    out = evaluate.assemble_total(d.where("event_type = 'view'").drop("event_type"), d.where("event_type = 'click'").drop("event_type"), ["series"], 500)
-    return out.select("draw", F.round("value", 6).alias("value"))
+    """All draws: growth turned into changes, one for each wedge draw, with coupled residuals."""
+    return _total(spark, sf_dir).select("draw", F.round("value", 6).alias("value"))
+
+
+@query(_TOTAL + """, a AS (SELECT value, row_number() OVER (ORDER BY value) AS i FROM tot)
+SELECT 1 AS series, round(abs(avg(value) - 50), 6) AS point_err, 50 BETWEEN quantile_cont(value, 0.1) AND quantile_cont(value, 0.9) AS covered,
+  round(avg(abs(value - 50)) - (sum(2 * i * value) - (count(*) + 1) * sum(value)) / (count(*) * count(*)), 5) AS crps FROM a""")
+def agg33_score_total(spark, sf_dir):
+    """The assembled total against a first print of 50."""
+    out = evaluate.score_total(_total(spark, sf_dir).withColumn("actual", F.lit(50.0)), ["series"], "value", "actual")
+    return out.select("series", F.round("point_err", 6).alias("point_err"), "covered", F.round("crps", 5).alias("crps"))
 
 
 @query(""", d AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw FROM events), p AS (SELECT * FROM d WHERE event_type = 'view'), w AS (SELECT * FROM d WHERE event_type = 'click'),
@@ -862,7 +890,7 @@ def rsh09_model_data(spark, sf_dir):
 @query(_TARGETS + " SELECT industry_code, target, round(avg(change), 6) AS forecast FROM kn GROUP BY ALL")
 def udf05_forecast_fan_out(spark, sf_dir):
     """A forecast function of the user's, applied to what each as-of slice knew."""
-    prints = _first_prints(spark, sf_dir)
+    prints = _first_prints(spark, sf_dir).where("change IS NOT NULL")
     targets = prints.select("industry_code", F.col("month").alias("target"), F.date_sub("vintage_date", 7).alias("as_of"))
     known = evaluate.known_history(targets, prints.select("industry_code", "month", "change", "vintage_date"), ["industry_code"])
 
