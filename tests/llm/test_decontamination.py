@@ -37,3 +37,13 @@ def test_cases(spark, monkeypatch, bound):
     assert (3, "x y") in spans and (5, "here") in spans and (6, "Éa b") in spans and (1, None) in spans
     assert D.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert D.report(docs.limit(0), bench).count() == 0
+
+
+def test_clashing_names_and_long_overlaps(spark):
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words), 7), (2, "w1 w2 other", 8), (None, None, 9)], "doc_id long, text string, hit_id int").selectExpr("*", "1 AS hit_digest", "2 AS hit_at")
+    bench = spark.createDataFrame([(1, " ".join(words[:2990])), (2, " ".join(words[5:40]))], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.report(docs, bench).collect()}
+    assert got == {1: (2990, 2), 2: (0, 0), None: (0, 0)}
+    cut = D.remove(docs, bench, what="spans")
+    assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == {1: " ".join(words[2990:]), 2: "w1 w2 other", None: None}

@@ -3,8 +3,10 @@
 The benchmark's windows of ``WINDOW`` consecutive words, keyed by a 64-bit
 hash, are broadcast once their number has been counted and is within
 ``BROADCAST_WINDOWS``; a larger benchmark is joined by a shuffle instead.
-Each document's windows are hashed and probed inside one generated stage, and
-a hit counts only if the words themselves are equal.
+The corpus is read once: each text is cut into words, each word hashed, and the
+hashes of all windows of all lengths are probed in one generated stage, where a
+hit counts only if the words themselves are equal.  Every document adds a row
+of its own to what this pass stores, so counts need no second look at the texts.
 """
 
 from __future__ import annotations
@@ -12,74 +14,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._shared import stored, unused
+
 WINDOW = 10
 #: Benchmark windows that may be broadcast (some 150 bytes each).
 BROADCAST_WINDOWS = 200_000
 
-#: What a word is, after and before A-Z have been lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, after and before A-Z have been lower-cased.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The key under which each document finds its own row; ``len`` 0 tells it from a window with this hash.
+_OWN_ROW = 0
 
 
 def words_of(text: Column) -> Column:
     """The words of a text with A-Z lower-cased; null has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, _BETWEEN, -1), "")
+
+
+def _places(array: str, length: int) -> str:
+    """The elements of ``array`` from ``i``; ``slice`` would copy the whole array for each window."""
+    return ", ".join(f"{array}[i + {k}]" for k in range(length))
 
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """``item, len, key, window``: every window of every item; an item of fewer words is one window."""
-    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words")).where("size(words) > 0")
-    starts = items.selectExpr("item", "words", f"explode(sequence(1, greatest(size(words) - {WINDOW - 1}, 1))) AS at")
-    return (
-        starts.selectExpr("item", f"slice(words, at, {WINDOW}) AS window")
-        .selectExpr("item", "size(window) AS len", "xxhash64(window) AS key", "window")
-        .distinct()
-    )
+    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words"))
+    long = f"transform(sequence(0, size(ws) - {WINDOW}), i -> array({_places('ws', WINDOW)}))"
+    cut = f"transform(array(words), ws -> CASE WHEN size(ws) >= {WINDOW} THEN {long} ELSE array(ws) END)[0]"
+    windows = items.selectExpr("item", f"explode_outer({cut}) AS window").where("size(window) > 0").distinct()
+    return windows.selectExpr("item", "size(window) AS len", "xxhash64(transform(window, w -> xxhash64(w))) AS key", "window")
+
+
+def _offset(lengths: list[int], length: int) -> str:
+    """How many windows of greater lengths stand before those of ``length`` among a document's keys."""
+    return " + ".join(["0", *(f"greatest(n_words - {x - 1}, 0)" for x in lengths if x > length)])
 
 
 def find_hits(
     df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """``id, digest, at, len, item``: each occurrence of a benchmark window in a document; ``at`` counts words from 1.
+) -> tuple[DataFrame, DataFrame]:
+    """``id, digest, n_words, at, len, window`` of every hit, and the benchmark's ``item, window``; both are stored.
 
-    ``digest`` tells rows with the same id apart by their texts.
+    ``at`` counts words from 1.  Each row of ``df`` has a row with ``len`` 0 as
+    well.  ``digest`` tells rows with the same id apart by their texts.
     """
-    windows = _windows(benchmark, item_col, item_text_col)
-    found = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # one row for each length up to WINDOW
-    small = sum(found.values()) <= BROADCAST_WINDOWS
+    windows = stored(_windows(benchmark, item_col, item_text_col), "benchmark-windows")
+    own = windows.select("key", "len", "window").distinct()
+    found = {r["len"]: r["count"] for r in own.groupBy("len").count().collect()}  # one row for each length up to WINDOW
+    lengths = sorted(found, reverse=True)
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), words_of(F.col(text_col)).alias("words"))
-    parts = []
-    for length in sorted(found) or [WINDOW]:
-        long_enough = docs.where(F.size("words") >= length)
-        keys = F.expr(f"transform(sequence(1, size(words) - {length - 1}), i -> xxhash64(slice(words, i, {length})))")
-        probes = long_enough.select("id", "digest", "words", F.posexplode(keys).alias("at0", "key"))
-        if not small:  # a shuffle carries the window alone, not the document's words
-            probes = probes.selectExpr("id", "digest", "at0", "key", f"slice(words, at0 + 1, {length}) AS seen")
-        own = windows.where(F.col("len") == length).select("key", "window", "item")
-        hits = probes.join(F.broadcast(own) if small else own.hint("shuffle_hash"), "key")
-        seen = F.expr(f"slice(words, at0 + 1, {length})") if small else F.col("seen")
-        parts.append(hits.where(seen == F.col("window")).selectExpr("id", "digest", "at0 + 1 AS at", f"{length} AS len", "item"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _by_document(hits: DataFrame) -> DataFrame:
-    """``id, digest, spans, items``: merged word spans, end exclusive, and the sorted items of each document with hits."""
-    grouped = hits.groupBy("id", "digest").agg(
-        F.array_sort(F.collect_set(F.struct("at", "len"))).alias("runs"),
-        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
-    )
-    merged = """aggregate(runs, cast(array() AS array<struct<start: int, stop: int>>), (spans, x) ->
-        CASE WHEN size(spans) > 0 AND x.at <= element_at(spans, -1).stop
-             THEN concat(slice(spans, 1, size(spans) - 1),
-                         array(named_struct('start', element_at(spans, -1).start,
-                                            'stop', greatest(element_at(spans, -1).stop, x.at + x.len))))
-             ELSE concat(spans, array(named_struct('start', x.at, 'stop', x.at + x.len))) END)"""
-    return grouped.select("id", "digest", F.expr(merged).alias("spans"), "items")
+    keys = [f"CASE WHEN size(h) >= {x} THEN transform(sequence(0, size(h) - {x}), i -> xxhash64(array({_places('h', x)}))) ELSE CAST(array() AS array<bigint>) END" for x in lengths]
+
+    def keyed(*more: str) -> DataFrame:
+        # the outer array of one binds the hashes: as a column they would be computed again for each window;
+        # an outer explode, as else the whole expression comes a second time in a filter on its size
+        listed = f"transform(array(transform(words, w -> xxhash64(w))), h -> concat({', '.join([*keys, *more, 'CAST(array() AS array<bigint>)'])}))[0] AS keys"
+        return docs.selectExpr("id", "digest", "words", "size(words) AS n_words", listed).selectExpr("id", "digest", "words", "n_words", "posexplode_outer(keys) AS (p, key)")
+
+    place = " ".join(f"WHEN len = {x} THEN p + 1 - ({_offset(lengths, x)})" for x in lengths)
+    at = f"CASE {place} ELSE 0 END" if place else "0"
+    n_keys = _offset(lengths, 0)
+    if sum(found.values()) <= BROADCAST_WINDOWS:
+        self_key = df.sparkSession.range(1).selectExpr(f"{_OWN_ROW}L AS key", "0 AS len", "CAST(array() AS array<string>) AS window")
+        met = keyed(f"array({_OWN_ROW}L)").join(F.broadcast(own.union(self_key)), "key").selectExpr("*", f"{at} AS at")
+        hits = met.where(f"CASE WHEN len = 0 THEN p = {n_keys} ELSE p < {n_keys} AND at BETWEEN 1 AND n_words - len + 1 AND slice(words, at, len) = window END")
+        return stored(hits.selectExpr("id", "digest", "n_words", "at", "len", "window"), "benchmark-hits"), windows
+    # positions that share a key are found without any words, and then looked up in their documents
+    met = stored(keyed().drop("words").join(own, "key").selectExpr("id AS i", "digest AS d", "len", "window", f"{at} AS at").where("at BETWEEN 1 AND n_words - len + 1"), "benchmark-candidates")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
+    hits = docs.dropDuplicates(["id", "digest"]).join(met, same).where("slice(words, at, len) = window")
+    plain = docs.selectExpr("id", "digest", "size(words) AS n_words", "0 AS at", "0 AS len", "CAST(array() AS array<string>) AS window")
+    return stored(plain.union(hits.selectExpr("id", "digest", "size(words)", "at", "len", "window")), "benchmark-hits"), windows
+
+
+def _positions(hits: DataFrame) -> DataFrame:
+    """``hit_id, hit_digest, at``: the words of each document that are hit, once each."""
+    return hits.where("len > 0").selectExpr("id AS hit_id", "digest AS hit_digest", "explode(sequence(at, at + len - 1)) AS at").distinct()
 
 
 def report(
@@ -92,19 +105,15 @@ def report(
     are each reported; an empty table on either side gives no hits.  Only the
     named columns are used, so others cannot clash.
     """
-    hits = find_hits(df, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
-    found = _by_document(hits).selectExpr(
-        "id AS hit_id", "digest AS hit_digest", "aggregate(spans, 0L, (n, s) -> n + s.stop - s.start) AS n_hit", "items"
-    )
-    docs = df.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("digest"),
-        F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD_ANY_CASE), F.lit(0))).cast("long").alias("n_words"),
-    )
-    joined = docs.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
+    hits, windows = find_hits(df, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+    counts = _positions(hits).groupBy("hit_id", "hit_digest").agg(F.count("*").alias("n_hit"))
+    named = hits.where("len > 0").selectExpr("id AS item_of", "digest AS item_digest", "window").distinct().join(windows.select("item", "window"), "window")
+    named = named.groupBy("item_of", "item_digest").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    joined = hits.where("len = 0").join(counts, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
+    joined = joined.join(named, F.col("id").eqNullSafe(F.col("item_of")) & (F.col("digest") == F.col("item_digest")), "left")
     return joined.select(
         F.col("id").alias(id_col),
-        "n_words",
+        F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
@@ -115,20 +124,26 @@ def report(
 def remove(df: DataFrame, benchmark: DataFrame, *, what: str = "documents", id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """``df`` without contaminated documents, or without the words that were hit (``what="spans"``).
 
-    All columns stay.  With spans, the words outside them are joined by single
-    spaces in contaminated documents; clean documents keep their texts as they are.
+    All columns stay, whatever their names.  With spans, the words outside them
+    are joined by single spaces in contaminated documents; clean documents keep
+    their texts as they are.  Null and empty texts and items, repeated rows and
+    null ids count as in :func:`report`: rows without words stay, and each of
+    several equal rows goes or stays.  An empty table on either side removes nothing.
     """
-    found = _by_document(find_hits(df, benchmark, id_col=id_col, text_col=text_col, **names))
-    found = found.selectExpr("id AS `_hit_id`", "digest AS `_hit_digest`", "spans AS `_spans`")
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_col) == F.col("_hit_digest"))
-    if what == "documents":
-        return df.join(found, same, "left_anti")
-    if what != "spans":
+    if what not in ("documents", "spans"):
         raise ValueError(what)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(_WORD_ANY_CASE), F.lit(0))
-    cut = F.array_join(F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["stop"]))), " ")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)
-    return df.join(found, same, "left").withColumn(text_col, text).drop("_hit_id", "_hit_digest", "_spans")
+    hits, _ = find_hits(df, benchmark, id_col=id_col, text_col=text_col, **names)
+    hit_id, hit_digest, at = unused(df, "hit_id", "hit_digest", "hit_at")
+    found = _positions(hits).groupBy("hit_id", "hit_digest").agg(F.collect_list("at").alias("at"))
+    found = found.select(F.col("hit_id").alias(hit_id), F.col("hit_digest").alias(hit_digest), F.col("at").alias(at))
+    same = F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(text_col) == F.col(hit_digest))
+    if what == "documents":
+        return df.join(found.select(hit_id, hit_digest), same, "left_anti")
+    words = F.array_remove(F.split(F.col(text_col), _BETWEEN_ANY_CASE, -1), "")
+    left = F.array_except(F.sequence(F.lit(1), F.size(words)), F.col(at))
+    cut = F.array_join(F.transform(left, lambda i: F.element_at(words, i)), " ")
+    text = F.when(F.col(at).isNull(), F.col(text_col)).otherwise(cut)
+    return df.join(found, same, "left").withColumn(text_col, text).drop(hit_id, hit_digest, at)
 
 
 #: The same report in DuckDB's SQL.
