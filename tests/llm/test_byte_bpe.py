@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 
@@ -29,6 +30,18 @@ def test_odd_texts_ties_and_extra_columns(spark):
     assert back == {i: (t or "").encode() for i, t in enumerate(ODD)}
 
 
+def test_repeated_rows_null_ids_and_a_small_memory(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 3)
+    byte_bpe.codec.cache_clear()
+    rows = [(None, "a b a b"), (None, "a b a b"), (1, "x y z w v u t s"), (1, "x y z w v u t s"), (1, None)]
+    got = [(r.doc_id, r.ids) for r in byte_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, P.PATTERN).collect()]
+    assert sorted(got, key=repr) == sorted(((i, expected(t)) for i, t in rows), key=repr)
+    codec = byte_bpe.ByteBpe(VOCABULARY, P.PATTERN)
+    text = " ".join(f"wörd{i % 11} and{i}" for i in range(500))
+    assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == expected(text) == np.frombuffer(codec.encode([text])[0], "<u4").tolist()
+    assert codec.encode([]) == [] and len(codec.words) == 0
+
+
 def test_empty_table(spark):
     assert byte_bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY, P.PATTERN).count() == 0
 
@@ -47,4 +60,4 @@ def test_whole_table_against_the_library(spark, small):
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(5000)]
     h = byte_bpe.PerfectHash(keys)
-    assert sorted(map(h.slot, keys)) == list(range(5000))
+    assert sorted(h.slots(keys).tolist()) == list(range(5000))

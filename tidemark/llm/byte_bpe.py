@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm._shared import in_slices, keyed_text, rows
+from tidemark.llm._shared import Memo, in_slices, keyed_text, lean, rows
 
-#: Entries that a worker's caches hold before they are emptied: bounds memory, never results.
-CACHE_ENTRIES = 400_000
-#: Longer pieces of text are encoded each time.
-CACHED_CHARS = 48
+#: Pre-tokens that a worker remembers in each of two generations (some 170 bytes each): bounds memory, never results.
+CACHE_ENTRIES = 200_000
 #: Bytes of text that a task handles at a time.
 SLICE_BYTES = 4 << 20
 
@@ -55,20 +53,21 @@ class PerfectHash:
             self.levels.append((size, bits, ranks.astype(np.uint32)))
             before += int(bits.sum())
             left = left[~bits[at]]
-        self.scalar = [(size, bits.tobytes(), array("I", ranks.tobytes())) for size, bits, ranks in self.levels]
 
     @staticmethod
     def _positions(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
         return (((hashes >> np.uint64(level)) ^ (hashes << np.uint64(level))) % np.uint64(size)).astype(np.int64)
 
-    def slot(self, key: bytes) -> int:
-        """The slot of a key; any slot, or -1, for what is no key."""
-        h = xxhash.xxh3_64_intdigest(key)
-        for level, (size, bits, ranks) in enumerate(self.scalar):
-            at = ((h >> level) ^ ((h << level) & 0xFFFFFFFFFFFFFFFF)) % size
-            if bits[at]:
-                return ranks[at]
-        return -1
+    def slots(self, keys: list[bytes]) -> np.ndarray:
+        """The slot of each key; any slot, or -1, for what is no key."""
+        left = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+        out, of = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
+        for level, (size, bits, ranks) in enumerate(self.levels):
+            at = self._positions(left, level, size)
+            here = bits[at]
+            out[of[here]] = ranks[at[here]]
+            left, of = left[~here], of[~here]
+        return out
 
 
 class ByteBpe:
@@ -83,93 +82,71 @@ class ByteBpe:
         self.hash = PerfectHash(tokens)
         self.slot_token: list[bytes] = [b""] * len(tokens)
         self.slot_rank = [0] * len(tokens)
-        for token in tokens:
-            slot = self.hash.slot(token)
+        for token, slot in zip(tokens, self.hash.slots(tokens).tolist()):
             self.slot_token[slot], self.slot_rank[slot] = token, self.ranks[token]
         self.token_of = {rank: token for token, rank in self.ranks.items()}
+        self.pairs: list[int | None] = [self.ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.pretokens: Callable[[str], list[str]] = regex.compile(pattern).findall
-        self.odd_space = regex.compile(r" \s").search
-        self.words = _Cache(self._word)
-        self.pieces = _Cache(self._piece)
-
-    def _word(self, pretoken: str) -> bytes:
-        raw = pretoken.encode("utf-8")
-        slot = self.hash.slot(raw)
-        if slot >= 0 and self.slot_token[slot] == raw:
-            return self.slot_rank[slot].to_bytes(4, "little")
-        return array("I", self.merge(raw)).tobytes()
+        self.words = Memo(self._words, CACHE_ENTRIES)
+
+    def _words(self, pretokens: list[str]) -> Iterator[bytes]:
+        """The ids of pre-tokens: whole ones by the hash, the others merged."""
+        raws = [x.encode("utf-8") for x in pretokens]
+        tokens, ranks = self.slot_token, self.slot_rank
+        for raw, slot in zip(raws, self.hash.slots(raws).tolist()):
+            if slot >= 0 and tokens[slot] == raw:
+                yield ranks[slot].to_bytes(4, "little")
+            else:
+                yield array("I", self.merge(raw)).tobytes()
 
     def merge(self, raw: bytes) -> list[int]:
-        """Merge the bytes of one pre-token by rank; equal ranks from the left."""
-        ranks, n = self.ranks, len(raw)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        """Merge the bytes of one pre-token by rank; equal ranks from the left.
+
+        ``end`` links each run of bytes to the next (0: merged into another),
+        ``before`` to the one before; a heap entry packs rank, begin and stop.
+        """
+        known, pairs, n = self.ranks.get, self.pairs, len(raw)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        width = n.bit_length()
+        low = (1 << width) - 1
         heap = []
-        for i in range(n - 1):
-            rank = ranks.get(raw[i : i + 2])
+        for i, (a, b) in enumerate(zip(raw, raw[1:])):
+            rank = pairs[a << 8 | b]
             if rank is not None:
-                heap.append((rank, i, i + 2))
-        heapq.heapify(heap)
+                heap.append((rank << width | i) << width | i + 2)
+        heapify(heap)
         while heap:
-            rank, i, stop = heapq.heappop(heap)
-            if not end[i]:
-                continue
-            j = after[i]
-            if j >= n or end[j] != stop:
+            entry = heappop(heap)
+            i, stop = entry >> width & low, entry & low
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
                 continue
             end[i], end[j] = stop, 0
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                rank = ranks.get(raw[i : end[k]])
+            if stop < n:
+                before[stop] = i
+                rank = known(raw[i : end[stop]])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, i, end[k]))
+                    heappush(heap, (rank << width | i) << width | end[stop])
             h = before[i]
             if h >= 0:
-                rank = ranks.get(raw[h:stop])
+                rank = known(raw[h:stop])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, h, stop))
+                    heappush(heap, (rank << width | h) << width | stop)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[raw[i : end[i]]])
-            i = after[i]
+            ids.append(known(raw[i : end[i]]))
+            i = end[i]
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pretokens(piece)))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers.
-
-        A single space between two other characters always begins a match of
-        the pattern, so a text falls apart there into pieces that recur.
-        """
-        if not text:
-            return b""
-        if self.odd_space(text):
-            return self._piece(text)
-        first, *others = text.split(" ")
-        known = self.pieces.__getitem__
-        return (known(first) if first else b"") + b"".join([known(" " + x) for x in others])
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return self.words.joined([self.pretokens(x or "") for x in texts])
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.token_of.__getitem__, ids))
 
 
-class _Cache(dict):
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[key] = value
-        return value
-
-
 @lru_cache(2)
 def codec(vocabulary_path: str, pattern: str) -> ByteBpe:
     """One codec for each Python worker."""
@@ -179,17 +156,17 @@ def codec(vocabulary_path: str, pattern: str) -> ByteBpe:
 def encode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids``: the token ids of every whole text, as ``array<int>``.
 
-    Null and empty texts have no ids; repeated rows are each encoded; an empty
-    table gives an empty one.  Other columns are left out, so names cannot clash.
+    Null and empty texts have no ids; repeated rows and null ids are each
+    encoded; an empty table gives an empty one.  Other columns are left out, so names cannot clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary_path, pattern)
         for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
-            out = [np.frombuffer(bpe.encode(x or ""), dtype="<u4").astype(np.int32) for x in texts]
+            out = [np.frombuffer(raw, dtype="<i4") for raw in bpe.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return keyed_text(df, id_col, text_col).mapInArrow(lambda batches: lean(run(batches)), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -203,7 +180,7 @@ def decode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "
 
     return (
         df.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids")
-        .mapInArrow(run, "id long, bytes binary")
+        .mapInArrow(lambda batches: lean(run(batches)), "id long, bytes binary")
         .withColumnRenamed("id", id_col)
     )
 
@@ -214,7 +191,8 @@ def round_trip(
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): encode every whole text, decode the ids, give digests.
 
     ``ids_sha256`` is of the decimal ids joined by commas.  A null text counts
-    as empty: no tokens and the digests of nothing.
+    as empty: no tokens and the digests of nothing.  Repeated rows and null ids
+    are each encoded; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +200,17 @@ def round_trip(
         decimal = {rank: str(rank) for rank in bpe.token_of}.__getitem__
         for keys, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
             counts, digests, decoded, lists = [], [], [], []
-            for text in texts:
-                ids = array("I", bpe.encode(text or ""))
+            for raw in bpe.encode(texts):
+                ids = array("I", raw)
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
-                    lists.append(np.array(ids, dtype=np.int32))
+                    lists.append(np.frombuffer(raw, dtype="<i4"))
             columns = [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return keyed_text(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return keyed_text(df, id_col, text_col).mapInArrow(lambda batches: lean(run(batches)), schema).withColumnRenamed("id", id_col)
