@@ -9,7 +9,6 @@ from tidemark.llm._shared import new_folder
 
 VOCABULARY = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(VOCABULARY)
-LIBRARY.encode_special_tokens = True
 
 
 def expected(texts):
@@ -34,7 +33,7 @@ def test_random_access_and_levels():
 def test_odd_texts_and_extra_columns(spark):
     texts = [
         None, "", " ", "Don't STOP!? 1234", "Éñß İstanbul Σίσυφος ΑΣ", "é ́x àb", "<|endoftext|> x<|startoftext|>", "\tA B C\r\nD",
-        "日本語 テスト ﬁ", "x" * 3000, "word " * 3000, "'s 'S it'LL we're ''s !'s", "\x00\x1c\x85 a", "ｱ ǅ ẞ Ω K",
+        "日本語 テスト ﬁ", "a<|endoftext|>日本", "b <|startoftext|>\nc", "Ɓɓ Ⱥx, ɓ, ſ ŉ ²½ 3 ª", "“quoted” it’s — x", "a\u2028b", "x" * 3000, "word " * 3000, "'s 'S it'LL we're ''s !'s", "\x00\x1c\x85 a", "ｱ ǅ ẞ Ω K",
     ]
     df = spark.createDataFrame([(i * 3 - 4, t, 5, "p") for i, t in enumerate(texts)], "doc_id long, text string, start int, part string")
     path = new_folder(spark, "tokens")
@@ -43,6 +42,37 @@ def test_odd_texts_and_extra_columns(spark):
     assert got == expected([(i * 3 - 4, t) for i, t in enumerate(texts)])
 
 
+def test_all_plain_characters_against_the_library():
+    encoder = token_store.WordEncoder(VOCABULARY)
+    rng = np.random.default_rng(3)
+    chars = [*map(chr, range(0x250)), *"''''  <|>stelmdv"]
+    texts = ["".join(rng.choice(chars, 40)) for _ in range(3000)] + ["a" * 40 + chr(i) for i in range(0x260)]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, encoder.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_small_memory_changes_nothing(monkeypatch):
+    texts = [f"w{i} x{i % 7} common" for i in range(300)]
+    monkeypatch.setattr(token_store, "CACHE_ENTRIES", 16)
+    encoder = token_store.WordEncoder(VOCABULARY)
+    for at in range(0, 300, 30):
+        for text, raw in zip(texts[at : at + 30], encoder.encode(texts[at : at + 30], 1)):
+            assert np.frombuffer(raw, encoder.kind).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_null_ids_repeated_rows_and_ties(spark):
+    rows = [(None, "b c"), (None, "a"), (4, "x"), (4, "x"), (4, None), (2, "y " * 50), (9, "")]
+    path = new_folder(spark, "tokens")
+    token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), path, VOCABULARY)
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.read(spark, path).collect()))
+    at, want = 0, []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
+        want.append((at, key, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+
+
 def test_empty_table(spark):
     path = new_folder(spark, "tokens")
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), path, VOCABULARY)

@@ -15,7 +15,9 @@ any store that Spark can write will do.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,22 +25,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm._shared import in_slices, keyed_text, rows
+from tidemark.llm._shared import Memo, in_slices, keyed_text, lean, rows
 
 CHUNK_BITS, RANK_BITS = 8, 512
 MAGIC = b"DAC1"
 #: A file is closed once it holds so many ids; one document is never split.
 FILE_IDS = 1_000_000
 #: Bytes of text that a task handles at a time.
-SLICE_BYTES = 8 << 20
-#: Entries that a worker's caches hold before they are emptied: bounds memory, never results.
-CACHE_ENTRIES = 500_000
+SLICE_BYTES = 4 << 20
+#: Words that a worker remembers in each of two generations (some 170 bytes each): bounds memory, never results.
+CACHE_ENTRIES = 200_000
+#: Below this code point every character is its own NFC form; from it on, texts are cut at spaces and odd pieces are encoded as they are.
+PLAIN_BELOW = "\u0250"
 
 FILES = "part int, file int, n_docs int, n_ids long, payload binary"
 
@@ -48,17 +51,17 @@ FILES = "part int, file int, n_docs int, n_ids long, payload binary"
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One file: the documents' ids and lengths, then the coded token ids."""
-    levels, left = [], ids.astype(np.uint64)
+    levels, left = [], ids
     while True:
-        chunk = (left & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.uint8)
-        more = left >> np.uint64(CHUNK_BITS) != 0
+        chunk = (left & ((1 << CHUNK_BITS) - 1)).astype(np.uint8)
+        more = left >> CHUNK_BITS != 0
         bits = np.packbits(more, bitorder="little")
         counts = np.add.reduceat(more, np.arange(0, len(more), RANK_BITS), dtype=np.uint32) if len(more) else np.zeros(0, np.uint32)
         ranks = (np.cumsum(counts) - counts).astype(np.uint32)
         levels.append((len(left), chunk.tobytes(), bits.tobytes(), ranks.tobytes()))
         if not more.any():
             break
-        left = left[more] >> np.uint64(CHUNK_BITS)
+        left = left[more] >> CHUNK_BITS
     keys = np.array([-1 if x is None else x for x in doc_ids], dtype="<i8").tobytes()
     known = np.packbits(np.array([x is not None for x in doc_ids], bool), bitorder="little").tobytes()
     out = [MAGIC, struct.pack("<QQI", len(doc_ids), len(ids), len(levels)), keys, known, np.array(lengths, dtype="<u8").tobytes()]
@@ -117,72 +120,91 @@ class TokenFile:
 # ---------------------------------------------------------------- encoding
 
 
+def _plain_pattern() -> re.Pattern:
+    """The vocabulary's pre-tokens in lower-cased text of characters below ``PLAIN_BELOW``, with its classes spelt out."""
+    plain = [chr(i) for i in range(ord(PLAIN_BELOW))]
+    letters = re.escape("".join(c for c in plain if unicodedata.category(c)[0] == "L"))
+    numbers = re.escape("".join(c for c in plain if unicodedata.category(c)[0] == "N"))
+    space = r"\t-\r \x85\xa0"
+    # lower-casing takes some letters beyond, where nothing else can be
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}{PLAIN_BELOW}-\U0010ffff]+|[{numbers}]|[^{space}{letters}{numbers}{PLAIN_BELOW}-\U0010ffff]+")
+
+
 class WordEncoder:
-    """The tokenizers library with caches over pieces between spaces.
+    """The tokenizers library with a memory of words.
 
     The vocabulary's pre-tokens never hold white space and its normalisation
-    looks at no neighbours across a space, so the ids of a text are those of
-    its pieces in order.  Pieces of plain Latin letters are lower-cased and cut
-    into pre-tokens here, so that only words not seen before go to the library,
-    many in one call; other pieces go to it whole.
+    looks at no neighbours across a space.  Text of plain Latin letters is
+    lower-cased and cut into pre-tokens here, so that only words not seen before
+    go to the library, many in one call.  Pieces between spaces that hold other
+    characters go to it as they are, and so does a whole text with an added
+    token in it.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.added = [x["content"] for x in spec["added_tokens"]]
         suffix = spec["model"]["end_of_word_suffix"]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.pretokens = regex.compile(split).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.kind).tobytes()
-
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
+        self.pretokens = _plain_pattern().findall
+        self.words = Memo(self._many, CACHE_ENTRIES)
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _many(self, keys: list[str]) -> list[bytes]:
+        """The ids of words and odd pieces; short plain words go to the library joined by spaces."""
+        out: list[bytes] = [b""] * len(keys)
+        plain = [i for i, x in enumerate(keys) if len(x) <= self.words.longest and (x.isascii() or max(x) < PLAIN_BELOW)]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            (found,) = self.library.encode_batch_fast([" ".join([keys[i] for i in some])], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.kind)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(some):
-                raw, width = ids.tobytes(), self.kind.itemsize
-                self.words.update(zip(some, (raw[a * width : b * width] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
+                raw, stops = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+                for i, a, b in zip(some, [0, *stops[:-1]], stops):
+                    out[i] = raw[a:b]
             else:
-                for word in some:
-                    self.words[word] = self._bytes(self.library.encode(word, add_special_tokens=False).ids)
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        cut, whole = {}, []
-        for piece in pieces:
-            # below U+0250 every character is its own NFC form; the dotted capital I alone lower-cases to two
-            if piece.isascii() or (max(piece) < "ɐ" and "İ" not in piece):
-                cut[piece] = self.pretokens(piece.lower())
+                for i in some:
+                    out[i] = self._ids(keys[i])
+        for i in set(range(len(keys))).difference(plain):
+            out[i] = self._ids(keys[i])
+        return out
+
+    def _cut(self, text: str) -> list[str]:
+        """What the ids of a text are joined from."""
+        if "<" in text and any(x in text for x in self.added):
+            return [text]
+        if _is_plain(text):
+            return self.pretokens(text.lower())
+        out = []
+        for piece in text.replace("\n", " ").split(" "):
+            if _is_plain(piece):
+                out += self.pretokens(piece.lower())
             else:
-                whole.append(piece)
-        self._learn_words(list({w for ws in cut.values() for w in ws if w not in self.words}))
-        word = self.words.__getitem__
-        for piece, ws in cut.items():
-            self.pieces[piece] = word(ws[0]) if len(ws) == 1 else b"".join(map(word, ws))
-        for piece, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
-            self.pieces[piece] = self._bytes(e.ids)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = set(chain.from_iterable(cut))
-        self._learn({x for x in new if x not in self.pieces})
-        known = self.pieces.__getitem__
-        return [np.frombuffer(b"".join(map(known, ps)), dtype=self.kind) for ps in cut]
+                out.append(piece)
+        return out
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
+        """The ids of each text as bytes of ``kind``, with the id ``end`` after them."""
+        return self.words.joined([self._cut(x or "") for x in texts], b"" if end is None else np.array([end], dtype=self.kind).tobytes())
+
+
+def _is_plain(text: str) -> bool:
+    """Whether all characters are below ``PLAIN_BELOW`` and lower-case to one (the dotted capital I alone gives two)."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return max(text) < PLAIN_BELOW and "\u0130" not in text
 
 
 @lru_cache(2)
@@ -195,24 +217,26 @@ def write(df: DataFrame, path: str, vocabulary_path: str, *, end_id: int = 1, id
     """Encode all texts and write the files to the folder ``path``, in ascending order of ``id_col``.
 
     A null or empty text is the end id alone.  Rows with a null id come first;
-    rows with equal ids are ordered by their texts.  An empty table writes no files.
+    rows with equal ids are ordered by their texts, and rows that repeat as a
+    whole are each written.  An empty table writes no files.  Only the two named
+    columns are used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, file = encoder(vocabulary_path), TaskContext.get().partitionId(), 0
-        keys, found, total = [], [], 0
+        keys, found, total, width = [], [], 0, words.kind.itemsize
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
-            values = [[part], [file], [len(keys)], [len(ids)], [pack(keys, list(map(len, found)), ids)]]
+            ids = np.frombuffer(b"".join(found), dtype=words.kind)
+            values = [[part], [file], [len(keys)], [len(ids)], [pack(keys, [len(x) // width for x in found], ids)]]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["part", "file", "n_docs", "n_ids", "payload"])
 
         for some, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
-            for key, ids in zip(some, words.encode(texts)):
+            for key, ids in zip(some, words.encode(texts, end_id)):
                 keys.append(key)
-                found.append(np.append(ids.astype(np.uint32), np.uint32(end_id)))
-                total += len(ids) + 1
+                found.append(ids)
+                total += len(ids) // width
                 if total >= FILE_IDS:
                     yield close()
                     keys, found, total, file = [], [], 0, file + 1
@@ -220,7 +244,7 @@ def write(df: DataFrame, path: str, vocabulary_path: str, *, end_id: int = 1, id
             yield close()
 
     ordered = keyed_text(df, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(run, FILES).write.parquet(path)
+    ordered.mapInArrow(lambda batches: lean(run(batches)), FILES).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -251,7 +275,7 @@ def read(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame
     files = index.join(parts, "part").select(
         "part", "file", (F.col("before_part") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("file")) - F.col("n_ids")).alias("before")
     )
-    docs = table.mapInArrow(run, "part int, file int, id long, local long, n_tokens long, ids_crc32 long")
+    docs = table.mapInArrow(lambda batches: lean(run(batches)), "part int, file int, id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(files, ["part", "file"]).select(
         F.col("id").alias(id_col), (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )
