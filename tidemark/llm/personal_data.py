@@ -240,10 +240,14 @@ def _train(sample: list[tuple[str, str, list[tuple[int, int]], list[tuple[int, i
 
 
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> SpanField:
-    """Train on at most ``TRAIN_ZONES`` zones of ``df``; without any zone nothing is ever added."""
+    """Train on at most ``TRAIN_ZONES`` zones of at most ``TRAIN_DOCS`` different texts of ``df``.
+
+    Null and empty texts have no zones, null ids do not matter, copies count
+    once; without any zone, as in an empty table, nothing is ever added.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, "id", "text"):
+        for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
             out = []
             for i, text in zip(ids, texts):
                 if text and _HINT.search(text):
@@ -258,7 +262,10 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Spa
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["id", "n", "typed", "text", "before", "places", "gold"])
 
     schema = "id long, n int, typed boolean, text string, before string, places array<int>, gold array<int>"
-    docs = hash_sample(keyed_text(df, id_col, text_col).where(F.col("text").rlike("[0-9@]")), TRAIN_DOCS, "id")
+    # texts are chosen by their hashes alone, so that no task gathers the sample's texts; copies count once
+    hinted = keyed_text(df, id_col, text_col).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("id"), "text")
+    chosen = stored(hash_sample(hinted.select("id").distinct(), TRAIN_DOCS, "id"), "sampled-texts")  # at most TRAIN_DOCS numbers
+    docs = hinted.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"))
     found = stored(docs.mapInArrow(lambda batches: lean(run(batches)), schema), "zones")
     half = [hash_sample(found.where(c), TRAIN_ZONES // 2, "id", "n").collect() for c in ("typed", "NOT typed")]
     mixed = [r for pair in zip(*half) for r in pair] + [r for h in half for r in h[min(map(len, half)) :]]
@@ -308,7 +315,10 @@ def report(df: DataFrame, field: SpanField, *, id_col: str = "doc_id", text_col:
 
 
 def redact(df: DataFrame, field: SpanField, *, text_col: str = "text") -> DataFrame:
-    """``df`` with every span replaced by its kind in brackets; overlapping spans are one, of the first kind."""
+    """``df`` with every span replaced by its kind in brackets; overlapping spans are one, of the first kind.
+
+    All rows and columns stay, null and empty texts as they are.
+    """
     names = df.columns
 
     def clean(text: str | None) -> str | None:

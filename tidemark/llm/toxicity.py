@@ -304,7 +304,11 @@ def held_out(key: Column) -> Column:
 
 
 def keep_clean(df: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
-    """``df`` without the documents that score ``PREDICT_AT`` or more; all columns stay."""
+    """``df`` without the documents that score ``PREDICT_AT`` or more; all columns stay.
+
+    Null and empty texts are scored as in :func:`tag`, equal rows stay or go
+    together, null ids do not matter, and an empty table stays empty.
+    """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
