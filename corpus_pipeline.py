@@ -6,6 +6,10 @@
 3. decontamination: documents that hold a benchmark window go.
 4. personal_data: spans are replaced by their kind; every document stays.
 5. byte_bpe: token ids of each document, decoded again as proof.
+
+Null and empty texts pass every stage, as do null ids and columns that are not
+used; rows that repeat an id with the same text are one document from stage 2
+on; an empty table gives an empty one.
 """
 
 from __future__ import annotations
