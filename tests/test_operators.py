@@ -295,3 +295,21 @@ def test_crps_without_a_window_over_a_group(spark, small, capsys):
         windows = re.findall(r"\+- Window \[(.*)\], \[([^\]]*)\]", text)
         # only the running sum over one row for each bucket goes over a whole group
         assert all("_bucket" in order_by or "_bucket" in line for line, order_by in windows if re.fullmatch(by, order_by))
+
+
+def test_gates_and_residuals(spark):
+    rng = np.random.default_rng(9)
+    y = rng.normal(0, 30, 120)
+    cells = [("both", float(a), float(a + e), float(a + f)) for a, e, f in zip(y, rng.normal(0, 10, 120), rng.normal(0, 10, 120))] + [("few", 1.0, 2.0, 3.0)] * 3
+    got = {r.k: r for r in evaluate.combination_gate(spark.createDataFrame(cells, "k string, y double, m double, r double"), ["k"], "y", "m", "r").collect()}
+    assert got["both"].fires and got["both"].reason is None and 0.3 < got["both"].weight < 0.7
+    assert not got["few"].fires and got["few"].reason == "insufficient_paired_obs" and got["few"].n == 3
+    r2 = spark.createDataFrame([(1, "normal", 0.12), (1, "turning_point", 0.3), (2, "turning_point", 0.1)], "k int, month_type string, r2 double")
+    assert {r.k: (r.fund_rebuild, r.fund_turning) for r in evaluate.funding_gate(r2, ["k"]).collect()} == {1: (True, True), 2: (False, False)}
+    w, g = rng.normal(0, 5, 40), rng.normal(0, 3, 40)
+    rows = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(w, g)], "k int, w double, g double")
+    r = evaluate.decomposition_residual(rows, ["k"], "w", "g").first()
+    assert np.allclose([r.r_mean, r.r_std, r.wedge_std, r.r_share], [(w - g).mean(), (w - g).std(ddof=1), w.std(ddof=1), (w - g).std(ddof=1) / w.std(ddof=1)])
+    assert np.isclose(evaluate.intervention_sd(rows, ["k"], "g", 1.0).first().sd, g.std(ddof=1)) and evaluate.intervention_sd(rows.limit(1), ["k"], "g", 7.0).first().sd == 7.0
+    one = spark.createDataFrame([(D(2024, 1, 1),), (D(2020, 3, 1),), (D(2019, 1, 1),)], "d date")
+    assert [x[0] for x in one.select(dates.era(F.col("d"), ["2020-03-01", "2022-01-01"])).collect()] == [2, 1, 0]

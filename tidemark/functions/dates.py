@@ -45,3 +45,11 @@ def period_date(year: Column, period: Column) -> Column:
         .when(kind == "A", F.lit(1))
     )
     return F.make_date(year, at, F.lit(1))
+
+
+def era(date: Column, breaks: list[str]) -> Column:
+    """The number of ``breaks`` (ascending dates) that a date has reached."""
+    out = F.lit(0)
+    for n, start in enumerate(breaks, 1):
+        out = F.when(date >= F.lit(start).cast("date"), F.lit(n)).otherwise(out)
+    return out

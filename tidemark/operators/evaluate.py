@@ -136,6 +136,54 @@ def encompassing(df: DataFrame, by: list[str], actual: str, model: str, rival: s
     )
 
 
+def combination_gate(df: DataFrame, by: list[str], actual: str, model: str, rival: str, *, alpha: float = 0.1) -> DataFrame:
+    """For each cell whether a blend of model and rival earns its keep: ``n, p_value, weight, fires, reason``.
+
+    It does where the model adds information (``p_value`` below ``alpha``) and the blend errs less than either;
+    cells of fewer than five complete rows never do.
+    """
+    cells = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    names = {k: f"_g{i}" for i, k in enumerate(by)}
+    found = encompassing(df, by, actual, model, rival)
+    found = found.select(*[F.col(k).alias(v) for k, v in names.items()], *[c for c in found.columns if c not in by])
+    same = F.lit(True)
+    for k, v in names.items():
+        same &= F.col(k).eqNullSafe(F.col(v))
+    fires = (F.col("p_value") < alpha) & (F.col("mae_combined") < F.least("mae_model", "mae_rival"))
+    return cells.join(found, same, "left").select(
+        *by, F.coalesce("n", "_rows").alias("n"), "p_value", "weight", F.coalesce(fires, F.lit(False)).alias("fires"),
+        F.when(F.col("n").isNull(), "insufficient_paired_obs").alias("reason"),
+    )
+
+
+def funding_gate(r2: DataFrame, by: list[str], *, floor: float = 0.1, excess: float = 0.15) -> DataFrame:
+    """What R2 by ``month_type`` speaks for: a rebuild where normal months reach ``floor``, more where turning points exceed them by ``excess``.
+
+    A type without a row counts as 0.
+    """
+    one = lambda kind: F.coalesce(F.max(F.when(F.col("month_type") == kind, F.col("r2"))), F.lit(0.0))
+    m = r2.groupBy(*by).agg(one("normal").alias("normal"), one("turning_point").alias("turning_point"))
+    return m.withColumns({"fund_rebuild": F.col("normal") >= floor, "fund_turning": F.col("turning_point") - F.col("normal") >= excess})
+
+
+def decomposition_residual(df: DataFrame, by: list[str], wedge: str, published: str) -> DataFrame:
+    """Mean and deviation of what a wedge has beyond its published counterpart, and that deviation's share of the wedge's."""
+    r = F.col(wedge) - F.col(published)
+    m = df.groupBy(*by).agg(F.avg(r).alias("r_mean"), F.stddev_samp(r).alias("r_std"), F.stddev_samp(wedge).alias("wedge_std"))
+    return m.withColumn("r_share", F.col("r_std") / F.when(F.col("wedge_std") > 0, F.col("wedge_std")).otherwise(1.0))
+
+
+def intervention_sd(df: DataFrame, by: list[str], change: str, baseline: float) -> DataFrame:
+    """Prior deviation of a shock: what was observed, and ``baseline`` at least."""
+    return df.groupBy(*by).agg(F.greatest(F.coalesce(F.stddev_samp(change), F.lit(0.0)), F.lit(baseline)).alias("sd"))
+
+
+def implied_part(table: DataFrame, series: str, whole: str, part: str, on: list[str], value: str) -> DataFrame:
+    """The rest that two published series imply: the whole less the part, where both are there."""
+    rest = table.where(F.col(series) == part).select(*on, F.col(value).alias("_part"))
+    return table.where(F.col(series) == whole).join(rest, on).withColumn("implied", F.col(value) - F.col("_part")).drop("_part")
+
+
 def known_history(targets: DataFrame, history: DataFrame, by: list[str]) -> DataFrame:
     """Every target (``as_of``) with the history published by then; within ``by`` an equi-join with a bound on dates."""
     return targets.join(history, by).where(F.col("vintage_date") <= F.col("as_of"))

@@ -560,6 +560,19 @@ def agg27_encompassing(spark, sf_dir):
     return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("b", "c", "p_value", "weight", "mae_model", "mae_rival", "mae_combined")])
 
 
+@query(_TARGETS + """, m AS (SELECT industry_code, count(*) AS n, var_samp(actual - rw) AS vm, var_samp(actual - tm) AS vr, covar_samp(actual - rw, actual - tm) AS cov,
+  regr_count(actual, rw) AS rc, var_pop(rw) AS s11, var_pop(tm) AS s22, var_pop(actual) AS syy, covar_pop(rw, tm) AS s12, covar_pop(rw, actual) AS s1y, covar_pop(tm, actual) AS s2y FROM pred GROUP BY ALL),
+k AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS c, (vr - cov) / (vm + vr - 2 * cov) AS share FROM m),
+x AS (SELECT industry_code, n, least(1.0, greatest(0.0, share)) AS w, b * b / (greatest(syy - b * s1y - c * s2y, 0) / greatest(n - 3, 1) * s22 / (s11 * s22 - s12 * s12)) / 2 AS h FROM k WHERE n >= 5),
+t AS (SELECT *, 1 / (1 + 0.3275911 * sqrt(h)) AS u FROM x),
+q AS (SELECT industry_code, n, w, u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-h) AS p FROM t),
+e AS (SELECT industry_code, q.n, p, w, avg(abs(actual - rw)) AS a, avg(abs(actual - tm)) AS r, avg(abs(actual - w * rw - (1 - w) * tm)) AS mixed FROM pred JOIN q USING (industry_code) GROUP BY ALL)
+SELECT m.industry_code, m.n, round(p, 4) AS p_value, round(w, 4) AS weight, coalesce(p < 0.1 AND mixed < least(a, r), false) AS fires, CASE WHEN e.n IS NULL THEN 'insufficient_paired_obs' END AS reason FROM m LEFT JOIN e USING (industry_code)""")
+def agg28_combination_gate(spark, sf_dir):
+    out = evaluate.combination_gate(_predictions(spark, sf_dir), ["industry_code"], "actual", "rw", "tm")
+    return out.withColumns({"p_value": F.round("p_value", 4), "weight": F.round("weight", 4)})
+
+
 @query(""", d AS (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS actual FROM events)
 SELECT event_type, round(quantile_cont(value, 0.1), 6) AS low, round(quantile_cont(value, 0.9), 6) AS high, first(actual) BETWEEN quantile_cont(value, 0.1) AND quantile_cont(value, 0.9) AS covered FROM d GROUP BY ALL""")
 def agg22_interval_coverage(spark, sf_dir):
@@ -641,6 +654,28 @@ def jon13_wedge(spark, sf_dir):
     return rebuild.wedge(_first_prints(spark, sf_dir), other, ["industry_code"])
 
 
+@query(_FIRST_PRINT + _NSA + """, j AS (SELECT a.industry_code, a.change - b.change AS wedge, b.change AS part FROM fpc a JOIN fcn b ON a.industry_code = b.industry_code AND a.month = b.month),
+r AS (SELECT industry_code, avg(wedge - part) AS r_mean, stddev_samp(wedge - part) AS r_std, stddev_samp(wedge) AS wedge_std, greatest(stddev_samp(part), 25.0) AS sd FROM j GROUP BY ALL)
+SELECT industry_code, round(r_mean, 4) AS r_mean, round(r_std, 4) AS r_std, round(wedge_std, 4) AS wedge_std, round(r_std / CASE WHEN wedge_std > 0 THEN wedge_std ELSE 1 END, 4) AS r_share, round(sd, 4) AS sd FROM r""")
+def agg31_decomposition(spark, sf_dir):
+    """The wedge against its part, and the deviation that the part's changes speak for."""
+    other = evaluate.first_print_changes(vintage_obs(spark, sf_dir).where("source = 'ces' AND NOT seasonally_adjusted"), ["industry_code"])
+    rows = rebuild.wedge(_first_prints(spark, sf_dir), other, ["industry_code"])
+    out = evaluate.decomposition_residual(rows, ["industry_code"], "wedge", "part").join(evaluate.intervention_sd(rows, ["industry_code"], "part", 25.0), "industry_code")
+    return out.select("industry_code", *[F.round(c, 4).alias(c) for c in ("r_mean", "r_std", "wedge_std", "r_share", "sd")])
+
+
+@query(_MONTHLY_SQL + " SELECT a.month, CAST(a.n - b.n AS BIGINT) AS implied FROM mon a JOIN mon b ON a.month = b.month AND a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'MACHINERY'")
+def jon24_implied_part(spark, sf_dir):
+    rows = _monthly(spark, sf_dir).select("c_mktsegment", "month", "n")
+    return evaluate.implied_part(rows, "c_mktsegment", "BUILDING", "MACHINERY", ["month"], "n").select("month", F.col("implied").cast("long").alias("implied"))
+
+
+@query(""", e AS (SELECT CASE WHEN o_orderdate >= DATE '1996-07-01' THEN 2 WHEN o_orderdate >= DATE '1994-01-01' THEN 1 ELSE 0 END AS era FROM orders) SELECT CAST(era AS INT) AS era, count(*) AS n FROM e GROUP BY ALL""")
+def prj14_era(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(dates.era(F.col("o_orderdate").cast("date"), ["1994-01-01", "1996-07-01"]).alias("era")).agg(F.count("*").alias("n"))
+
+
 _SIZED = """, lv AS (SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 sz AS (SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(p_size % 3 AS VARCHAR) AS size_class_code, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE month(l_shipdate) <= 3 GROUP BY ALL)"""
 
