@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import queries, schemas
+from tidemark import dimensions, queries, schemas
 from tidemark.functions import dates, series
-from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, store, triangle
+from tidemark.operators import calendar, censor, census, composite, evaluate, gates, hierarchy, model_data, provider, quality, store, triangle
 from tidemark.sources import readers
 from tidemark.streaming import capture
 
@@ -313,3 +313,92 @@ def test_gates_and_residuals(spark):
     assert np.isclose(evaluate.intervention_sd(rows, ["k"], "g", 1.0).first().sd, g.std(ddof=1)) and evaluate.intervention_sd(rows.limit(1), ["k"], "g", 7.0).first().sd == 7.0
     one = spark.createDataFrame([(D(2024, 1, 1),), (D(2020, 3, 1),), (D(2019, 1, 1),)], "d date")
     assert [x[0] for x in one.select(dates.era(F.col("d"), ["2020-03-01", "2022-01-01"])).collect()] == [2, 1, 0]
+
+
+def counts(verdicts):
+    return {r.check: r.violations for r in verdicts.collect()}
+
+
+def roots(spark):
+    return spark.createDataFrame([("total", "05", "private")], "industry_type string, industry_code string, ownership string")
+
+
+def test_history_gate_splits_by_cohort(spark):
+    rows = [(month(0), D(2024, 2, 6), 0, 0, 100.0), (month(0), D(2024, 3, 6), 1, 0, 101.0), (month(0), D(2024, 4, 6), 2, 0, 102.0), (month(0), D(2025, 2, 6), 2, 1, 103.0)]
+    old = obs(spark, rows).withColumn("seasonally_adjusted", F.lit(False))
+    later = obs(spark, [(month(0), D(2026, 2, 6), 2, 1, 999.0)]).withColumn("seasonally_adjusted", F.lit(False))
+    cutoff = F.lit("2025-01-01").cast("date")
+    same = gates.history(old.unionByName(later), old, roots(spark), cutoff)
+    assert counts(same) == dict.fromkeys(("cohort_missing", "no_overlap", "first_prints_differ", "benchmark_prints_differ"), 0)
+    assert gates.passed(same).head().passed
+    off = gates.history(old.withColumn("employment", F.col("employment") + 1), old, roots(spark), cutoff)
+    assert counts(off) == {"cohort_missing": 0, "no_overlap": 0, "first_prints_differ": 2, "benchmark_prints_differ": 2}
+    soft = old.withColumn("employment", F.when(F.col("revision") == 2, 0.0).otherwise(F.col("employment")))
+    assert gates.passed(gates.history(soft, old, roots(spark), cutoff)).head().passed
+    none = gates.history(old.limit(0), old, roots(spark), cutoff)
+    assert counts(none)["cohort_missing"] == 4 and counts(none)["no_overlap"] == 1 and not gates.passed(none).head().passed
+
+
+def test_fidelity_and_integrity_of_nulls_repeats_and_empty_frames(spark):
+    rows = obs(spark, [(month(0), D(2024, 2, 6), 0, 0, 100.0), (month(1), D(2024, 3, 6), 0, 0, 100.3)]).withColumn("ownership", F.lit(None).cast("string"))
+    shifted = rows.withColumn("employment", F.col("employment") + 0.4)
+    assert set(counts(gates.fidelity(rows, shifted, gates.PRINT, 0.5)).values()) == {0}
+    assert counts(gates.fidelity(rows, shifted, gates.PRINT, 0.05))["values_differ"] == 2
+    assert counts(gates.fidelity(rows, rows.limit(0), gates.PRINT, 0.5)) == {"side_empty": 1, "values_differ": 0, "only_rebuilt": 2, "only_reference": 0}
+    keys = [*gates.SERIES_ID, "ref_date"]
+    bad = rows.unionByName(obs(spark, [(month(0), None, 0, 0, None)]).withColumn("ownership", F.lit(None).cast("string"))).unionByName(rows)
+    assert counts(gates.integrity(rows, keys)) == dict.fromkeys(("slice_empty", "duplicate_key", "mixed_vintages", "level_not_positive"), 0)
+    assert counts(gates.integrity(bad, keys)) == {"slice_empty": 0, "duplicate_key": 2, "mixed_vintages": 1, "level_not_positive": 1}
+    assert counts(gates.integrity(rows.limit(0), keys))["slice_empty"] == 1
+
+
+def test_gap_fill_names_what_is_missing(spark):
+    rows = obs(spark, [(D(2024, 12, 12), D(2026, 2, 6), 2, 1, 1.0), (D(2026, 1, 12), D(2026, 2, 6), 0, 0, 1.0)]).withColumn("seasonally_adjusted", F.lit(False))
+    assert counts(gates.gap_fill(rows, roots(spark), "2026-01-12", [2024, 2025])) == {"frontier": 0, "december_2024": 0, "december_2025": 1}
+
+
+def test_industry_axes(spark):
+    rows = spark.createDataFrame([("national", "00"), ("domain", "05"), ("supersector", "55"), ("sector", "55"), ("sector", "91"), (None, None)], "industry_type string, industry_code string")
+    assert {(r.industry_type, r.industry_code, r.ownership) for r in dimensions.remap(rows).collect()} == {
+        ("total", "00", "total"), ("total", "05", "private"), ("supersector", "55", "private"), ("sector", "55", "private"),
+    }
+    assert dimensions.unknown(rows).count() == 2
+    old = spark.createDataFrame([("sector", "41"), ("sector", "42"), ("supersector", "80"), ("supersector", "10")], "industry_type string, industry_code string")
+    assert sorted(map(tuple, dimensions.recode(old).collect())) == [("sector", "42"), ("sector", "44"), ("sector", "81"), ("supersector", "10"), ("supersector", "80")]
+    years = spark.createDataFrame([(2009,), (2020,), (1990,)], "year int")
+    assert {r.year: (r.benchmark, r.benchmark_known) for r in dimensions.with_benchmark(years, "year").collect()} == {2009: (-902, True), 2020: (None, True), 1990: (None, False)}
+
+
+def test_census_streams(spark):
+    rows = [("US000", "0", "10", "10", 9.0), ("01000", "5", "54", "44-45", 1.0), ("01000", "5", "54", "31-33", 5.0), ("01000", "5", "55", "311", 2.0), ("01000", "2", "51", "10", 3.0), ("01000", "2", "51", "1011", 7.0), ("01000", None, None, None, 8.0)]
+    df = spark.createDataFrame(rows, "area_fips string, own_code string, agglvl_code string, industry_code string, v double")
+    got = {(r.geographic_code, r.industry_type, r.industry_code): r.v for r in census.levels(df, [], "v").collect()}
+    assert got == {
+        ("00", "national", "00"): 9.0, ("01", "sector", "44"): 1.0, ("01", "sector", "32"): 2.0, ("01", "sector", "92"): 3.0,
+        ("01", "supersector", "40"): 1.0, ("01", "supersector", "30"): 2.0, ("01", "supersector", "90"): 3.0,
+        ("01", "domain", "05"): 3.0, ("01", "domain", "06"): 2.0, ("01", "domain", "07"): 4.0, ("01", "domain", "08"): 1.0,
+    }
+    cells = spark.createDataFrame([("N",), ("-",), (None,)], "disclosure_code string")
+    assert census.disclosed(cells).count() == 2
+
+
+def test_provider_rows(spark):
+    rows = [("p", "region", month(0), 500.0), ("p", "region", month(1), 550.0), ("p", "region", month(2), None), ("p", "region", month(3), 0.0), ("q", None, month(0), 1.0)]
+    df = spark.createDataFrame(rows, "provider string, geographic_type string, ref_date date, employment double")
+    (row,) = provider.growth_rows(df, ["provider"]).collect()
+    assert (row.period, row.vintage_date, row.publication_lag_months) == (month(1), D(2024, 3, 4), 1) and math.isclose(row.growth, math.log(1.1))
+    assert {r.provider: r.cell_level for r in provider.with_cell_level(df, "provider").collect()} == {"p": True, "q": False}
+
+
+def test_model_features(spark):
+    rows = [("qcew", D(2021, 2, 12), 0), ("qcew", D(2021, 3, 12), 0), ("qcew", D(2021, 3, 12), 9), ("ces_sa", D(2021, 3, 12), -1), ("x", D(2021, 3, 12), None)]
+    df = spark.createDataFrame(rows, "source string, period date, revision_number int")
+    assert [r.x for r in df.select(model_data.noise().alias("x")).collect()] == [25.0, 25.0, 1.0, 1.0, 1.0]
+    assert [r.x for r in df.where("source = 'qcew'").select(model_data.boundary_noise(["2020-03-01"]).alias("x")).collect()] == [25.0, 125.0, 1.0]
+    seen = spark.createDataFrame([(0,), (2,), (2,), (None,)], "r int")
+    assert [x.i for x in model_data.contiguous(seen, "r", "i").orderBy("r").collect()] == [None, 0, 1, 1]
+    tokens = spark.createDataFrame([("2025-05-01",), ("2025-Q2",), ("2025-Q9",), ("x",), (None,)], "t string")
+    assert [r.d for r in tokens.select(model_data.snapshot_anchor(F.col("t")).alias("d")).collect()] == [D(2025, 5, 12), D(2025, 6, 12), None, None, None]
+    index = spark.createDataFrame([("a", month(0), float("nan"), 1.0), ("a", month(1), 90.0, 2.0), ("a", month(2), 101.0, 300.0), ("b", month(0), None, 5.0)], "s string, d date, i double, l double")
+    got = {r.s: (r.base_index, r.index_to_level) for r in model_data.index_anchor(index, ["s"], "d", "i", "l").collect()}
+    assert got == {"a": (90.0, 3.0), "b": (100.0, None)}

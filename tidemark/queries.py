@@ -8,33 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import rebuild_queries  # noqa: F401  (registers its queries)
 from tidemark.functions import dates, series
 from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, rebuild, store, triangle, views
-from tidemark.plans.demo import OBS_SQL, order_months, vintage_obs
+from tidemark.plans.demo import order_months, vintage_obs
+from tidemark.registry import ORACLES, QUERIES, query
 from tidemark.schemas import SERIES, VINTAGE, conform
 from tidemark.sources import readers
 from tidemark.sources.readers import table
 from tidemark.streaming import capture
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 _AS_OF, _SETTLED = "2000-06-12", "1997-01-12"
 _KEY = ["source", "seasonally_adjusted", "industry_code", "ref_date", "revision", "benchmark_revision"]
 
 
-def query(sql: str | None = None):
-    """Register a function as a query, under its own name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = OBS_SQL + sql
-        return f
-
-    return register
-
-
 def _day(text: str):
     return F.lit(text).cast("date")
 
