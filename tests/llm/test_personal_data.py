@@ -87,3 +87,41 @@ def test_whole_table_and_accuracy(spark, small):
             hit = any(k == y and c < b and d > a for y, c, d in found)
             right, missed = right + hit, missed + (not hit)
     assert right >= 0.85 * (right + missed), (right, missed)
+    # held-out plants, in forms that no pattern knows: spans that are added, and those added to spoiled ones
+    rng, hits, plants, false = random.Random(1), 0, 0, 0
+    for r in frame.where("doc_id % 2 = 1").collect():
+        for k, a, b in P.base_spans(r.text or ""):
+            for make, wanted in ((P.variant, True), (P.spoiled, False)) * 4:
+                new = make(k, r.text[a:b], rng)
+                text = f"so it says {new} and more"
+                base, spans = P.all_spans(text, field)
+                if base:
+                    continue
+                plants += wanted
+                hits += wanted and (k, 11, 11 + len(new)) in spans
+                false += (not wanted) and bool(spans)
+    assert plants >= 60 and hits >= 0.8 * plants and false <= 0.1 * plants, (hits, plants, false)
+    # nothing is added to real texts without reason
+    added = sum(len(s) - len(b) for b, s in (P.all_spans(t, field) for t in docs.values()))
+    assert added <= 0.02 * sum(len(P.base_spans(t or "")) for t in docs.values()) + 1
+
+
+def test_decoding_is_the_best_segmentation():
+    text = "x 12 345-678-901 22 a@b"
+    ((before, zone),) = P.zones(text)
+    segments, _ = FIELD.posteriors(text, before, zone)
+    best = (-math.inf, None)
+    for cut in itertools.product((0, 1), repeat=len(zone) - 1):
+        ends = [i + 1 for i, c in enumerate(cut) if c] + [len(zone)]
+        lengths = [b - a for a, b in zip([0, *ends], ends)]
+        for labels in itertools.product(range(5), repeat=len(ends)):
+            score = sum(segments[j - 1][n - 1][1][y] for j, n, y in zip(ends, lengths, labels))
+            best = max(best, (score, [(y - 1, zone[j - n][0], zone[j - 1][1]) for j, n, y in zip(ends, lengths, labels) if y]))
+    assert [s[:3] for s in FIELD.decode(text, before, zone)] == best[1]
+
+
+def test_overlaps_with_base_spans(monkeypatch):
+    text = "a@b.c 1.2.3.4 call 555-010-9999 x 4111 1111-1111 1111"
+    monkeypatch.setattr(P.SpanField, "decode", lambda self, t, before, zone: [(3, a, b, 1.0) for a, b in zone])
+    base, spans = P.all_spans(text, FIELD)
+    assert spans == sorted([*base, (3, 19, 31)])

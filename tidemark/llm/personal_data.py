@@ -5,15 +5,20 @@ works on zones: runs of tokens that hold a digit or an at sign.  It scores whole
 candidate segments of up to ``MAX_TOKENS`` tokens (shape, digits, check digit,
 punctuation, the word before), and dynamic programming over these bounded
 segments chooses boundaries and types together.  It is trained on a bounded
-sample of zones whose segments the patterns label; decoded segments that no
-base span overlaps are added where their posterior is ``ACCEPT`` or more.
+sample of zones whose segments the patterns label, and on planted variants of
+these zones: the same data with separators or prefixes that the patterns do not
+know, and spoiled ones (a wrong check digit, a part beyond 255, too few digits)
+that are no personal data.  Decoded segments that no base span overlaps are
+added where their posterior is ``ACCEPT`` or more.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +31,10 @@ from tidemark.llm._shared import hash_sample, in_slices, keyed_text, lean, rows,
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
 #: Documents and zones that the field is trained on at most, chosen by hashes; steps of training; posterior that a span needs.
-TRAIN_DOCS, TRAIN_ZONES, STEPS, ACCEPT = 8_000, 1_500, 6_000, 0.9
+TRAIN_DOCS, TRAIN_ZONES, STEPS, ACCEPT = 8_000, 1_500, 12_000, 0.9
+
+#: Planted variants, and as many spoiled ones, of each zone with data.
+PLANTED = 3
 
 #: Bytes of text that a task handles at a time.
 SLICE_BYTES = 4 << 20
@@ -40,6 +48,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"[0-9]")
+_BETWEEN = re.compile(r"[^\w\s]+")
 _EDGE = ".,;:!?\"'"
 
 Span = tuple[int, int, int]  # kind's number, start, end
@@ -111,8 +120,8 @@ def _features(segment: str, n_tokens: int, before: str) -> list[str]:
     n = len(digits)
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", segment))[:24]
     size = "0" if not n else "1-8" if n < 9 else "9-12" if n < 13 else "13-15" if n < 16 else "16-19" if n < 20 else "20-"
-    parts = segment.split(".")
-    four = len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
+    parts = _BETWEEN.split(segment)
+    four = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
     return [
         "any", f"tokens={n_tokens}", f"shape={shape}", f"size={size}", f"check={13 <= n <= 19 and luhn(digits)}", f"size={size},check={luhn(digits) if n else False}",
         f"plus={segment[:1] == '+'}", f"at={segment.count('@')}", f"four={four}", f"letters={bool(re.search(r'[^\W\d_]', segment))}", f"before={before.lower()[-12:]}",
@@ -216,6 +225,49 @@ def _labelled(text: str, zone: list[tuple[int, int]], spans: list[Span]) -> list
     return out
 
 
+def variant(kind: int, span: str, rng: random.Random) -> str:
+    """A base span as the patterns do not know it: other separators, or a number without its plus."""
+    if kind == 0:
+        name, _, host = span.rpartition("@")
+        at, dot = rng.choice([("[@]", "."), ("(@)", "."), ("@", "[.]"), ("@", "(.)"), ("[@]", "[.]"), ("(@)", "(.)")])
+        return name + at + host.replace(".", dot)
+    if kind == 1:
+        return span.replace(".", rng.choice(["[.]", "(.)", "{.}"]))
+    if kind == 2:
+        digits = "".join(_DIGITS.findall(span))
+        return rng.choice([".", "/", "_", "  "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return rng.choice([span[1:], "00" + span[1:], "+" + re.sub(r"[^0-9]+", "/", span[1:])])
+
+
+def spoiled(kind: int, span: str, rng: random.Random) -> str:
+    """What looks like a variant and is no personal data."""
+    if kind == 0:
+        return "@" + span.rpartition("@")[0]
+    other = variant(kind, span, rng)
+    if kind == 1:
+        return re.sub(r"^[0-9]+", str(rng.randint(256, 999)), other)
+    if kind == 2:
+        return other[:-1] + str((int(other[-1]) + rng.randint(1, 9)) % 10)
+    digits = "".join(_DIGITS.findall(span))
+    return f"{digits[-7:-4]}-{digits[-4:]}"
+
+
+def planted(text: str, before: str, spans: list[Span], rng: random.Random, *, spoil: bool = False) -> list[tuple]:
+    """Zones of ``text`` with each span in another form, and their segments: typed, or none where the data are spoiled."""
+    out, last, typed = "", 0, []
+    for k, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < last:
+            continue
+        out += text[last:a]
+        new = (spoiled if spoil else variant)(k, text[a:b], rng)
+        if not spoil:
+            typed.append((k, len(out), len(out) + len(new)))
+        out, last = out + new, b
+    out += text[last:]
+    found = [(before if n == 0 else word, zone) for n, (word, zone) in enumerate(zones(out))]
+    return [(out, word, zone, _labelled(out, zone, typed)) for word, zone in found]
+
+
 def _train(sample: list[tuple[str, str, list[tuple[int, int]], list[tuple[int, int]]]], rate: float = 0.2) -> SpanField:
     """Stochastic ascent of the labelled segmentations' likelihood, with adaptive rates."""
     field, seen = SpanField(), defaultdict(lambda: [1e-3] * 5)
@@ -240,7 +292,7 @@ def _train(sample: list[tuple[str, str, list[tuple[int, int]], list[tuple[int, i
 
 
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> SpanField:
-    """Train on at most ``TRAIN_ZONES`` zones of at most ``TRAIN_DOCS`` different texts of ``df``.
+    """Train on at most ``TRAIN_ZONES`` zones of at most ``TRAIN_DOCS`` different texts of ``df``, and on planted variants of those.
 
     Null and empty texts have no zones, null ids do not matter, copies count
     once; without any zone, as in an empty table, nothing is ever added.
@@ -270,7 +322,19 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Spa
     half = [hash_sample(found.where(c), TRAIN_ZONES // 2, "id", "n").collect() for c in ("typed", "NOT typed")]
     mixed = [r for pair in zip(*half) for r in pair] + [r for h in half for r in h[min(map(len, half)) :]]
     pairs = lambda x: list(zip(x[::2], x[1::2]))
-    return _train([(r.text, r.before, pairs(r.places), pairs(r.gold)) for r in mixed])
+    sample, rng = [], random.Random(len(mixed))
+    for r in mixed:
+        places, typed, i = pairs(r.places), [], 0
+        for n, y in pairs(r.gold):
+            if y:
+                typed.append((y - 1, places[i][0], places[i + n - 1][1]))
+            i += n
+        sample.append((r.text, r.before, places, pairs(r.gold)))
+        if typed:
+            whole = [s for s in base_spans(r.text) if s in typed]
+            for spoil in (False, True) * PLANTED if whole else ():
+                sample += planted(r.text, r.before, whole, rng, spoil=spoil)
+    return _train(sample)
 
 
 def all_spans(text: str | None, field: SpanField) -> tuple[list[Span], list[Span]]:
@@ -278,10 +342,19 @@ def all_spans(text: str | None, field: SpanField) -> tuple[list[Span], list[Span
     if not text or not _HINT.search(text):
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # of the base spans, overlapping ones as one
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     more = []
     for before, zone in zones(text):
-        more += [(k, a, b) for k, a, b, p in field.decode(text, before, zone) if p >= ACCEPT and not any(x < b and y > a for x, y in taken)]
+        for k, a, b, p in field.decode(text, before, zone):
+            last = bisect_right(starts, b - 1) - 1  # the last one that starts before b
+            if p >= ACCEPT and (last < 0 or ends[last] <= a):
+                more.append((k, a, b))
     return base, sorted(base + more)
 
 
@@ -304,14 +377,14 @@ def find(df: DataFrame, field: SpanField, *, id_col: str = "doc_id", text_col: s
 
 
 def report(df: DataFrame, field: SpanField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans``: the contract's digest of :func:`find`."""
+    """``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``: the contract's digest of :func:`find`, and the number of all spans."""
     found = find(df, field, id_col=id_col, text_col=text_col)
 
     def text(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select(id_col, *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, field: SpanField, *, text_col: str = "text") -> DataFrame:
