@@ -116,7 +116,8 @@ def test_decoding_is_the_best_segmentation():
         lengths = [b - a for a, b in zip([0, *ends], ends)]
         for labels in itertools.product(range(5), repeat=len(ends)):
             score = sum(segments[j - 1][n - 1][1][y] for j, n, y in zip(ends, lengths, labels))
-            best = max(best, (score, [(y - 1, zone[j - n][0], zone[j - 1][1]) for j, n, y in zip(ends, lengths, labels) if y]))
+            score += sum(FIELD.follows[x][y] for x, y in zip((0, *labels), labels))
+            best = max(best, (score, [(y - 1, zone[j - n][0], zone[j - 1][1]) for j, n, y in zip(ends, lengths, labels) if y]), key=lambda b: b[0])
     assert [s[:3] for s in FIELD.decode(text, before, zone)] == best[1]
 
 
