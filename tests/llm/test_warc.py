@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 import sys
 from pathlib import Path
 
@@ -38,3 +39,19 @@ def test_cases(spark):
 def test_near_ranges_are_read_together():
     reads = list(warc._coalesced([("a", 0, 10), ("a", 10, 10), ("a", 10**8, 5), ("b", 0, 5)]))
     assert [(f, a, b, len(m)) for f, a, b, m in reads] == [("a", 0, 20, 2), ("a", 10**8, 10**8 + 5, 1), ("b", 0, 5, 1)]
+
+
+def test_reads_are_spread_and_long_payloads_come_whole(spark):
+    long = random.Random(3).randbytes(6 << 20).hex()  # compressed still larger than one read
+    df = spark.createDataFrame([(1, "u", long), *[(i, "u", f"{i} " * 900) for i in range(2, 60)]], "page_id long, url string, html string").coalesce(1)
+    index = warc.write(df)
+    assert index.agg({"length": "max"}).first()[0] > warc.READ_BYTES
+    odd = index.select("file", "offset", "length").limit(1).selectExpr("file", "CAST(NULL AS LONG) AS offset", "length")
+    wanted = index.select("file", "offset", "length")
+    wanted = wanted.unionByName(odd).unionByName(wanted.where("length > 1000000"))
+    got = warc.read(wanted)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = got.collect()
+    assert sorted(r.page_id for r in rows) == [1, *range(1, 60)]
+    assert {r.payload_digest for r in rows if r.page_id == 1} == {hashlib.sha1(long.encode()).hexdigest()}
+    assert warc.read(index.limit(0)).count() == 0

@@ -33,6 +33,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Ranges with less than GAP_BYTES between them are read together, up to READ_BYTES at once.
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
+#: Bytes of archives that a task reads on average, at most.
+TASK_BYTES = 64 << 20
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string"
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -152,7 +154,9 @@ def read(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
     """The records that the rows of ``index`` select, with columns ``PAGES`` (and ``payload``).
 
     The digest of a response is taken from the payload read, and must be the
-    one in its header.  Revisits take size and digest from their headers.
+    one in its header.  Revisits take size and digest from their headers.  An
+    index row without a file, offset or length names no record and is passed
+    over; repeated rows give their record each time; an empty index gives none.
     """
     schema = PAGES + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -184,8 +188,11 @@ def read(index: DataFrame, *, with_payload: bool = False) -> DataFrame:
             opened.close()
 
     near = (F.col("offset") / READ_BYTES).cast("long")
-    wanted = index.select("file", "offset", "length").repartition("file", near).sortWithinPartitions("file", "offset")
-    return wanted.mapInArrow(run, schema)
+    wanted = index.select("file", "offset", "length").dropna()
+    # index rows are tiny, so tasks are numbered by the bytes that they will read from the archives
+    spark = index.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(wanted.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    return wanted.repartition(parts, "file", near).sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 #: What the contract query returns, in DuckDB's SQL.
