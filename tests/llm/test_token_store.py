@@ -51,6 +51,24 @@ def test_all_plain_characters_against_the_library():
         assert np.frombuffer(raw, encoder.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_and_odd_texts_leave_later_plain_texts_alone():
+    encoder = token_store.WordEncoder(VOCABULARY)
+
+    def check(texts):
+        for text, raw in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(raw, encoder.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
+
+    check(["d<|endoftext|>"])
+    check(["hello", "a b<|endoftext|>", "<|endoftext|>", "world"])
+    check(["hello world", "hello", "world"])
+    rng = np.random.default_rng(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "</w>", "\u0130", "i\u0307", "a", "d", "hello", "World", " ", "  ", "\n", "'s", "1", "é", "日", "\u0301", "!", "x" * 50, "\x00", "\u2028"]
+    for _ in range(1000):  # 50,000 texts in batches of changing size, the same words again and again
+        batch = ["".join(rng.choice(parts, rng.integers(0, 6))) for _ in range(rng.integers(1, 100))]
+        check(batch)
+    check(["hello world a d 's 1 é !"])
+
+
 def test_small_memory_changes_nothing(monkeypatch):
     texts = [f"w{i} x{i % 7} common" for i in range(300)]
     monkeypatch.setattr(token_store, "CACHE_ENTRIES", 16)

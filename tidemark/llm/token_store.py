@@ -158,9 +158,13 @@ class WordEncoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _many(self, keys: list[str]) -> list[bytes]:
-        """The ids of words and odd pieces; short plain words go to the library joined by spaces."""
+        """The ids of words, odd pieces and whole texts.
+
+        Short keys that are one plain pre-token, and so end with exactly one id
+        of a word's end, go to the library joined by spaces; all others alone.
+        """
         out: list[bytes] = [b""] * len(keys)
-        plain = [i for i, x in enumerate(keys) if len(x) <= self.words.longest and (x.isascii() or max(x) < PLAIN_BELOW)]
+        plain = [i for i, x in enumerate(keys) if 0 < len(x) <= self.words.longest and _is_plain(x) and self.pretokens(x) == [x]]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             (found,) = self.library.encode_batch_fast([" ".join([keys[i] for i in some])], add_special_tokens=False)
