@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, ngram_join, personal_data, piece_bpe, quality_rules, repeats, site_quality, token_store, toxicity, warc
+from tidemark.llm import byte_bpe, decontamination, ngram_join, periodic, personal_data, piece_bpe, quality_rules, repeats, site_quality, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder, small_batches
 
 
@@ -86,9 +86,14 @@ def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text of ``documents``, a tenth of which are made periodic first."""
+    return periodic.report(_table(spark, sf_dir, "documents"), plant=periodic.planted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op4_site_quality, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data, op12_piece_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op4_site_quality, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data, op12_piece_bpe, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
