@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, ngram_join, periodic, personal_data, piece_bpe, quality_rules, repeats, site_quality, token_store, toxicity, warc
+from tidemark.llm import alignment, byte_bpe, decontamination, ngram_join, periodic, personal_data, piece_bpe, quality_rules, repeats, site_quality, token_store, toxicity, warc
 from tidemark.llm._shared import new_folder, small_batches
 
 
@@ -81,6 +81,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(docs, personal_data.fit(docs))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of a byte-level and a piece vocabulary in every whole text of ``documents``."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.report(_table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text of ``documents`` by pieces, and decode it."""
     return piece_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -93,7 +99,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op4_site_quality, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data, op12_piece_bpe, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_token_store, op2_ngram_join, op3_decontamination, op4_site_quality, op5_toxicity, op6_byte_bpe, op7_warc, op8_quality_rules, op9_repeats, op10_personal_data, op11_alignment, op12_piece_bpe, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
