@@ -7,6 +7,13 @@ import pytest
 from tidemark.llm import periodic, queries
 
 
+def test_levels_are_few():
+    """Each level loses a quarter of its symbols or so, whatever they are."""
+    rng = np.random.default_rng(1)
+    for s in (np.arange(20_000) % 9000, rng.integers(0, 5, 20_000), np.tile(np.arange(7000), 4), np.zeros(20_000, np.int64)):
+        assert len(periodic.Grammar(s.astype(np.int64)).levels) < 100
+
+
 def brute(words):
     """All maximal runs: for each period, stretches where words q apart are identical, each with its smallest period."""
     found, n = {}, len(words)

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ LEAST_WORDS, LEAST_PERIODS = 6, 4
 SLICE_BYTES = 2 << 20
 #: Grid points that are compared at a time: bounds memory, never results.
 BLOCK_POINTS = 1 << 20
+#: Turns in which only the first point of each chain is asked for.
+CHAIN_TURNS = 3
 
 
 class _Level:
@@ -85,9 +88,12 @@ class Grammar:
 
     @staticmethod
     def _pairs(level: _Level, next_symbol: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Symbols are left or right by a hash of theirs; a left one and the right one after it become one symbol."""
+        """Symbols are left or right by a hash of theirs, another one on each level; a left one and the right one after it become one symbol."""
         s = level.symbols
-        right = (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(next_symbol) >> np.uint64(40)) & np.uint64(1) == 1
+        mixed = (s.astype(np.uint64) + np.uint64(next_symbol)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift in (30, 27):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        right = mixed >> np.uint64(63) == 1
         joins = np.r_[~right[:-1] & right[1:], False]
         starts = np.flatnonzero(~np.r_[False, joins[:-1]])
         made = s[starts].copy()
@@ -203,8 +209,12 @@ def runs_of(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     order = np.lexsort((x, q, text))
     of, q, x = of[order], q[order], x[order]
     found = []
-    while len(x):  # the first of each chain of neighbouring grid points; what its run covers needs no query of its own
+    for turn in count():  # the first of each chain of neighbouring grid points; what its run covers needs no query of its own
+        if not len(x):
+            break
         lead = np.r_[True, (of[1:] != of[:-1]) | (q[1:] != q[:-1]) | (x[1:] != x[:-1] + q[1:])]
+        if turn >= CHAIN_TURNS:  # mostly points that are in no run: a block of them at once
+            lead[:BLOCK_POINTS] = True
         a, b = x[lead], x[lead] + q[lead]
         right = forward.lce(a, b)
         start, end = last + 1 - backward.lce(last + 1 - b, last + 1 - a), right + q[lead]
