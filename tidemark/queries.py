@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark import rebuild_queries  # noqa: F401  (registers its queries)
+from tidemark import job_queries, rebuild_queries  # noqa: F401  (they register their queries)
 from tidemark.functions import dates, series
-from tidemark.operators import calendar, censor, composite, evaluate, hierarchy, quality, rebuild, store, triangle, views
+from tidemark.operators import backtest, calendar, censor, composite, evaluate, hierarchy, quality, rebuild, store, triangle, views
 from tidemark.plans.demo import order_months, vintage_obs
 from tidemark.registry import ORACLES, QUERIES, query
 from tidemark.schemas import SERIES, VINTAGE, conform
 from tidemark.sources import readers
 from tidemark.sources.readers import table
+from tidemark.storage import new_folder
 from tidemark.streaming import capture
 
 _AS_OF, _SETTLED = "2000-06-12", "1997-01-12"
@@ -504,10 +504,8 @@ pred AS (SELECT industry_code, target, actual, max(CASE WHEN rn = 1 THEN change
 def _predictions(spark, sf_dir):
     prints = _first_prints(spark, sf_dir).where("change IS NOT NULL")
     targets = prints.select("industry_code", F.col("month").alias("target"), F.col("change").alias("actual"), F.date_sub("vintage_date", 7).alias("as_of"))
-    known = evaluate.known_history(targets, prints, ["industry_code"])
-    keys = ["industry_code", "target", "actual"]
-    rw = evaluate.random_walk(known, keys, "change").withColumnRenamed("prediction", "rw")
-    return rw.join(evaluate.trailing_mean(known, keys, "change").withColumnRenamed("prediction", "tm"), keys)
+    known = backtest.naive(targets, prints, ["industry_code"], "change").where("rw IS NOT NULL")
+    return known.select("industry_code", "target", "actual", "rw", "tm")
 
 
 @query(_TARGETS + " SELECT industry_code, target, actual, rw, round(tm, 6) AS tm FROM pred")
@@ -931,7 +929,7 @@ def _run_stream(spark: SparkSession, name: str, deliveries: list[DataFrame], kee
 
     Files are as many as the rows' own partitions; a trigger takes as many as the first delivery has.
     """
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = new_folder(spark, name)
     first, *later = deliveries
     first.write.parquet(f"{folder}/landing")
     share = max(1, len(spark.read.schema(first.schema).parquet(f"{folder}/landing").inputFiles()))
@@ -975,12 +973,6 @@ def str08_windowed_means(spark, sf_dir):
     return out.select("event_type", F.col("window.start").cast("date").alias("week"), F.round("mean", 6).alias("mean"), "n")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or "/tmp/tidemark-shared").rstrip("/")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
