@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 
 # Sectors of each private supersector.
 SUPERSECTORS = {
-    "10": "21", "20": "23", "30": "31", "40": "22 42 44 48", "50": "51",
-    "55": "52 53", "60": "54 55 56", "65": "61 62", "70": "71 72", "80": "81",
-}
+    "10": ("21",),
+    "20": ("23",),
+    "30": ("31",),
+    "40": ("22", "42", "44", "48"),
+    "50": ("51",),
+    "55": ("52", "53"),
+    "60": ("54", "55", "56"),
+    "65": ("61", "62"),
+    "70": ("71", "72"),
+    "80": ("81",),
+}
 GOODS = ("10", "20", "30")
 # Sectors that the store keeps.
-STORED_SECTORS = "11 21 22 23 31 32 42 44 48 51 52 53 54 55 56 61 62 71 72 81"
+STORED_SECTORS = ("11", "21", "22", "23", "31", "32", "42", "44", "48", "51", "52", "53", "54", "55", "56", "61", "62", "71", "72", "81")
 # Three-digit manufacturing codes of durable (31) and nondurable (32) goods.
-MANUFACTURING = {"31": "321 327 331 332 333 334 335 336 337 339", "32": "311 312 313 314 315 316 322 323 324 325 326"}
+MANUFACTURING = {
+    "31": ("321", "327", "331", "332", "333", "334", "335", "336", "337", "339"),
+    "32": ("311", "312", "313", "314", "315", "316", "322", "323", "324", "325", "326"),
+}
+# Census codes of supersectors at aggregation level 13; supersector 10 is the sum of its sectors instead.
+CENSUS_SUPERSECTORS = {"20": "1012", "30": "1013", "40": "1021", "50": "1022", "55": "1023", "60": "1024", "65": "1025", "70": "1026", "80": "1027"}
+# The one part of agriculture and forestry (sector 11) that the survey covers, at aggregation level 16.
+LOGGING = "1133"
 # Government sectors by owner, codes written as ranges, and old sector codes.
 GOVERNMENT = {"1": "91", "2": "92", "3": "93"}
 RANGES = {"44-45": "44", "48-49": "48"}
@@ -31,7 +46,7 @@ BENCHMARKS = {
 def industries(spark: SparkSession) -> DataFrame:
     """The stored axes: ``industry_type, industry_code, ownership``."""
     rows = [("total", "00", "total"), ("total", "05", "private"), ("domain", "06", "private"), ("domain", "08", "private")]
-    rows += [("supersector", code, "private") for code in SUPERSECTORS] + [("sector", code, "private") for code in STORED_SECTORS.split()]
+    rows += [("supersector", code, "private") for code in SUPERSECTORS] + [("sector", code, "private") for code in STORED_SECTORS]
     return spark.createDataFrame(rows, "industry_type string, industry_code string, ownership string")
 
 
@@ -67,10 +82,10 @@ def recode(df: DataFrame) -> DataFrame:
 
 def census_members(spark: SparkSession) -> DataFrame:
     """What each census code counts towards: ``member`` (stream/code), ``level``, ``code``."""
-    above = {s: up for up, sectors in SUPERSECTORS.items() for s in sectors.split()} | {"32": "30"} | dict.fromkeys(GOVERNMENT.values(), "90")
+    above = {s: up for up, sectors in SUPERSECTORS.items() for s in sectors} | {"32": "30"} | dict.fromkeys(GOVERNMENT.values(), "90")
     of = {f"private/{s}": s for s in above if s not in ("31", "32", *GOVERNMENT.values())} | {f"private/{r}": s for r, s in RANGES.items()}
     of |= {f"government/{o}": s for o, s in GOVERNMENT.items()}
-    of |= {f"manufacturing/{c}": s for s, codes in MANUFACTURING.items() for c in codes.split()}
+    of |= {f"manufacturing/{c}": s for s, codes in MANUFACTURING.items() for c in codes}
     rows = [("total/00", "national", "00")]
     for member, sector in of.items():
         up = above[sector]
@@ -79,6 +94,21 @@ def census_members(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "member string, level string, code string")
 
 
+def private_members(spark: SparkSession) -> DataFrame:
+    """What each cell of private national census counts towards: ``member`` (aggregation level/code), ``level``, ``code``.
+
+    Supersectors have cells of their own; domains and the total are sums of supersectors.
+    """
+    codes = {s: {f"14/{s}"} for s in STORED_SECTORS} | {s: {f"14/{r}"} for r, s in RANGES.items()}
+    codes |= {"11": {f"16/{LOGGING}"}} | {s: {f"15/{c}" for c in three} for s, three in MANUFACTURING.items()}
+    rows = [(member, "sector", s) for s, members in codes.items() for member in sorted(members)]
+    cells = {up: {f"13/{c}"} for up, c in CENSUS_SUPERSECTORS.items()} | {"10": codes["11"] | codes["21"]}
+    for up, members in cells.items():
+        domain = "06" if up in GOODS else "08"
+        rows += [(m, *axis) for m in sorted(members) for axis in (("supersector", up), ("domain", domain), ("total", "05"))]
+    return spark.createDataFrame(rows, "member string, level string, code string")
+
+
 def with_benchmark(df: DataFrame, year: str) -> DataFrame:
     """Adds ``benchmark`` and ``benchmark_known``: a year of the table without a value is known, but left out."""
     rows = df.sparkSession.createDataFrame(list(BENCHMARKS.items()), f"`{year}` int, benchmark int").withColumn("_known", F.lit(True))

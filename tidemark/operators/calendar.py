@@ -32,6 +32,13 @@ def quarterly_revisions(quarters: DataFrame) -> DataFrame:
     return rows.withColumns({"vintage_date": F.expr("trunc(add_months(ref_date, _lag), 'MM')"), "noise": noise[q][F.col("revision")]}).drop("_lag")
 
 
+def quarterly_vintage(ref_date: Column, revision: Column) -> Column:
+    """When a print of the quarter of ``ref_date`` comes out, by its usual lag; null for prints that the quarter does not get."""
+    lags = F.create_map(*[x for q, v in QUARTERLY_LAGS.items() for x in (F.lit(q), F.array(*map(F.lit, v)))])
+    end = F.add_months(F.trunc(ref_date, "quarter"), 2)
+    return F.trunc(F.add_months(end, F.get(lags[F.quarter(ref_date)], revision)), "MM")
+
+
 def latest_lookup(calendar: DataFrame) -> DataFrame:
     """The newest (vintage, revision) of each reference date and benchmark track, as one coherent row."""
     w = Window.partitionBy("publication", "ref_date", "benchmark_revision").orderBy(F.desc("vintage_date"), F.desc("revision"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Buckets of the coarser size schemes, as native codes 1 to 9.
+# Buckets of the size schemes, as lists of native codes.
 SIZE_SCHEMES = {
-    "total": {"0": "123456789"},
-    "small": {"1": "12345", "2": "67", "3": "89"},
-    "medium": {"1": "1234", "2": "5", "3": "6", "4": "7", "5": "89"},
-    "large": {"1": "1", "2": "2", "3": "3", "4": "4", "5": "5", "6": "6", "7": "7", "8": "8", "9": "9"},
+    "total": {"0": ("1", "2", "3", "4", "5", "6", "7", "8", "9")},
+    "small": {"1": ("1", "2", "3", "4", "5"), "2": ("6", "7"), "3": ("8", "9")},
+    "medium": {"1": ("1", "2", "3", "4"), "2": ("5",), "3": ("6",), "4": ("7",), "5": ("8", "9")},
+    "large": {"1": ("1",), "2": ("2",), "3": ("3",), "4": ("4",), "5": ("5",), "6": ("6",), "7": ("7",), "8": ("8",), "9": ("9",)},
 }
 
 

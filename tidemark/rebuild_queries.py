@@ -215,9 +215,71 @@ def flt11_census_levels(spark, sf_dir):
     return census.levels(_census(spark, sf_dir), ["ref_date"], "l_quantity")
 
 
-@query(_CENSUS.format(where="disclosure_code IS NULL OR disclosure_code <> 'N'", by="size_code"))
+_QUARTERS = """, cl AS (SELECT CASE WHEN c_nationkey <= 12 THEN 'US000' ELSE lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '000' END AS area_fips, CASE WHEN l_linenumber = 1 THEN '0' WHEN l_linenumber = 2 AND l_partkey % 2 = 0 THEN '3' ELSE '5' END AS own_code,
+  CASE WHEN l_linenumber = 1 THEN 10 WHEN l_linenumber = 2 THEN 11 WHEN l_linenumber = 3 THEN 13 WHEN l_linenumber = 4 THEN 14 WHEN l_linenumber <= 6 THEN 15 ELSE 16 END AS lv,
+  CASE WHEN l_linenumber <= 2 THEN '10' WHEN l_linenumber = 3 THEN CASE WHEN p_size % 10 < 3 THEN '101' || (1 + p_size % 10) ELSE '102' || (p_size % 10 - 2) END WHEN l_linenumber = 4 THEN CASE WHEN p_size = 34 THEN '44-45' ELSE CAST(p_size + 10 AS VARCHAR) END
+    WHEN l_linenumber <= 6 THEN CAST(310 + p_size % 30 AS VARCHAR) ELSE CAST(1132 + p_size % 2 AS VARCHAR) END AS industry_code, CASE WHEN l_suppkey % 7 = 0 THEN 'N' WHEN l_suppkey % 7 = 1 THEN '-' END AS disclosure_code,
+  CAST(p_size % 9 + 1 AS VARCHAR) AS size_code, year(o_orderdate) AS y, quarter(o_orderdate) AS q, (month(o_orderdate) - 1) % 3 + 1 AS m, l_quantity, CAST(l_partkey % 2 AS INT) AS revision
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+cq AS (SELECT area_fips, own_code, lv, industry_code, disclosure_code, size_code, y, q, m, revision, CASE WHEN CAST(sum(l_quantity) AS BIGINT) % 10 = 0 THEN 0 ELSE CAST(sum(l_quantity) AS BIGINT) END / 1000.0 AS e FROM cl GROUP BY ALL),
+cm AS (SELECT *, CAST(lv + {lift} AS VARCHAR) AS agglvl_code, make_date(CAST(y AS INT), CAST((q - 1) * 3 + m AS INT), 12) AS ref_date FROM cq)"""
+_MADE_SQL = "(VALUES (1, [5, 8, 14, 20, 26]), (2, [5, 11, 17, 23]), (3, [5, 14, 20]), (4, [8, 17])) lags(q, l)"
+_VINTAGE_SQL = "CAST(date_trunc('month', date_trunc('quarter', ref_date) + to_months(CAST(2 + l[{r} + 1] AS INT))) AS DATE) AS vintage_date"
+
+
+def _quarters(spark: SparkSession, sf_dir: str, lift: int = 0) -> DataFrame:
+    """Lines as landed quarters: text in the month columns, zeros where a sum ends in 0, nothing where no line is."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line, size = F.col("l_linenumber"), F.col("p_size")
+    three = F.when(size % 10 < 3, F.concat(F.lit("101"), 1 + size % 10)).otherwise(F.concat(F.lit("102"), size % 10 - 2))
+    code = F.when(line <= 2, "10").when(line == 3, three).when(line == 4, F.when(size == 34, "44-45").otherwise((size + 10).cast("string")))
+    code = code.when(line <= 6, (310 + size % 30).cast("string")).otherwise((1132 + size % 2).cast("string"))
+    month = (F.month("o_orderdate") - 1) % 3 + 1
+    cell = [
+        F.when(F.col("c_nationkey") <= 12, "US000").otherwise(F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("000"))).alias("area_fips"),
+        F.when(line == 1, "0").when((line == 2) & (F.col("l_partkey") % 2 == 0), "3").otherwise("5").alias("own_code"),
+        (F.when(line == 1, 10).when(line == 2, 11).when(line == 3, 13).when(line == 4, 14).when(line <= 6, 15).otherwise(16) + lift).cast("string").alias("agglvl_code"), code.alias("industry_code"),
+        F.when(F.col("l_suppkey") % 7 == 0, "N").when(F.col("l_suppkey") % 7 == 1, "-").alias("disclosure_code"), (size % 9 + 1).cast("string").alias("size_code"),
+        F.year("o_orderdate").cast("string").alias("year"), F.quarter("o_orderdate").cast("string").alias("qtr"), (F.col("l_partkey") % 2).cast("int").alias("revision"),
+    ]
+    total = lambda m: F.sum(F.when(month == m, F.col("l_quantity"))).cast("long")
+    text = lambda m: F.when(total(m) % 10 == 0, F.lit("0")).otherwise(total(m).cast("string")).alias(f"month{m}_emplvl")
+    return lines.groupBy(*cell).agg(*[text(m) for m in (1, 2, 3)])
+
+
+_TREE_SQL = """, tr AS (SELECT cm.*, CASE WHEN agglvl_code = '16' AND industry_code = '1133' THEN '11' WHEN agglvl_code = '14' AND industry_code = '44-45' THEN '44' WHEN agglvl_code = '14' AND industry_code IN ('21', '22', '23', '42', '51', '52', '53', '54', '55', '56', '61', '62', '71', '72', '81') THEN industry_code
+  WHEN agglvl_code = '14' AND industry_code IN ('11', '31', '32', '44', '48') THEN NULL
+  WHEN agglvl_code = '15' AND industry_code IN ('321', '327', '331', '332', '333', '334', '335', '336', '337', '339') THEN '31' WHEN agglvl_code = '15' AND industry_code IN ('311', '312', '313', '314', '315', '316', '322', '323', '324', '325', '326') THEN '32' END AS s,
+  CASE WHEN agglvl_code = '13' THEN CASE industry_code WHEN '1012' THEN '20' WHEN '1013' THEN '30' WHEN '1021' THEN '40' WHEN '1022' THEN '50' WHEN '1023' THEN '55' WHEN '1024' THEN '60' WHEN '1025' THEN '65' WHEN '1026' THEN '70' WHEN '1027' THEN '80' END
+  WHEN (agglvl_code = '16' AND industry_code = '1133') OR (agglvl_code = '14' AND industry_code = '21') THEN '10' END AS ss FROM cm WHERE {where}),
+tl AS (SELECT tr.*, 'sector' AS t, s AS c, 'private' AS ownership FROM tr WHERE own_code = '5' AND s IS NOT NULL UNION ALL SELECT tr.*, 'supersector', ss, 'private' FROM tr WHERE own_code = '5' AND ss IS NOT NULL
+  UNION ALL SELECT tr.*, 'domain', CASE WHEN ss IN ('10', '20', '30') THEN '06' ELSE '08' END, 'private' FROM tr WHERE own_code = '5' AND ss IS NOT NULL UNION ALL SELECT tr.*, 'total', '05', 'private' FROM tr WHERE own_code = '5' AND ss IS NOT NULL
+  UNION ALL SELECT tr.*, 'total', '00', 'total' FROM tr WHERE own_code = '0' AND agglvl_code = '10' AND industry_code = '10')"""
+
+
+@query(_QUARTERS.format(lift=0) + ", cen AS (SELECT *, e AS l_quantity FROM cm WHERE e > 0)" + _CENSUS.split("lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)")[1].format(where="true", by="ref_date")
+       .replace("agglvl_code = '55'", "agglvl_code = '15'").replace("SELECT CASE WHEN area_fips", ", r AS (SELECT CASE WHEN area_fips", 1).replace("FROM lv GROUP BY ALL", "FROM lv GROUP BY ALL)")
+       + f" SELECT geographic_type, geographic_code, industry_type, industry_code, ref_date, {_VINTAGE_SQL.format(r=0)}, CAST(0 AS INT) AS revision, CAST(0 AS INT) AS benchmark_revision, 'qcew' AS source, false AS seasonally_adjusted, round(l_quantity, 6) AS employment FROM r JOIN {_MADE_SQL} ON quarter(ref_date) = q")
+def agg06_census_bulk(spark, sf_dir):
+    """Landed quarters of all areas as first prints; months of 0 and without a number give no row."""
+    return census.bulk_rows(_quarters(spark, sf_dir)).withColumn("employment", F.round("employment", 6))
+
+
+_PANEL_ROWS = " SELECT 'national' AS geographic_type, '00' AS geographic_code, ownership, t AS industry_type, c AS industry_code, ref_date, {more} {vintage}, CAST({r} AS INT) AS revision, CAST(0 AS INT) AS benchmark_revision, 'qcew' AS source, false AS seasonally_adjusted, round(sum(e), 6) AS employment FROM tl JOIN {lags} ON quarter(ref_date) = lags.q GROUP BY ALL"
+
+
+@query(_QUARTERS.format(lift=0) + _TREE_SQL.format(where="area_fips = 'US000'") + _PANEL_ROWS.format(more="", vintage=_VINTAGE_SQL.format(r="revision"), r="revision", lags=_MADE_SQL))
+def agg04_census_panel(spark, sf_dir):
+    return census.panel(_quarters(spark, sf_dir)).withColumn("employment", F.round("employment", 6))
+
+
+@query(_QUARTERS.format(lift=0) + _TREE_SQL.format(where="q = 1 AND (disclosure_code IS NULL OR disclosure_code <> 'N')") + _PANEL_ROWS.format(more="size_code,", vintage=_VINTAGE_SQL.format(r=0), r=0, lags=_MADE_SQL) .replace("FROM tl JOIN", "FROM (SELECT * FROM tl WHERE own_code = '5') tl JOIN"))
 def agg08_census_sizes(spark, sf_dir):
-    return census.levels_by_size(_census(spark, sf_dir, 10), [], "l_quantity")
+    """First quarters of a size file that holds each cell a second time, forty levels higher."""
+    cells = _quarters(spark, sf_dir, 10).where("qtr = '1'")
+    again = cells.withColumn("agglvl_code", (F.col("agglvl_code").cast("int") + 40).cast("string"))
+    return census.size_rows(cells.unionByName(again)).withColumn("employment", F.round("employment", 6))
 
 
 @query(_CENSUS.split(",\nst AS")[0] + " SELECT own_code, disclosure_code, count(*) AS n FROM cen GROUP BY ALL")
