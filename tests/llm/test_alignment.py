@@ -163,12 +163,14 @@ def test_groups_and_pairs(spark):
 
 
 def test_units_join_to_the_text():
-    rng = np.random.default_rng(2)
-    for _ in range(3000):
-        marked = " " + "".join(rng.choice(list("ab \n\t\xa0　."), rng.integers(1, 20)))
-        units = alignment.Aligner.cut(marked)
+    rng, both = np.random.default_rng(2), alignment.aligner(A_PATH, B_PATH)
+    for _ in range(5000):
+        marked = " " + "".join(rng.choice(list("abé1 \n\t\r\xa0　.,;:!?)]\"'_日"), rng.integers(1, 20)))
+        units = both.cut(marked)
         assert "".join(units) == marked
         assert [i for u in units for i in A.encode(u, add_special_tokens=False).ids] == A.encode(marked, add_special_tokens=False).ids
+        b = [i for u in units for x in both.b.encode_words(both.b.pieces_of(u)) for i in np.frombuffer(x, "<i4").tolist()]
+        assert b == B.encode(marked[1:])
 
 
 def test_empty_table(spark):

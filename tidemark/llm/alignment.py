@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import piece_bpe
-from tidemark.llm._shared import Memo, in_slices, keyed_text, lean, rows, stored
+from tidemark.llm._shared import in_slices, keyed_text, lean, rows, stored
 
 #: Texts of more bytes are cut into chunks of about so many.
 CHUNK_BYTES = 64 << 10
@@ -48,8 +48,12 @@ CHUNK_BYTES = 64 << 10
 FAN = 16
 #: Frequent pairs that are broadcast at most; all others are joined by a shuffle.
 BROADCAST_PAIRS = 250_000
-#: Bytes of text that a task handles at a time, and units that a worker remembers in each of two generations.
-SLICE_BYTES, CACHE_ENTRIES = 4 << 20, 100_000
+#: Bytes of text that a task handles at a time; units, and characters of them, that a worker remembers before it begins anew.
+SLICE_BYTES, CACHE_ENTRIES, CACHE_CHARS = 2 << 20, 300_000, 8 << 20
+#: Units that go to a library in one call.
+JOINED_UNITS = 500
+#: Marks that often stand right behind a word.
+MARKS = ".,;:!?)]\""
 
 
 # ---------------------------------------------------------------- the monoid
@@ -151,47 +155,69 @@ def links(a: Tokens, b: Tokens, start: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a.ids, counts) << 32 | b.ids[which], counts
 
 
+class Decimals:
+    """The ids below a bound in decimal, with each of the marks that may follow one in a group."""
+
+    def __init__(self, bound: int):
+        self.with_mark = {m: np.array([f"{i}{m}" for i in range(bound)], dtype=object) for m in ",|;"}
+
+    def groups(self, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Of two such streams the common ends, where each group begins in the list of parts, and the parts.
+
+        The parts of a group are its ids, each with the mark behind it, as in ``a1,a2|b1;``.
+        """
+        common = np.intersect1d(a.ends, b.ends, assume_unique=True)
+        p, q = (np.searchsorted(x.ends, common, side="right") for x in (a, b))  # tokens up to each group's end
+        group_a, group_b = (np.searchsorted(common, x.ends, side="left") for x in (a, b))
+        at_a = np.arange(len(a.ids)) + np.concatenate([[0], q])[group_a]
+        at_b = np.arange(len(b.ids)) + p[group_b]
+        parts = np.empty(len(a.ids) + len(b.ids), dtype=object)
+        parts[at_a], parts[at_b] = self.with_mark[","][a.ids], self.with_mark[","][b.ids]
+        parts[at_a[p - 1]], parts[at_b[q - 1]] = self.with_mark["|"][a.ids[p - 1]], self.with_mark[";"][b.ids[q - 1]]
+        return common, np.concatenate([[0], p + q]), parts.tolist()
+
+
+@lru_cache(1)
+def decimals(bound: int) -> Decimals:
+    """One table for each Python worker."""
+    return Decimals(bound)
+
+
 def group_texts(a: Tokens, b: Tokens) -> tuple[np.ndarray, list[str]]:
     """The common ends of two such streams, and each group as ``a1,a2|b1``."""
-    common = np.intersect1d(a.ends, b.ends)
-    left, right = ([str(i) for i in x.ids.tolist()] for x in (a, b))
-    out, p, q = [], 0, 0
-    for i, j in zip(np.searchsorted(a.ends, common, side="right").tolist(), np.searchsorted(b.ends, common, side="right").tolist()):
-        out.append(f"{','.join(left[p:i])}|{','.join(right[q:j])}")
-        p, q = i, j
-    return common, out
+    bound = int(max(a.ids.max(initial=0), b.ids.max(initial=0))) + 1
+    common, begins, parts = decimals(1 << bound.bit_length()).groups(a, b)
+    return common, ["".join(parts[x:y])[:-1] for x, y in zip(begins[:-1].tolist(), begins[1:].tolist())]
 
 
 # ---------------------------------------------------------------- the tokenizers
 
 
-@dataclass(slots=True)
-class Unit:
-    """What a stretch of text between two sure places gives; ``ok`` is whether both tokenizers give its bytes."""
-
-    ok: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    codes: bytes
-
-
-class _Units(Memo):
-    """A memory of units."""
-
-    def of(self, cut: list[list[str]]) -> list[list[Unit]]:
-        self.joined([])  # turns the generations where they are full
-        new = set(chain.from_iterable(cut)).difference(self)
-        for key in new.intersection(self.older):
-            self[key] = self.older[key]
-        left = list(new.difference(self.older))
-        self.update(zip(left, self.make(left)))
-        out = [[self[k] for k in keys] for keys in cut]
-        for key in left:
-            if len(key) > self.longest:
-                del self[key]
-        return out
+class Units:
+    """What each stretch of text between two sure places gives, remembered in columns until there are too many."""
+
+    def __init__(self, make: Callable[[list[str]], tuple]):
+        self.make = make
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.size, self.groups = 0, []
+        #: For each unit: whether both tokenizers give its bytes, its tokens of A and B, groups and links; then all links.
+        self.columns, self.pairs = np.zeros((5, 0), np.int64), np.zeros(0, np.int64)
+
+    def of(self, units: list[str]) -> np.ndarray:
+        """The numbers of units, after new ones have been aligned; valid until the next call."""
+        if len(self.number) > CACHE_ENTRIES or self.size > CACHE_CHARS:
+            self.forget()
+        new = list(set(units).difference(self.number))
+        if new:
+            new, columns, groups, pairs = self.make(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.size += sum(map(len, new))
+            self.columns, self.pairs = np.concatenate([self.columns, columns], axis=1), np.concatenate([self.pairs, pairs])
+            self.groups += groups
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
 
 
 def _byte_characters() -> dict[str, int]:
@@ -215,7 +241,10 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b.bytes_of))
         #: A's words begin with white space after anything else; B's begin with a space after anything else.
         self.sure = {"a": re.compile(r"(?<=\S)\s"), "b": re.compile(r"(?<=[^ ]) ")}
-        self.units = _Units(self._units, CACHE_ENTRIES)
+        self.places, self.marks = self._places()
+        self.odd_space = re.compile(r"\s ").search
+        self.units = Units(self._align)
+        self.all_b = len(self.b.bytes_of)
 
     def tokens_of(self, which: str, text: str, start: int) -> tuple[Tokens, bool]:
         """The tokens of a stretch of text that begins at a sure place, and whether they give its bytes."""
@@ -226,38 +255,116 @@ class Aligner:
             ids, table, sizes = np.frombuffer(raw, "<i4").astype(np.int64), self.b.bytes_of, self.b_sizes
         return Tokens(ids, start + np.cumsum(sizes[ids])), b"".join([table[i] for i in ids.tolist()]) == text.encode()
 
-    @staticmethod
-    def cut(marked: str) -> list[str]:
-        """Units: each begins with a space that follows something else than white space."""
-        words = marked.split(" ")
-        if "  " not in marked and not any(w[-1:].isspace() for w in words[1:-1]):
-            return [" " + w for w in words[1:]]
-        return re.split(r"(?<=\S)(?= )", marked)
-
-    def _units(self, units: list[str]) -> Iterator[Unit]:
-        """New units, aligned all at once, as if they stood one after the other."""
-        if not units:
-            return
-        a = [np.array(x.ids, dtype=np.int64) for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = [np.frombuffer(x, "<i4").astype(np.int64) for x in self.b.words.joined([self.b.pieces_of(u) for u in units])]
-        ok = []
-        for unit, x, y in zip(units, a, b):
-            raw = unit.encode()
-            ok.append(b"".join([self.a_bytes[i] for i in x.tolist()]) == raw == b"".join([self.b.bytes_of[i] for i in y.tolist()]))
-        none = np.zeros(0, np.int64)
-        a, b = ([x if good else none for x, good in zip(y, ok)] for y in (a, b))
-        flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-        left, right = Tokens(flat_a, np.cumsum(self.a_sizes[flat_a])), Tokens(flat_b, np.cumsum(self.b_sizes[flat_b]))
-        codes, counts = links(left, right, 0)
-        common, texts = group_texts(left, right)
-        token_ends = np.cumsum([len(x) for x in a])
-        byte_ends = np.concatenate([[0], left.ends])[token_ends]
-        link_ends = np.concatenate([[0], np.cumsum(counts)])[token_ends].tolist()
-        group_ends = np.searchsorted(common, byte_ends, side="right").tolist()
-        at = group = 0
-        for good, x, y, link_end, group_end in zip(ok, a, b, link_ends, group_ends):
-            yield Unit(good, len(x), len(y), group_end - group, ";".join(texts[group:group_end]), codes[at:link_end].tobytes())
-            at, group = link_end, group_end
+    def _places(self) -> tuple[re.Pattern, str]:
+        """Places where units begin: a space after anything but white space, line ends, and marks after a letter.
+
+        A's words end before white space, and those of letters before any mark; a
+        single line end is a token of A (of several, the last one is, and only if
+        more text follows).  Such a place is sure for B where none of its pieces
+        reaches across it.
+        """
+        letter = re.compile(r"[^\W\d_]").match
+        inside = {y for piece in self.b.pieces for x, y in zip(piece, piece[1:]) if letter(x)}
+        marks = "".join(m for m in MARKS if m not in inside)
+        lines = "" if any("\n" in piece for piece in self.b.pieces if len(piece) > 1) else r"|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)"
+        return re.compile(r"(?<=\S)(?= )" + lines + (rf"|(?<=[^\W\d_])(?=[{re.escape(marks)}])" if marks else "")), marks
+
+    def cut(self, marked: str) -> list[str]:
+        """The units of a text that has its leading space."""
+        if self.odd_space(marked):
+            return self.places.split(marked)
+        out, marks, split = [], self.marks, self.places.split
+        for word in marked.split(" ")[1:]:  # plain words need no pattern
+            if word.isalpha():
+                out.append(" " + word)
+            elif word[-1:] in marks and word[:-1].isalpha():
+                out += (" " + word[:-1], word[-1])
+            else:
+                out += split(" " + word)
+        return out
+
+    def _tokens(self, plain: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of both tokenizers for all units, one after the other, and how many each unit has.
+
+        Plain units begin with a space and end with anything but white space, so
+        they go to the libraries joined; each of the rest is encoded alone.
+        """
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(plain), JOINED_UNITS):
+            some = plain[at : at + JOINED_UNITS]
+            joined, ends = "".join(some), np.cumsum([len(u.encode()) for u in some])
+            a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            for k, ids, sizes in ((0, a, self.a_sizes), (2, self.b.library.encode(joined[1:]), self.b_sizes)):
+                ids = np.array(ids, dtype=np.int64)
+                found[k].append(ids)
+                found[k + 1].append(np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, side="right"), prepend=0))
+        if rest:
+            a = [x.ids for x in self.a.encode_batch_fast(rest, add_special_tokens=False)]
+            pieces = [self.b.pieces_of(u) for u in rest]
+            b = list(self.b.encode_words(list(chain.from_iterable(pieces))))
+            ends = np.cumsum([0] + [len(x) // 4 for x in b])[np.cumsum([0] + [len(x) for x in pieces])]
+            more = np.fromiter(chain.from_iterable(a), np.int64), np.fromiter(map(len, a), np.int64, len(a)), np.frombuffer(b"".join(b), "<i4").astype(np.int64), np.diff(ends)
+            for one, x in zip(found, more):
+                one.append(x)
+        return tuple(np.concatenate(x) for x in found)  # type: ignore[return-value]
+
+    def _gives(self, units: list[str], tokens: tuple[np.ndarray, ...]) -> bool:
+        """Whether the tokens of all units are the units' own bytes."""
+        a, n_a, b, n_b = tokens
+        raw = [u.encode() for u in units]
+        ends, whole = np.cumsum([len(r) for r in raw]), b"".join(raw)
+        at = [np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(n)] for ids, n, sizes in ((a, n_a, self.a_sizes), (b, n_b, self.b_sizes))]
+        if not ((at[0] == ends).all() and (at[1] == ends).all()):
+            return False
+        return b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b.bytes_of.__getitem__, b.tolist()))
+
+    def _align(self, units: list[str]) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+        """New units, aligned all at once, as if they stood one after the other: the units in a new order, columns, groups and links."""
+        plain = [u for u in units if u[0] == " " and not u[-1].isspace()]
+        rest = [u for u in units if u[0] != " " or u[-1].isspace()]
+        units, tokens = plain + rest, self._tokens(plain, rest)
+        if not self._gives(units, tokens):  # some are bad: halve until they stand alone
+            if len(units) == 1:
+                return units, np.zeros((5, 1), np.int64), [""], np.zeros(0, np.int64)
+            half = len(units) // 2
+            (u, c, g, p), (v, d, h, q) = self._align(units[:half]), self._align(units[half:])
+            return u + v, np.concatenate([c, d], axis=1), g + h, np.concatenate([p, q])
+        a, n_a, b, n_b = tokens
+        left, right = Tokens(a, np.cumsum(self.a_sizes[a])), Tokens(b, np.cumsum(self.b_sizes[b]))
+        pairs, counts = links(left, right, 0)
+        common, begins, parts = decimals(1 << max(len(self.a_bytes), self.all_b).bit_length()).groups(left, right)
+        token_ends = np.cumsum(n_a)
+        group_ends = np.searchsorted(common, left.ends[token_ends - 1], side="right")
+        link_ends = np.concatenate([[0], np.cumsum(counts)])[token_ends]
+        bounds = [0, *begins[group_ends].tolist()]
+        groups = ["".join(parts[x:y]) for x, y in zip(bounds, bounds[1:])]
+        ok = np.ones(len(units), np.int64)
+        return units, np.stack([ok, n_a, n_b, np.diff(group_ends, prepend=0), np.diff(link_ends, prepend=0)]), groups, pairs
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Whole texts: their tokens of A and B and groups, the groups' texts, and the distinct links of each.
+
+        The links are three arrays: where each text's begin, the codes, and how often each occurs in the text.
+        """
+        cut = [self.cut(" " + t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        units = self.units.of(list(chain.from_iterable(cut)))
+        doc = np.repeat(np.arange(len(cut)), sizes)
+        known = self.units.columns[:, units]
+        good = np.bincount(doc, weights=1 - known[0], minlength=len(cut)) == 0
+        known *= good[doc]
+        totals = np.stack([np.bincount(doc, weights=known[i], minlength=len(cut)).astype(np.int64) for i in (1, 2, 3)])
+        numbers, ends, groups = units.tolist(), np.cumsum(sizes).tolist(), self.units.groups
+        joined = ["".join([groups[u] for u in numbers[x:y]])[:-1] if ok else "" for x, y, ok in zip([0, *ends[:-1]], ends, good.tolist())]
+        begins = np.cumsum(self.units.columns[4]) - self.units.columns[4]
+        counts = known[4]
+        at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins[units], counts)
+        code = self.units.pairs[at]
+        span = len(self.a_bytes) * self.all_b
+        key, times = np.unique(np.repeat(doc, counts) * span + (code >> 32) * self.all_b + (code & 0xFFFFFFFF), return_counts=True)
+        starts = np.searchsorted(key, np.arange(len(cut) + 1) * span)
+        pair = key % span
+        return totals, joined, starts, pair // self.all_b << 32 | pair % self.all_b, times.astype(np.int64)
 
 
 @lru_cache(2)
@@ -291,17 +398,13 @@ def _short(docs: DataFrame, a_path: str, b_path: str, with_groups: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, key = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
-            out = []
-            for units, doc_id in zip(both.units.of([both.cut(" " + t) if t else [] for t in texts]), ids):
-                if not all(u.ok for u in units):
-                    units = []
-                groups = ";".join([u.groups for u in units])
-                codes, times = _distinct(np.frombuffer(b"".join([u.codes for u in units]), np.int64))
-                digest = hashlib.sha256(groups.encode()).hexdigest() if units else ""
-                counts = {"n_a": sum([u.n_a for u in units]), "n_b": sum([u.n_b for u in units]), "n_groups": sum([u.n_groups for u in units])}
-                out.append({"key": key, "id": doc_id, **counts, "digest": digest, "codes": codes, "times": times, "groups": groups if with_groups else None})
-                key += 1
-            yield _batch(_DOC, out)
+            totals, groups, starts, codes, times = both.texts(texts)
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            listed = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, pa.int64())) for x in (codes, times)]
+            kept = pa.array(groups if with_groups else [None] * len(ids), pa.string())
+            keys = pa.array(np.arange(key, key + len(ids)))
+            key += len(ids)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), *map(pa.array, totals), pa.array(digests, pa.string()), *listed, kept], [f.split(" ")[0] for f in _DOC.split(", ")])
 
     return docs.mapInArrow(lambda batches: lean(run(batches)), _DOC)
 

@@ -50,7 +50,8 @@ class PieceBpe:
     """A BPE model: symbols are its pieces, and characters that only occur inside pieces."""
 
     def __init__(self, path: str):
-        model, spec = SentencePieceProcessor(model_file=path), sentencepiece_model_pb2.ModelProto()
+        model = self.library = SentencePieceProcessor(model_file=path)
+        spec = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         rules, how = spec.normalizer_spec, spec.trainer_spec
@@ -71,8 +72,9 @@ class PieceBpe:
             self.bytes_of[i] = bytes([b])
         self.spaced = {i for p, i in pieces.items() if p.startswith(SPACE)}
         self._symbols(pieces, {p: model.get_score(i) for p, i in pieces.items()})
+        self.pieces = list(pieces)
         self.cut = self._cut_pattern(pieces).findall
-        self.words = Memo(self._many, CACHE_ENTRIES)
+        self.words = Memo(self.encode_words, CACHE_ENTRIES)
 
     def _symbols(self, pieces: dict[str, int], score: dict[str, float]) -> None:
         """The table of pairs: for each two symbols that join to a piece, its rank (equal scores share one) and its symbol."""
@@ -218,7 +220,7 @@ class PieceBpe:
 
     # ------------------------------------------------------------ texts
 
-    def _many(self, words: list[str]) -> Iterator[bytes]:
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each word, in flat arrays of at most about ``FLAT_CHARS`` characters."""
         start = total = 0
         for i, word in enumerate(words):
@@ -226,7 +228,8 @@ class PieceBpe:
                 yield from self._flat(words[start:i])
                 start, total = i, 0
             total += len(word)
-        yield from self._flat(words[start:])
+        if words:
+            yield from self._flat(words[start:])
 
     def _flat(self, words: list[str]) -> Iterator[bytes]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
