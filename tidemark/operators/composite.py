@@ -80,3 +80,24 @@ def cumulative_index(df: DataFrame, by: list[str], date: str, through_gaps: bool
     started = df.withColumn("_seen", seen)
     broken = F.max((F.col("growth").isNull() & F.col("_seen")).cast("int")).over(w) == 1
     return started.withColumn("level", F.when(F.col("_seen") & ~broken, level)).drop("_seen")
+
+
+def cell_arrays(cells: DataFrame, index: DataFrame, by: list[str], values: list[str], size: int) -> DataFrame:
+    """Each group's cells as dense arrays in canonical order, with ``mask`` where a cell is there; null where none is.
+
+    ``index`` is a dimension (key columns, ``place`` from 0); cells that it lacks
+    are left out.  A cell that is given twice is an error, as an array has one
+    place for it.  Nothing is pivoted, so no list of values is asked for first.
+    """
+    keys = [c for c in index.columns if c != "place"]
+    placed = cells.join(F.broadcast(index), keys).where(F.col("place").between(0, size - 1))
+    entry = F.struct("place", F.struct(*values).alias("v"))
+    found = placed.groupBy(*by).agg(F.collect_list(entry).alias("_cells"))  # at most ``size`` of them, or the next step fails
+    by_place = found.select(*by, F.map_from_entries("_cells").alias("_at"))
+    each = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def dense(name: str) -> Column:
+        return F.transform(each, lambda i: F.try_element_at(F.col("_at"), i)[name]).alias(name)
+
+    there = F.transform(each, lambda i: F.try_element_at(F.col("_at"), i).isNotNull())
+    return by_place.select(*by, there.alias("mask"), *map(dense, values))

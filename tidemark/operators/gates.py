@@ -146,3 +146,91 @@ def samples(violations: DataFrame, by: list[str], order: list[str], n: int) -> D
     """The first ``n`` rows of each group, for a report; partitions keep no more than that before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return violations.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+# Years whose levels no residual is judged by.
+EXCLUDED_YEARS = (2020, 2021)
+
+
+def best_available(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One print of each series and date: the most revised one, then the latest benchmark and vintage."""
+    w = Window.partitionBy(*keys, "ref_date").orderBy(F.desc("revision"), F.desc("benchmark_revision"), F.desc("vintage_date"), F.desc("employment"))
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def band_residuals(rebuilt: DataFrame, published: DataFrame, rules: DataFrame, *, frontier: Column, collapse: float = 0.15, excluded_years: tuple[int, ...] = EXCLUDED_YEARS) -> DataFrame:
+    """Residuals (rebuilt over published, less one) of the series that ``rules`` names, and what becomes of each month.
+
+    ``rules`` is a dimension (industry_type, industry_code, other_type, other_code,
+    expected, band).  ``fate`` is ``excluded`` in excluded years, ``frontier`` from
+    the date ``frontier`` on where the residual lies more than ``collapse`` below
+    the expected one, ``collapsed`` where it does so before, and else ``clean``.
+    """
+    axes = ["geographic_type", "geographic_code", "ownership"]
+    own, other = (best_available(headline(x, False), SERIES_ID) for x in (rebuilt, published))
+    joined = mapped_residual(own, other.where(F.col("employment").isNotNull()), rules, [*axes, "ref_date"], "employment")
+    low = F.col("residual") < F.col("expected") - collapse
+    fate = F.when(F.year("ref_date").isin(*excluded_years), "excluded").when(low & (F.col("ref_date") >= frontier), "frontier").when(low, "collapsed").otherwise("clean")
+    return joined.where("residual IS NOT NULL").withColumn("fate", fate)
+
+
+def band_medians(residuals: DataFrame, *, positive: float = 0.01) -> DataFrame:
+    """The verdict on each series: the exact median of its months that are neither excluded nor at the frontier, against its band.
+
+    ``no_months`` where none is left, ``positive`` above ``positive``, ``outside``
+    beyond the band around the expected residual, else ``ok``; with the numbers
+    of months by fate.  Months that have collapsed count in the median.
+    """
+    kept = F.col("fate").isin("clean", "collapsed")
+    count = lambda f: F.count(F.when(F.col("fate") == f, 1)).alias(f"n_{f}")
+    out = residuals.groupBy("industry_type", "industry_code").agg(
+        F.first("expected").alias("expected"), F.first("band").alias("band"), F.count(F.when(kept, 1)).alias("n"),
+        *[count(f) for f in ("excluded", "frontier", "collapsed")], F.median(F.when(kept, F.col("residual"))).alias("median"),
+    )
+    verdict = (
+        F.when(F.col("n") == 0, "no_months").when(F.col("median") > positive, "positive")
+        .when(F.abs(F.col("median") - F.col("expected")) > F.col("band"), "outside").otherwise("ok")
+    )
+    return out.withColumn("verdict", verdict)
+
+
+def band(medians: DataFrame) -> DataFrame:
+    """The gate on those verdicts: excluded months are reported softly, everything else that is wrong is hard."""
+    of = lambda v: F.coalesce(F.sum((F.col("verdict") == v).cast("long")), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    checks = {
+        "nothing_shared": ("hard", (F.count("*") == 0).cast("long")),
+        "months_excluded": ("soft", total("n_excluded")),
+        "frontier_excluded": ("soft", total("n_frontier")),
+        "no_months_left": ("hard", of("no_months")),
+        "months_collapsed": ("hard", total("n_collapsed")),
+        "median_positive": ("hard", of("positive")),
+        "median_outside": ("hard", of("outside")),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), c.cast("long").alias("violations")) for n, (s, c) in checks.items()])
+    return medians.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def additive_nesting(df: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
+    """Parents that are not the sum of their children, where all children are there, by ``parent``: a soft finding each.
+
+    ``edges`` is a dimension (parent_type, parent_code, child_type, child_code).
+    Of several benchmark prints of a cohort the latest counts, so that a parent
+    is never held against children of another benchmark.  Every cell meets its
+    edges where it lies; one shuffle brings parents and children together.
+    """
+    rows = headline(df, False)
+    w = Window.partitionBy(*SERIES_ID, "ref_date", "revision", "benchmark_revision").orderBy(F.desc("vintage_date"), F.desc("employment"))
+    latest = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    group = ["geographic_type", "geographic_code", "ownership", "ref_date", "revision", "benchmark_revision"]
+    sizes = edges.groupBy("parent_type", "parent_code").agg(F.count("*").alias("n_children"))
+    as_child = edges.selectExpr("child_type AS industry_type", "child_code AS industry_code", "parent_type", "parent_code", "1 AS child")
+    as_parent = edges.selectExpr("parent_type AS industry_type", "parent_code AS industry_code", "parent_type", "parent_code", "0 AS child").distinct()
+    placed = latest.join(F.broadcast(as_child.union(as_parent)), ["industry_type", "industry_code"])
+    is_child = F.col("child") == 1
+    summed = placed.groupBy(*group, "parent_type", "parent_code").agg(
+        F.max(F.when(~is_child, F.col("employment"))).alias("level"), F.sum(F.when(is_child, F.col("employment"))).alias("children"),
+        F.count_distinct(F.when(is_child, F.struct("industry_type", "industry_code"))).alias("n_children"),
+    )
+    whole = summed.join(F.broadcast(sizes), ["parent_type", "parent_code", "n_children"], "left_semi")
+    return whole.where(F.abs(F.col("level") - F.col("children")) > tolerance).select(*group, "parent_type", "parent_code", "level", "children")
