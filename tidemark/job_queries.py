@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, composite, evaluate, gates, intervals, regression
+from tidemark.operators import backtest, composite, evaluate, gates, intervals, jobs, regression, store
 from tidemark.plans.demo import order_months, vintage_obs
 from tidemark.registry import query
 from tidemark.schemas import VINTAGE, conform
@@ -281,3 +281,64 @@ def rsh06_survey_panel(spark, sf_dir):
     industries = spark.createDataFrame(codes, "code string, industry_type string, industry_code string, ownership string")
     moved = survey.survey_panel(spark, _triangle_files(spark, sf_dir), industries, as_of=F.lit("2018-06-12").cast("date"), first_month=F.lit("2015-06-01").cast("date"))
     return moved.select("industry_code", "seasonally_adjusted", "ref_date", "vintage_date", "revision", "benchmark_revision", "employment")
+
+
+# ------------------------------------------------------------------ jobs on a store
+
+_STORE_SUMS = " SELECT source, seasonally_adjusted, revision, count(*) AS n, sum(employment) AS total, min(vintage_date) AS first_vintage, max(vintage_date) AS last_vintage FROM st GROUP BY ALL"
+
+
+def _sums(df: DataFrame) -> DataFrame:
+    return df.groupBy("source", "seasonally_adjusted", "revision").agg(F.count("*").alias("n"), F.sum("employment").alias("total"), F.min("vintage_date").alias("first_vintage"), F.max("vintage_date").alias("last_vintage"))
+
+
+def _store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(conform(vintage_obs(spark, sf_dir), VINTAGE, fill=True), "prints")
+
+
+@query(""", st AS (SELECT * REPLACE (CASE WHEN source = 'ces' AND seasonally_adjusted AND month(ref_date) > 6 THEN employment + 2 WHEN source = 'ces' AND seasonally_adjusted AND month(ref_date) < 9 THEN employment + 1 ELSE employment END AS employment) FROM obs)""" + _STORE_SUMS)
+def snk03_priority_merge(spark, sf_dir):
+    """A stored history, onto which two sources of one adjustment are merged; the second one goes first where they overlap."""
+    rows, path = _store_rows(spark, sf_dir), new_folder(spark, "merged")
+    store.append(rows, path)
+    survey_rows = rows.where("source = 'ces' AND seasonally_adjusted")
+    plus = lambda n: F.col("employment") + n
+    jobs.build_store(survey_rows.where("month(ref_date) < 9").withColumn("employment", plus(1)), survey_rows.where("month(ref_date) > 6").withColumn("employment", plus(2)), path)
+    return _sums(store.read(spark, path))
+
+
+@query(""", st AS (SELECT * FROM obs)""" + _STORE_SUMS)
+def snk09_healed_store(spark, sf_dir):
+    """A store that lies in fragments, some rows of it twice, after it has been healed."""
+    rows, path = _store_rows(spark, sf_dir), new_folder(spark, "fragments")
+    for lot in (rows.where("month(ref_date) < 7"), rows.where("month(ref_date) > 4 AND source = 'ces'"), rows.where("month(ref_date) > 6 AND source = 'qcew'")):
+        lot.write.mode("append").partitionBy(*jobs.PARTITION).parquet(path)
+    jobs.heal(spark, path)
+    return _sums(store.read(spark, path))
+
+
+@query(""", w AS (SELECT * FROM obs WHERE source = 'ces' AND vintage_date BETWEEN DATE '1998-02-12' AND DATE '1998-08-12'), st AS (SELECT * FROM obs WHERE vintage_date < DATE '1998-03-12' OR source = 'qcew' OR vintage_date BETWEEN DATE '1998-03-12' AND DATE '1998-08-12')
+SELECT 'would_append' AS what, count(*) FILTER (vintage_date >= DATE '1998-03-12') AS n FROM w UNION ALL SELECT 'appended', count(*) FILTER (vintage_date >= DATE '1998-03-12') FROM w
+UNION ALL SELECT 'again', 0 UNION ALL SELECT 'corrected', count(*) FILTER (vintage_date = DATE '1998-02-12') FROM w UNION ALL SELECT 'stored', count(*) FROM st""")
+def str06_frontier_patch(spark, sf_dir):
+    """Prints of some months, patched onto a store that ends within them: counted first, then appended, then once more."""
+    rows, path = _store_rows(spark, sf_dir), new_folder(spark, "patched")
+    store.append(rows.where("vintage_date < '1998-03-12' OR source = 'qcew'"), path)
+    changed = F.col("employment") + F.when(F.col("vintage_date") == "1998-02-12", 1).otherwise(0)
+    window, through = rows.where("vintage_date >= '1997-10-01' AND source = 'ces'").withColumn("employment", changed), F.lit("1998-08-12").cast("date")
+    dry = jobs.patch_frontier(window, path, through)
+    corrected = dry.corrected.count()
+    done = jobs.patch_frontier(window, path, through, apply=True)
+    again = jobs.patch_frontier(window, path, through, apply=True)
+    counts = [("would_append", dry.would_append), ("appended", done.appended), ("again", again.appended), ("corrected", corrected)]
+    return spark.createDataFrame(counts, "what string, n long").union(store.read(spark, path).agg(F.lit("stored"), F.count("*")))
+
+
+@query(_panel_sql("(SELECT *, DATE '1997-03-12' AS as_of FROM obs WHERE vintage_date <= DATE '1997-03-12' AND ref_date < DATE '1997-03-12')") + " SELECT source, industry_code, count(*) AS n, round(sum(growth), 4) AS growth, sum(employment_level) AS total FROM pg GROUP BY ALL")
+def snk07_pinned_panel(spark, sf_dir):
+    """The panel of a day, pinned under its content hash and read back through the check of it."""
+    path = new_folder(spark, "pinned")
+    panel = intervals.panel_grid(vintage_obs(spark, sf_dir), [datetime.date(1997, 3, 12)])
+    content = jobs.snapshot(panel, path, "1997-03-12")
+    out = jobs.load_snapshot(spark, path, "1997-03-12", content)
+    return out.groupBy("source", "industry_code").agg(F.count("*").alias("n"), F.round(F.sum("growth"), 4).alias("growth"), F.sum("employment_level").alias("total"))

@@ -61,9 +61,9 @@ def least_squares(df: DataFrame, by: list[str], y: str, regressors: list[str]) -
     solved = listed.withColumn("_inverse", F.expr(f"transform(aggregate(sequence(0, {k - 1}), _table, (t, j) -> {step}), r -> slice(r, {k + 1}, {k}))"))
     dot = "aggregate(zip_with({0}, {1}, (a, b) -> a * b), 0D, (a, x) -> a + x)"
     fitted = solved.select("*", *[F.expr(f"transform(_inverse, r -> {dot.format('r', v)})").alias(n) for n, v in (("_b", "_c"), ("_w", "_m"))])
-    rss = F.expr(f"greatest(n * (_syy - {dot.format('_b', '_c')}), 0D)")
+    rss = F.expr(f"if(_b[0] IS NULL, NULL, greatest(n * (_syy - {dot.format('_b', '_c')}), 0D))")
     measured = fitted.withColumn("_rss", rss).select(
-        "*", F.col("_rss").isNull().alias("singular"), F.when(F.col("_syy") == 0, 0.0).otherwise(1 - F.col("_rss") / (F.col("n") * F.col("_syy"))).alias("r2"),
+        "*", F.col("_rss").isNull().alias("singular"), F.when((F.col("_syy") == 0) & F.col("_rss").isNotNull(), 0.0).otherwise(1 - F.col("_rss") / (F.col("n") * F.col("_syy"))).alias("r2"),
         (F.col("_rss") / F.expr("greatest(n - size(filter(_on, x -> x)), 1)")).alias("sigma2"),
     )
     first = f"concat(array(sigma2 / n * (1 + {dot.format('_m', '_w')})), transform(_w, x -> -sigma2 / n * x))"
