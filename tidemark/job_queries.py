@@ -7,12 +7,14 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import rebuild_queries
 from tidemark.operators import backtest, composite, evaluate, gates, intervals, jobs, regression, store
 from tidemark.plans.demo import order_months, vintage_obs
 from tidemark.registry import query
 from tidemark.schemas import VINTAGE, conform
 from tidemark.sources import survey
 from tidemark.storage import new_folder, stored
+from tidemark.streaming import capture
 
 # ------------------------------------------------------------------ as-of grids
 
@@ -342,3 +344,65 @@ def snk07_pinned_panel(spark, sf_dir):
     content = jobs.snapshot(panel, path, "1997-03-12")
     out = jobs.load_snapshot(spark, path, "1997-03-12", content)
     return out.groupBy("source", "industry_code").agg(F.count("*").alias("n"), F.round(F.sum("growth"), 4).alias("growth"), F.sum("employment_level").alias("total"))
+
+
+# ------------------------------------------------------------------ capture
+
+
+def _streamed(spark: SparkSession, deliveries: list[DataFrame], start) -> str:
+    """Land deliveries as a file each and run a stream over them, one a trigger; returns the folder of its outputs."""
+    folder = new_folder(spark, "stream")
+    for delivery in deliveries:
+        delivery.coalesce(1).write.mode("append").parquet(f"{folder}/landing")  # a delivery is one file of a feed
+    arrivals = spark.readStream.schema(deliveries[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+    start(arrivals, folder).awaitTermination()
+    start(arrivals, folder).awaitTermination()  # again from the checkpoint: nothing is left
+    return folder
+
+
+@query(""", it AS (SELECT DISTINCT source AS feed, vintage_date FROM obs WHERE revision = 0), lim AS (SELECT feed, max(vintage_date) FILTER (vintage_date < DATE '1995-06-01') AS a, max(vintage_date) FILTER (vintage_date < DATE '1997-06-01') AS b FROM it GROUP BY feed)
+SELECT lim.feed, CAST(2 AS BIGINT) AS n_fired, any_value(b) AS last_pub, count(*) AS n_stored, sum(employment) AS total FROM lim JOIN obs ON obs.source = feed AND vintage_date <= b GROUP BY lim.feed""")
+def str01_watch(spark, sf_dir):
+    """Two feeds announce releases in four deliveries: new ones, a mix of new and repeated ones out of order, and repeats alone."""
+    rows = _store_rows(spark, sf_dir)
+    items = rows.where("revision = 0").select(F.col("source").alias("feed"), F.col("vintage_date").alias("pub_date"), "ref_date").distinct()
+    early, later = items.where("pub_date < '1995-06-01'"), items.where("pub_date < '1997-06-01'")
+    schedule = rows.where("revision = 0").select("source", "ref_date", "revision", "benchmark_revision", "vintage_date").distinct()
+
+    def start(arrivals, folder):
+        def update(session, feed, day):
+            store.append(rows.where((F.col("source") == feed) & (F.col("vintage_date") <= F.lit(day))), f"{folder}/store")
+
+        return capture.watch(arrivals, f"{folder}/store", schedule, folder, f"{folder}/offsets", update)
+
+    folder = _streamed(spark, [early, later.orderBy(F.desc("pub_date")), early, later], start)
+    fired = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/fired").groupBy("feed").agg(F.count("*").alias("n_fired"), F.max("pub_date").alias("last_pub"))
+    held = store.read(spark, f"{folder}/store").groupBy(F.col("source").alias("feed")).agg(F.count("*").alias("n_stored"), F.sum("employment").alias("total"))
+    return fired.join(held, "feed")
+
+
+@query(rebuild_queries._QUARTERS.format(lift=0) + rebuild_queries._TREE_SQL.format(where="area_fips = 'US000' AND revision = 0 AND y = 1996 AND q = 1")
+       + " SELECT t AS industry_type, c AS industry_code, ref_date, CAST(DATE '1996-08-01' AS DATE) AS vintage_date, round(sum(e), 6) AS employment FROM tl GROUP BY ALL")
+def str05_quarter_levels(spark, sf_dir):
+    """The newest quarter knowable in August 1996 from landed files, which come twice; its levels."""
+    return _captured_quarter(spark, sf_dir).where("size_class_type IS NULL").select("industry_type", "industry_code", "ref_date", "vintage_date", F.round("employment", 6).alias("employment"))
+
+
+@query(rebuild_queries._QUARTERS.format(lift=0) + rebuild_queries._TREE_SQL.format(where="y = 1996 AND q = 1 AND (disclosure_code IS NULL OR disclosure_code <> 'N')")
+       + """, sz AS (SELECT * FROM (VALUES ('total', '0', '123456789'), ('small', '1', '12345'), ('small', '2', '67'), ('small', '3', '89'), ('medium', '1', '1234'), ('medium', '2', '5'), ('medium', '3', '6'), ('medium', '4', '7'), ('medium', '5', '89'), ('large', '1', '1'), ('large', '2', '2'),
+  ('large', '3', '3'), ('large', '4', '4'), ('large', '5', '5'), ('large', '6', '6'), ('large', '7', '7'), ('large', '8', '8'), ('large', '9', '9')) s(scheme, bucket, codes))
+SELECT t AS industry_type, c AS industry_code, scheme AS size_class_type, bucket AS size_class_code, ref_date, round(sum(e), 6) AS employment FROM tl JOIN sz ON contains(codes, size_code) WHERE own_code = '5' GROUP BY ALL""")
+def str05_quarter_sizes(spark, sf_dir):
+    """The same quarter's sizes in every scheme, as it is a first one."""
+    rows = _captured_quarter(spark, sf_dir).where("size_class_type IS NOT NULL")
+    return rows.select("industry_type", "industry_code", "size_class_type", "size_class_code", "ref_date", F.round("employment", 6).alias("employment"))
+
+
+def _captured_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed = rebuild_queries._quarters(spark, sf_dir).withColumn("kind", F.lit("area")).unionByName(rebuild_queries._quarters(spark, sf_dir, 10).withColumn("kind", F.lit("size")))
+    landed = stored(landed, "landed")
+
+    def start(arrivals, folder):
+        return capture.capture_quarters(arrivals, f"{folder}/store", folder, f"{folder}/offsets", datetime.date(1996, 8, 15))
+
+    return store.read(spark, f"{_streamed(spark, [landed, landed], start)}/store")
