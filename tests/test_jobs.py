@@ -3,15 +3,18 @@
 import datetime
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import rebuild_queries
 from tidemark.operators import backtest, censor, census, composite, intervals, jobs, regression, store
 from tidemark.plans.demo import vintage_obs
 from tidemark.schemas import STORE_KEY, VINTAGE, conform
 from tidemark.storage import new_folder
+from tidemark.streaming import capture
 
 
 def day(text):
@@ -248,3 +251,72 @@ def test_cell_arrays_refuse_a_cell_twice(spark):
     assert got == {1: ([True, False, True], [2.0, None, None]), 2: ([False, True, False], [None, 5.0, None])}
     with pytest.raises(Exception, match="(?i)duplicate"):
         composite.cell_arrays(cells.union(cells), index, ["t"], ["v"], 3).collect()
+
+
+# ------------------------------------------------------------------ capture that is replayed
+
+
+def sinks(spark, folder, names):
+    """All files of the sinks, and the rows of the store."""
+    kept = {str(p): p.stat().st_mtime_ns for n in names for p in Path(f"{folder}/{n}").rglob("*.parquet")}
+    return kept, plain(store.read(spark, f"{folder}/store"))
+
+
+def forget_last_commit(folder):
+    """As if the last batch had died before it was committed."""
+    last = max((p for p in Path(f"{folder}/offsets/commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    Path(f"{folder}/offsets/commits/.{last.name}.crc").unlink(missing_ok=True)
+
+
+def test_a_replayed_quarter_changes_no_sink(spark, small):
+    folder = new_folder(spark, "quarters")
+    landed = rebuild_queries._quarters(spark, small).withColumn("kind", F.lit("area")).unionByName(rebuild_queries._quarters(spark, small, 10).withColumn("kind", F.lit("size")))
+    landed.coalesce(1).write.parquet(f"{folder}/landing")
+    arrivals = spark.readStream.schema(landed.schema).parquet(f"{folder}/landing")
+    run = lambda as_of: capture.capture_quarters(arrivals, f"{folder}/store", folder, f"{folder}/offsets", day(as_of)).awaitTermination()
+    run("1996-08-15")
+    names = ["pending", "drift", "runs"]
+    before = sinks(spark, folder, names)
+    assert {r.ref_date for r in store.read(spark, f"{folder}/store").collect()} == {day("1996-01-12"), day("1996-02-12"), day("1996-03-12")}
+    forget_last_commit(folder)
+    run("1996-08-15")
+    assert sinks(spark, folder, names) == before
+    landed.coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    run("1996-09-15")  # the same quarter is still the newest one: nothing is taken out of the second delivery
+    assert spark.read.parquet(f"{folder}/pending/epoch=1").count() == 0 and sinks(spark, folder, ["none"])[1] == before[1]
+
+
+def test_newest_quarters():
+    """First prints come out 5 months after the last month of quarters 1 to 3, and 8 after that of quarter 4."""
+    out = {"1996-07-31": (1995, 3), "1996-08-01": (1996, 1), "1996-10-31": (1996, 1), "1996-11-01": (1996, 2), "1997-02-01": (1996, 3), "1997-07-31": (1996, 3), "1997-08-01": (1997, 1)}
+    assert {d: capture.newest_quarter(day(d)) for d in out} == out
+
+
+def test_a_feed_fires_once_for_each_release(spark):
+    folder = new_folder(spark, "feeds")
+    schedule = spark.createDataFrame([(s, day(f"2020-0{m}-12"), 0, 0, day(f"2020-0{m + 1}-05")) for s in ("ces", "qcew") for m in (1, 2, 3)], "source string, ref_date date, revision int, benchmark_revision int, vintage_date date")
+    fired = []
+
+    def update(session, feed, when):
+        fired.append((feed, when))
+        rows = schedule.where((F.col("source") == feed) & (F.col("vintage_date") <= F.lit(when)))
+        store.append(rows.withColumns({"seasonally_adjusted": F.lit(False), "employment": F.lit(1.0)}), f"{folder}/store")
+
+    def deliver(*items):
+        df = spark.createDataFrame([(f, day(p), day(r)) for f, p, r in items], "feed string, pub_date date, ref_date date").coalesce(1)
+        df.write.mode("append").parquet(f"{folder}/landing")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/landing")
+        capture.watch(stream, f"{folder}/store", schedule, folder, f"{folder}/offsets", update).awaitTermination()
+
+    deliver(("ces", "2020-03-05", "2020-02-12"), ("ces", "2020-02-05", "2020-01-12"), ("qcew", "2020-02-05", "2020-01-12"))  # out of order: the newest day counts
+    assert sorted(fired) == [("ces", day("2020-03-05")), ("qcew", day("2020-02-05"))]
+    deliver(("ces", "2020-03-05", "2020-02-12"), ("qcew", "2020-02-05", "2020-01-12"))  # repeats, after a restart
+    deliver(("other", "2020-05-05", "2020-04-12"))  # a feed without a schedule
+    assert len(fired) == 2
+    deliver(("ces", "2020-02-05", "2019-12-12"), ("qcew", "2020-04-05", "2020-03-12"))  # a late item of what is stored, and two months at once
+    assert fired[2:] == [("qcew", day("2020-04-05"))]
+    held = plain(store.read(spark, f"{folder}/store"))
+    forget_last_commit(folder)
+    capture.watch(spark.readStream.schema("feed string, pub_date date, ref_date date").parquet(f"{folder}/landing"), f"{folder}/store", schedule, folder, f"{folder}/offsets", update).awaitTermination()
+    assert plain(store.read(spark, f"{folder}/store")) == held and set(fired) == {("ces", day("2020-03-05")), ("qcew", day("2020-02-05")), ("qcew", day("2020-04-05"))}

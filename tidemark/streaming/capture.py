@@ -128,7 +128,9 @@ def watch(items: DataFrame, path: str, schedule: DataFrame, folder: str, checkpo
 
     def fire(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy("feed").agg(F.max("pub_date").alias("pub_date"))
+        # a row for each feed; taken whatever is done already, as the state is committed by what reads the batch
+        latest = batch.groupBy("feed").agg(F.max("pub_date").alias("pub_date")).collect()
+        newest = spark.createDataFrame(latest, "feed string, pub_date date")
         due = schedule.join(newest, (F.col("source") == F.col("feed")) & (F.col("vintage_date") <= F.col("pub_date")))
         if store.exists(spark, path):
             keys = ["source", "ref_date", "revision", "benchmark_revision"]
