@@ -189,17 +189,6 @@ def known_history(targets: DataFrame, history: DataFrame, by: list[str]) -> Data
     return targets.join(history, by).where(F.col("vintage_date") <= F.col("as_of"))
 
 
-def random_walk(known: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The last known value."""
-    return known.groupBy(*keys).agg(F.max_by(value, "month").alias("prediction"))
-
-
-def trailing_mean(known: DataFrame, keys: list[str], value: str, window: int = 12) -> DataFrame:
-    """The mean of the last ``window`` known values."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("month"))
-    return known.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window).groupBy(*keys).agg(F.avg(value).alias("prediction"))
-
-
 def month_types(
     df: DataFrame, by: list[str], revision: str, momentum: str, *, share: float = 0.9, turn_at: float = 40.0, benchmark_months: tuple[int, ...] = (2,)
 ) -> DataFrame:
