@@ -34,6 +34,12 @@ LOGGING = "1133"
 GOVERNMENT = {"1": "91", "2": "92", "3": "93"}
 RANGES = {"44-45": "44", "48-49": "48"}
 RECODED = {"41": "42", "42": "44", "43": "48"}
+# Sectors by the codes of the census's own files, which differ from those of ``CENSUS_SUPERSECTORS``.
+CURRENT_CODES = {
+    "1012": "21", "1013": "22", "1021": "23", "1022": "31", "1023": "42", "1024": "44", "1025": "48", "1026": "51", "1027": "52",
+    "1028": "53", "1029": "54", "102A": "55", "102B": "56", "102C": "61", "102D": "62", "102E": "71", "102F": "72", "102G": "81",
+    "31-33": "31",
+}
 # Supersectors that are one sector.
 SINGLE_SECTOR = {"20": "23", "50": "51", "80": "81"}
 # Benchmark revisions by March reference year; None is left out of evaluations.
@@ -109,6 +115,21 @@ def private_members(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "member string, level string, code string")
 
 
+def current_members(spark: SparkSession) -> DataFrame:
+    """What each code of a current census file counts towards: ``member`` (private/code or government/owner), ``level``, ``code``.
+
+    A sector has its own code, a range, or a code of the files; all levels are sums of sectors.
+    """
+    above = {s: up for up, sectors in SUPERSECTORS.items() for s in sectors}
+    of = {f"private/{c}": s for c, s in ({s: s for s in above} | CURRENT_CODES | RANGES).items()} | {f"government/{o}": s for o, s in GOVERNMENT.items()}
+    rows = []
+    for member, sector in of.items():
+        up = above.get(sector, "90")
+        domains = ("00", "07") if up == "90" else ("00", "05", "06") if up in GOODS else ("00", "05", "07", "08")
+        rows += [(member, "sector", sector), (member, "supersector", up), *[(member, "domain", d) for d in domains]]
+    return spark.createDataFrame(rows, "member string, level string, code string")
+
+
 def with_benchmark(df: DataFrame, year: str) -> DataFrame:
     """Adds ``benchmark`` and ``benchmark_known``: a year of the table without a value is known, but left out."""
     rows = df.sparkSession.createDataFrame(list(BENCHMARKS.items()), f"`{year}` int, benchmark int").withColumn("_known", F.lit(True))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.dimensions import census_members, private_members
+from tidemark.dimensions import census_members, current_members, private_members
 from tidemark.functions.series import area_geography
-from tidemark.operators.calendar import quarterly_vintage
+from tidemark.operators.calendar import QUARTERLY_LAGS, quarterly_vintage
 from tidemark.operators.hierarchy import roll_up, unpivot_months
+from tidemark.schemas import PANEL, conform
 
 
 def disclosed(df: DataFrame) -> DataFrame:
@@ -105,3 +106,30 @@ def size_rows(quarters: DataFrame) -> DataFrame:
     checked = F.when(F.col("qtr").cast("int") == 1, F.col("qtr")).otherwise(F.raise_error(F.concat(F.lit("sizes of quarter "), F.col("qtr").cast("string"))))
     cells = kept.withColumns({"agglvl_code": (level - 10).cast("string"), "area_fips": F.lit("US000"), "qtr": checked})
     return _as_store(_tree(_monthly(cells, ["size_code"]), ["ref_date", "size_code"]).withColumn("revision", F.lit(0)))
+
+
+def current_panel(quarters: DataFrame) -> DataFrame:
+    """Panel rows of the current census files of the nation and of states: growth of every sector, supersector and domain.
+
+    ``quarters`` has the cell columns, ``year, qtr`` and the months of the quarter
+    as text.  Private cells count by sector, government (owners 1 to 3) by its
+    total; other areas, owners and codes are passed over, and so are months that
+    are no whole positive number.  Cells that name one sector are summed.  Growth is to the series' month before that has
+    a level; a month is known so many months later as its quarter's first print is.
+    """
+    own, month = F.col("own_code"), F.col("ref_date")
+    member = F.when(own == "5", F.concat(F.lit("private/"), F.col("industry_code"))).when(own.isin("1", "2", "3") & (F.col("industry_code") == "10"), F.concat(F.lit("government/"), own))
+    typed = quarters.where(F.col("area_fips").rlike(r"^(US|[0-9]{2})000$")).withColumns({**{m: F.col(m).try_cast("long") for m in MONTHS}, "year": F.col("year").cast("int"), "qtr": F.col("qtr").cast("int"), "member": member})
+    kind, code = area_geography(F.col("area_fips"))
+    months = unpivot_months(typed.where("member IS NOT NULL"), ["area_fips", "member"], MONTHS).where("value > 0")
+    rows = months.select(kind.alias("geographic_type"), code.alias("geographic_code"), F.trunc(month, "MM").alias("ref_date"), "member", "value")
+    by = ["geographic_type", "geographic_code"]
+    summed = roll_up(rows, "member", current_members(quarters.sparkSession), [*by, "ref_date"], "value")
+    before = F.lag("value").over(Window.partitionBy(*by, "level", "code").orderBy("ref_date"))
+    lag = F.create_map(*[F.lit(x) for q, lags in QUARTERLY_LAGS.items() for x in (q, lags[0])])[F.quarter("ref_date")]
+    grown = summed.withColumns({"_before": before, "publication_lag_months": lag}).where("_before IS NOT NULL")
+    return conform(grown.select(
+        *by, F.col("ref_date").alias("period"), F.col("level").alias("industry_level"), F.col("code").alias("industry_code"), F.lit("qcew").alias("source"), F.lit("census").alias("source_type"),
+        (F.ln("value") - F.ln("_before")).alias("growth"), F.col("value").alias("employment_level"), F.lit(False).alias("is_seasonally_adjusted"),
+        F.expr("add_months(ref_date, publication_lag_months)").alias("vintage_date"), F.lit(0).alias("revision_number"), F.lit(False).alias("is_final"), "publication_lag_months",
+    ), PANEL, fill=True)

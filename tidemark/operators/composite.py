@@ -43,18 +43,23 @@ def redistribute(weights: Column, covered: Column, group: list[int], region: lis
             parts = F.transform(state, lambda x, j: F.when(F.get(covered, j) & ((F.get(kind, j) == F.get(kind, i)) if kind is not None else F.lit(True)), x).otherwise(0.0))
             return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
-        sums = [total(kinds[0]), total(kinds[1]), total(None)]
-        level = F.when(sums[0] > 0, 0).when(sums[1] > 0, 1).when(sums[2] > 0, 2).otherwise(3)
-        base = F.when(level == 0, sums[0]).when(level == 1, sums[1]).otherwise(sums[2])
+        # sums are taken once for each cell, not once for each pair of cells
+        sums = F.struct(total(kinds[0]).alias("group"), total(kinds[1]).alias("region"), total(None).alias("all"))
         n_covered = F.size(F.filter(covered, lambda c: c))
 
-        def moved(x: Column, j: Column) -> Column:
-            gets = F.get(covered, j) & (
-                ((level == 0) & (F.get(kinds[0], j) == F.get(kinds[0], i))) | ((level == 1) & (F.get(kinds[1], j) == F.get(kinds[1], i))) | (level >= 2)
-            )
-            return F.when(j == i, 0.0).when(gets, x + F.when(level == 3, w / n_covered).otherwise(w * x / base)).otherwise(x)
+        def step(s: Column) -> Column:
+            level = F.when(s["group"] > 0, 0).when(s["region"] > 0, 1).when(s["all"] > 0, 2).otherwise(3)
+            base = F.when(level == 0, s["group"]).when(level == 1, s["region"]).otherwise(s["all"])
 
-        return F.when(F.get(covered, i) | (w == 0), state).otherwise(F.transform(state, moved))
+            def moved(x: Column, j: Column) -> Column:
+                gets = F.get(covered, j) & (
+                    ((level == 0) & (F.get(kinds[0], j) == F.get(kinds[0], i))) | ((level == 1) & (F.get(kinds[1], j) == F.get(kinds[1], i))) | (level >= 2)
+                )
+                return F.when(j == i, 0.0).when(gets, x + F.when(level == 3, w / n_covered).otherwise(w * x / base)).otherwise(x)
+
+            return F.transform(state, moved)
+
+        return F.when(F.get(covered, i) | (w == 0), state).otherwise(F.get(F.transform(F.array(sums), step), F.lit(0)))
 
     out = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), weights, move)
     total = F.aggregate(out, F.lit(0.0), lambda a, x: a + x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import era
@@ -80,3 +80,35 @@ def newest_quarter(calendar: DataFrame, by: list[str], as_of: Column, candidates
 def newest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """One whole row of each group: the greatest by ``order``."""
     return df.groupBy(*by).agg(F.max_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(*order)).alias("_row")).select(*by, "_row.*")
+
+
+def assemble(panel: DataFrame, by: list[str], breaks: list[str], as_of: Column | None = None, noise_default: float = 1.0) -> DataFrame:
+    """What a model observes of each series of ``by``: one row for each source and month with growth, on the series' own calendar.
+
+    ``t`` counts the months that any print known by ``as_of`` has, from 0;
+    ``month_index``, ``year_index`` and ``era`` go with it.  Of the survey the most
+    revised of the prints 0 to 2 counts (benchmark prints never), of all other
+    sources the final print, then the most revised; a best print without finite
+    growth is a gap, not the next print's turn.  ``vintage_index`` numbers the
+    survey's revisions that occur, in both adjustments together; ``interior``
+    and ``noise`` are the census's; ``level`` chains the growth from 100.
+
+    One shuffle on ``by``: every window is clustered within it.
+    """
+    rows = panel if as_of is None else panel.where(F.col("vintage_date").isNull() | (F.col("vintage_date") <= as_of))
+    series = Window.partitionBy(*by)
+    dated = rows.withColumns({"t": F.dense_rank().over(series.orderBy("period")) - 1, "_year": F.min(F.year("period")).over(series)})
+    survey = F.col("source").isin("ces_sa", "ces_nsa")
+    revised = F.when(F.col("revision_number") == -1, 999).otherwise(F.col("revision_number"))
+    final = F.when(survey, 0).otherwise(F.coalesce("is_final", F.lit(False)).cast("int"))
+    best = Window.partitionBy(*by, "source", "period").orderBy(F.desc(final), F.desc(revised), F.desc("vintage_date"), F.desc("growth"))
+    counts = dated.where(~survey | F.col("revision_number").isin(0, 1, 2)).withColumn("_rn", F.row_number().over(best))
+    seen = counts.where((F.col("_rn") == 1) & finite(F.col("growth"))).withColumn("_survey", survey)
+    place = F.dense_rank().over(Window.partitionBy(*by, "_survey").orderBy("revision_number")) - 1
+    chain = F.sum("growth").over(Window.partitionBy(*by, "source").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    census = F.col("source") == "qcew"
+    return seen.select(
+        *by, "source", "period", "t", (F.month("period") - 1).alias("month_index"), (F.year("period") - F.col("_year")).alias("year_index"), era(F.col("period"), breaks).alias("era"),
+        "growth", "revision_number", F.when(F.col("_survey"), place).alias("vintage_index"), F.when(census, interior(F.col("period"))).alias("interior"),
+        F.when(census, boundary_noise(breaks, noise_default)).alias("noise"), (100 * F.exp(chain)).alias("level"),
+    )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import first_friday_release
+from tidemark.operators.calendar import quarterly_vintage
 from tidemark.schemas import STORE_KEY, VINTAGE, conform
 
 
@@ -99,6 +101,38 @@ def frontier(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.max("vintage_date"), F.lit("1900-01-01").cast("date")).alias("frontier"))
 
 
+def status(df: DataFrame, as_of: Column, headline: tuple[str, ...] = ("00", "05"), shutdown: tuple[str, ...] = ()) -> DataFrame:
+    """The state of a store as rows of a ``kind``, with what they name as ``token``.
+
+    * ``coverage``: each source and adjustment, with its counts and ranges;
+    * ``uncaptured``: months of the adjusted survey (``ces:2020-01-01``) and quarters
+      of the census (``qcew:2020-Q1``) after the newest stored one whose first print
+      was out by ``as_of``;
+    * ``missing``: months inside the national headline series of the adjusted survey
+      that no row has, whatever its level; those of ``shutdown`` are marked so.
+
+    An empty store gives no row.  All but the coverage comes from a few rows.
+    """
+    parts = coverage(df)
+    held = parts.select(F.lit("coverage").alias("kind"), "source", "seasonally_adjusted", F.lit(None).cast("string").alias("token"), "n_rows", "first_ref", "last_ref", "last_vintage", "n_vintages")
+    bound = as_of.cast("date")
+
+    def walk(source: str, adjusted: bool, first: Column, months: int, out: Column, token: Column) -> DataFrame:
+        start = parts.where((F.col("source") == source) & (F.col("seasonally_adjusted") == adjusted)).select("source", "seasonally_adjusted", first.alias("_a")).where(F.col("_a") <= bound)
+        due = start.withColumn("at", F.explode(F.sequence("_a", bound, F.expr(f"interval {months} months"))))
+        return due.where(out <= bound).select(F.lit("uncaptured").alias("kind"), "source", "seasonally_adjusted", token.alias("token"))
+
+    at = F.col("at")
+    survey = walk("ces", True, F.add_months(F.trunc("last_ref", "MM"), 1), 1, first_friday_release(at), F.concat(F.lit("ces:"), at.cast("string")))
+    quarter = F.concat(F.lit("qcew:"), F.year(at), F.lit("-Q"), F.quarter(at))
+    census = walk("qcew", False, F.add_months(F.trunc("last_ref", "quarter"), 3), 3, quarterly_vintage(at, F.lit(0)), quarter)
+    heads = df.where((F.col("source") == "ces") & F.col("seasonally_adjusted") & (F.col("geographic_type") == "national") & (F.col("geographic_code") == "00") & F.col("industry_code").isin(*headline))
+    label = F.date_format("month", "yyyy-MM")
+    marked = F.concat(label, F.when(label.isin(*shutdown), " [known-shutdown]").otherwise(""))
+    gaps = month_gaps(heads, ["source", "seasonally_adjusted"]).select(F.lit("missing").alias("kind"), "source", "seasonally_adjusted", marked.alias("token"))
+    return held.unionByName(survey.unionByName(census).unionByName(gaps), allowMissingColumns=True)
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """Every key of either side with its status: match, mismatch, left_only or right_only.  Keys must not be null."""
     a = left.select(*keys, F.col(value).alias("left_value"))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark import job_queries, rebuild_queries  # noqa: F401  (they register their queries)
+from tidemark import acquire_queries, job_queries, rebuild_queries  # noqa: F401  (they register their queries)
 from tidemark.functions import dates, series
-from tidemark.operators import backtest, calendar, censor, composite, evaluate, hierarchy, quality, rebuild, store, triangle, views
+from tidemark.operators import backtest, calendar, censor, composite, evaluate, hierarchy, model_data, quality, rebuild, store, triangle, views
 from tidemark.plans.demo import order_months, vintage_obs
 from tidemark.registry import ORACLES, QUERIES, query
 from tidemark.schemas import SERIES, VINTAGE, conform
@@ -219,6 +219,16 @@ def set05_month_gaps(spark, sf_dir):
     return store.month_gaps(vintage_obs(spark, sf_dir).where("benchmark_revision = 1"), ["source", "industry_code"])
 
 
+@query(""", gm AS (SELECT DISTINCT c_nationkey, o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) <> 1995 OR c_nationkey % 4 <> 1),
+gs AS (SELECT c_nationkey, o_orderpriority, min(month) AS a, max(month) AS b FROM gm GROUP BY ALL), gg AS (SELECT c_nationkey, o_orderpriority, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS month FROM gs)
+SELECT * FROM gg EXCEPT SELECT * FROM gm""")
+def set05_lost_year(spark, sf_dir):
+    """Gaps of nations of which a year has been lost."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    kept = orders.where((F.year("o_orderdate") != 1995) | (F.col("c_nationkey") % 4 != 1))
+    return store.month_gaps(kept.select("c_nationkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("ref_date")), ["c_nationkey", "o_orderpriority"])
+
+
 @query()
 def snk05_content_hash(spark, sf_dir):
     return store.content_hash(vintage_obs(spark, sf_dir))
@@ -280,6 +290,15 @@ def set06_uncaptured(spark, sf_dir):
     return calendar.uncaptured(_calendar(spark, sf_dir), held, _day(_AS_OF)).select("ref_date", "vintage_date", "revision", "benchmark_revision")
 
 
+@query(_REVISIONS + """ SELECT ref_date, vintage_date, revision, benchmark_revision FROM cal WHERE vintage_date <= DATE '2000-06-12' AND NOT EXISTS (SELECT 1 FROM obs WHERE source = 'ces' AND seasonally_adjusted AND industry_code = 'BUILDING'
+AND NOT (month(obs.ref_date) = 3 AND obs.revision = 2) AND date_trunc('month', obs.ref_date) = cal.ref_date AND obs.revision = cal.revision AND obs.benchmark_revision = cal.benchmark_revision)""")
+def set06_lost_prints(spark, sf_dir):
+    """The same for a store that lost the third and benchmark prints of each March."""
+    held = vintage_obs(spark, sf_dir).where("source = 'ces' AND seasonally_adjusted AND industry_code = 'BUILDING' AND NOT (month(ref_date) = 3 AND revision = 2)")
+    held = held.select(dates.month(F.col("ref_date")).alias("ref_date"), "revision", "benchmark_revision")
+    return calendar.uncaptured(_calendar(spark, sf_dir), held, _day(_AS_OF)).select("ref_date", "vintage_date", "revision", "benchmark_revision")
+
+
 @query(""", qs AS (SELECT DISTINCT CAST(date_trunc('quarter', month) + INTERVAL 2 MONTH AS DATE) AS ref_date FROM om),
 lag(q, r, n, z) AS (VALUES (1,0,5,25.0),(1,1,8,20.0),(1,2,14,15.0),(1,3,20,5.0),(1,4,26,1.0),(2,0,5,17.0),(2,1,11,4.0),(2,2,17,1.2),(2,3,23,1.0),(3,0,5,17.0),(3,1,14,4.0),(3,2,20,1.0),(4,0,8,17.0),(4,1,17,1.0))
 SELECT ref_date, CAST(r AS INT) AS revision, CAST(ref_date + to_months(CAST(n AS INT)) AS DATE) AS vintage_date, CAST(z AS DOUBLE) AS noise FROM qs JOIN lag ON q = quarter(ref_date)""")
@@ -345,6 +364,18 @@ def dq06_nesting(spark, sf_dir):
     return hierarchy.nesting(levels, edges, "code", ["series"], "value", 0.5)
 
 
+@query(_PARTS + """, pt AS (SELECT p_type, CAST(sum(value) AS BIGINT) AS v, CAST(sum(value) + CASE length(p_type) % 3 WHEN 0 THEN 5 ELSE 0 END AS BIGINT) AS seen FROM pb GROUP BY p_type)
+SELECT p_type AS parent, seen AS level, v AS children, seen = v AS ok FROM pt UNION ALL SELECT '00', CAST(sum(v) AS BIGINT), CAST(sum(seen) AS BIGINT), sum(v) = sum(seen) FROM pt""")
+def dq06_wrong_parents(spark, sf_dir):
+    """Types of which a third stands too high, so that neither their brands nor the total fit."""
+    leaves, ancestors = _part_levels(spark, sf_dir)
+    off = F.when((F.col("level") == "type") & (F.length("code") % 3 == 0), 5).otherwise(0)
+    levels = hierarchy.roll_up(leaves, "leaf", ancestors, [], "value").withColumns({"series": F.lit("all"), "value": F.col("value") + off})
+    names = table(spark, sf_dir, "part").select("p_type", F.concat_ws("/", "p_type", "p_brand").alias("child")).distinct()
+    edges = names.select(F.col("p_type").alias("parent"), "child").union(names.select(F.lit("00"), "p_type").distinct())
+    return hierarchy.nesting(levels, edges, "code", ["series"], "value", 0.5).drop("series")
+
+
 @query(""", sz AS (SELECT p_type, CAST(least(9, p_size // 6 + 1) AS VARCHAR) AS size_code, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 sch(t, c, m) AS (VALUES ('total','0','123456789'),('small','1','12345'),('small','2','67'),('small','3','89'),('medium','1','1234'),('medium','2','5'),('medium','3','6'),('medium','4','7'),('medium','5','89'))
 SELECT p_type, t AS size_class_type, c AS size_class_code, sum(value) AS value FROM sz JOIN sch ON contains(m, size_code) GROUP BY ALL
@@ -907,6 +938,22 @@ def rsh09_model_data(spark, sf_dir):
     return full.join(wide, ["industry_code", "period"], "left")
 
 
+_NOISE_SQL = "CASE quarter(period) WHEN 1 THEN [25.0, 20.0, 15.0][revision_number + 1] WHEN 2 THEN [17.0, 4.0, 1.2][revision_number + 1] WHEN 3 THEN [17.0, 4.0, 1.0][revision_number + 1] ELSE coalesce([17.0, 1.0][revision_number + 1], 1.0) END"
+
+
+@query(_ALL + f""", ap AS (SELECT *, source <> 'qcew' AS sv, CASE WHEN source = 'qcew' AND (period < DATE '{_SETTLED}' OR revision_number = 5 - quarter(period)) THEN 1 ELSE 0 END AS fin FROM full_panel WHERE vintage_date <= DATE '{_AS_OF}'),
+ac AS (SELECT *, dense_rank() OVER (PARTITION BY industry_code ORDER BY period) - 1 AS t, min(year(period)) OVER (PARTITION BY industry_code) AS y0 FROM ap),
+ab AS (SELECT * FROM ac WHERE NOT sv OR revision_number >= 0 QUALIFY row_number() OVER (PARTITION BY industry_code, source, period ORDER BY fin DESC, revision_number DESC, vintage_date DESC, growth DESC) = 1),
+av AS (SELECT *, dense_rank() OVER (PARTITION BY industry_code, sv ORDER BY revision_number) - 1 AS place, 100 * exp(sum(growth) OVER (PARTITION BY industry_code, source ORDER BY period)) AS lv FROM ab)
+SELECT industry_code, source, period, CAST(t AS INT) AS t, CAST(month(period) - 1 AS INT) AS month_index, CAST(year(period) - y0 AS INT) AS year_index, CAST(CASE WHEN period >= DATE '1999-01-01' THEN 2 WHEN period >= DATE '1996-07-01' THEN 1 ELSE 0 END AS INT) AS era, round(growth, 6) AS growth, revision_number,
+  CASE WHEN sv THEN CAST(place AS INT) END AS vintage_index, CASE WHEN NOT sv THEN month(period) % 3 = 2 END AS interior,
+  CASE WHEN NOT sv THEN CAST({_NOISE_SQL} AS DOUBLE) * CASE WHEN month(period) % 3 <> 2 AND period >= DATE '1996-07-01' THEN [5.0, 3.5, 2.0][revision_number + 1] ELSE 1.0 END END AS noise, round(lv, 4) AS level FROM av""")
+def pip04_model_rows(spark, sf_dir):
+    """What a model of each segment observes, from the prints known on a day."""
+    out = model_data.assemble(_full_panel(spark, sf_dir), ["industry_code"], ["1996-07-01", "1999-01-01"], _day(_AS_OF))
+    return out.withColumns({"growth": F.round("growth", 6), "level": F.round("level", 4)})
+
+
 @query(_TARGETS + " SELECT industry_code, target, round(avg(change), 6) AS forecast FROM kn GROUP BY ALL")
 def udf05_forecast_fan_out(spark, sf_dir):
     """A forecast function of the user's, applied to what each as-of slice knew."""

@@ -22,6 +22,11 @@ PANEL = _schema(
     "source string, source_type string, growth double, employment_level double, is_seasonally_adjusted boolean,"
     "vintage_date date, revision_number int, is_final boolean, publication_lag_months int, coverage_ratio double"
 )
+#: Estimates of all programmes as they are combined into releases.
+RELEASES = _schema(
+    "source string, seasonally_adjusted boolean, geographic_type string, geographic_code string, industry_type string, industry_code string,"
+    "ref_date date, vintage_date date, revision int, benchmark_revision int, employment double"
+)
 CALENDAR = _schema("publication string, ref_date date, vintage_date date, revision int, benchmark_revision int")
 
 #: What makes a stored row unique; the vintage date and the level are not part of it.
