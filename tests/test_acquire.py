@@ -1,15 +1,22 @@
 """Acquisition jobs against plain Python on small frames."""
 
 import datetime
+import hashlib
 import math
 import random
+import struct
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidemark.operators import census, estimates, model_data, provider, store
+from test_jobs import forget_last_commit, sinks
+from tidemark.operators import census, estimates, evaluate, model_data, provider, regression, store
 from tidemark.schemas import PANEL, VINTAGE, empty
+from tidemark.storage import new_folder
+from tidemark.streaming import capture
 
 REGIONS, INDUSTRIES = ("1", "2", "3", "4"), tuple(f"{10 * n}" for n in range(1, 12))
 CELLS = [(r, i) for r in REGIONS for i in INDUSTRIES]
@@ -224,3 +231,82 @@ def test_model_rows_take_the_best_print_or_none(spark):
     }
     assert got["qcew", 2].level == pytest.approx(100 * math.exp(0.32)) and got["qcew", 2].month_index == 1 and got["qcew", 2].year_index == 0
     assert model_data.assemble(df.limit(0), ["k"], ["2020-02-01"]).count() == 0
+
+
+def test_settled_changes_keep_to_the_calendar(spark):
+    def row(ref, revision, level, benchmark=0, vintage="2020-06-01"):
+        return ("a", day(ref), revision, benchmark, day(vintage), level)
+
+    rows = [
+        row("2020-01-12", 0, 10.0), row("2020-01-12", 2, 12.0), row("2020-01-12", 2, 99.0, 1), row("2020-02-12", 1, 15.0), row("2020-02-12", 1, 16.0, 0, "2020-07-01"),
+        row("2020-04-12", 0, 20.0), row("2020-05-12", 0, 21.0), row("2020-05-12", 1, -1.0), row("2020-06-12", 0, None),
+    ]
+    df = spark.createDataFrame(rows, "k string, ref_date date, revision int, benchmark_revision int, vintage_date date, employment double")
+    got = {r.month: r.change for r in evaluate.settled_changes(df, ["k"]).collect()}
+    assert got == {day("2020-02-01"): 4.0, day("2020-05-01"): 1.0}  # March is missing: April has no change
+    assert evaluate.settled_changes(df.limit(0), ["k"]).count() == 0
+
+
+def test_diagnostics_by_type_are_least_squares(spark):
+    rng = random.Random(5)
+    rows = []
+    for n, d in enumerate(months(60)):
+        x, z = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append(("a", d, 2 + 0.5 * x - z + rng.gauss(0, 0.5), x if n % 9 else None, z, None, float(rng.choice([0, 0, 50]))))
+    df = spark.createDataFrame(rows, "k string, month date, revision double, x double, z double, gone double, momentum double")
+    got = {r.month_type: r for r in regression.revision_diagnostics(df, ["k"], "revision", ["x", "gone", "z"], "momentum").collect()}
+    sizes = sorted(abs(r[2]) for r in rows)
+    at = 0.9 * (len(sizes) - 1)
+    bound = sizes[int(at)] + (at - int(at)) * (sizes[int(at) + 1] - sizes[int(at)])
+    kind = lambda r: "large_revision" if abs(r[2]) >= bound else "turning_point" if r[6] >= 40 else "benchmark_window" if r[1].month == 2 else "normal"
+    want = {"pooled": rows} | {k: [r for r in rows if kind(r) == k] for k in map(kind, rows)}
+    want = {k: v for k, v in want.items() if k == "pooled" or len(v) > 5}
+    assert set(got) == set(want) and {"normal", "turning_point"} <= set(want)
+    for k, members in want.items():
+        whole = [r for r in members if r[3] is not None]
+        a, y = np.array([[1, r[3], r[4]] for r in whole]), np.array([r[2] for r in whole])
+        beta, rest = np.linalg.lstsq(a, y, rcond=None)[:2]
+        assert (got[k].n, got[k].n_months, list(got[k].missing)) == (len(whole), len(members), ["gone"])
+        assert got[k].bias == pytest.approx(beta[0]) and got[k].r2 == pytest.approx(1 - rest[0] / ((y - y.mean()) ** 2).sum())
+    gate = regression.diagnostics_gate(regression.revision_diagnostics(df, ["k"], "revision", ["x", "gone", "z"], "momentum"), ["k"]).collect()
+    assert len(gate) == 1 and gate[0].pooled == got["pooled"].r2 and gate[0].fund_rebuild
+
+
+def test_content_hash_by_another_implementation(spark):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (-7, None), (3, "ü" * 40)]
+    df = spark.createDataFrame(rows, "k long, name string").repartition(3)
+    hashes = []
+    for k, name in rows:
+        h = 42 if k is None else xxhash.xxh64_intdigest(struct.pack("<q", k), seed=42)
+        h = h if name is None else xxhash.xxh64_intdigest(name.encode(), seed=h)
+        hashes.append(h - 2**64 if h >= 2**63 else h)
+    x = 0
+    for h in hashes:
+        x ^= h
+    got = store.content_hash(df.select("name", "k")).collect()[0]
+    assert (got.n, got.hash) == (5, hashlib.sha256(f"5:{x}:{sum(hashes)}".encode()).hexdigest())
+
+
+def test_a_replayed_survey_delivery_changes_no_sink(spark):
+    folder = new_folder(spark, "survey")
+    dates = [day("2019-11-12"), day("2019-12-12"), day("2020-01-12")]
+    rows = [("ces", d, datetime.date(d.year + d.month // 12, d.month % 12 + 1, 7), 0, 0) for d in dates] + [("ces", dates[0], day("2020-01-10"), 1, 0), ("ces", dates[1], day("2020-02-07"), 2, 1), ("ces", dates[1], day("2020-02-07"), 1, 0)]
+    calendar = spark.createDataFrame(rows, DATES)
+    levels = lambda lift: spark.createDataFrame([(c, a, d, 10.0 * n + lift) for c in ("00", "06", "07") for a in (True, False) for n, d in enumerate(dates)], "code string, seasonally_adjusted boolean, ref_date date, value double")
+    levels(0).coalesce(1).write.parquet(f"{folder}/landing")
+    arrivals = spark.readStream.schema(levels(0).schema).parquet(f"{folder}/landing")
+    run = lambda: capture.capture_survey(arrivals, calendar, f"{folder}/store", folder, f"{folder}/offsets", day("2020-02-07")).awaitTermination()
+    run()
+    names = ["pending", "drift", "unknown", "runs"]
+    before = sinks(spark, folder, names)
+    held = {(r.industry_type, r.industry_code, r.ownership, r.ref_date, r.revision, r.benchmark_revision, r.employment) for r in store.read(spark, f"{folder}/store").collect()}
+    prints = [(dates[0], 1, 0, 0.0), (dates[1], 2, 1, 10.0), (dates[2], 0, 0, 20.0)]
+    assert held == {(t, c, o, *p) for t, c, o in (("total", "00", "total"), ("domain", "06", "private")) for p in prints}
+    assert spark.read.parquet(f"{folder}/unknown").count() == 6 and spark.read.parquet(f"{folder}/runs").select("n_rows", "n_new", "n_skipped").collect() == [(12, 12, 0)]
+    forget_last_commit(folder)
+    run()
+    assert sinks(spark, folder, names) == before
+    levels(1).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    run()  # all of it is stored, at other levels
+    assert sinks(spark, folder, ["none"])[1] == before[1] and spark.read.parquet(f"{folder}/drift/epoch=1").count() == 12
+    assert spark.read.parquet(f"{folder}/runs/epoch=1").collect() == [(12, 0, 12)]

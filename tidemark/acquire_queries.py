@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import rebuild_queries
 from tidemark.dimensions import CURRENT_CODES, GOODS, RANGES, SUPERSECTORS
+from tidemark.job_queries import _streamed
 from tidemark.operators import census, estimates, provider, store
 from tidemark.plans.demo import order_months, vintage_obs
 from tidemark.registry import query
 from tidemark.sources.readers import table
+from tidemark.storage import stored
+from tidemark.streaming import capture
 
 
 def _twelfth(d):
@@ -152,6 +157,30 @@ re AS (SELECT 'ces' AS source, adj AS seasonally_adjusted, 'national' AS geograp
 @query(_STATE + _RELEASES + """ SELECT * FROM re UNION ALL SELECT * FROM st UNION ALL SELECT 'qcew', NULL, 'national', '00', 'supersector', industry_code, ref_date, NULL, NULL, NULL, sum(employment) FROM obs WHERE source = 'qcew' GROUP BY industry_code, ref_date""")
 def pip08_releases(spark, sf_dir):
     """Current survey levels dated by a calendar that ends on a benchmark day, state rows, and census sums without a print."""
+    levels, calendar = _survey(spark, sf_dir)
+    survey = estimates.survey_releases(levels, calendar.where("vintage_date <= '1998-02-20'"))
+    plain = vintage_obs(spark, sf_dir).where("source = 'qcew'").groupBy("source", "geographic_type", "geographic_code", "industry_type", "industry_code", "ref_date").agg(F.sum("employment").alias("employment"))
+    return estimates.combine(survey, _state_rows(spark, sf_dir), plain)
+
+
+@query(_RELEASES + """ SELECT CASE WHEN industry_code IN ('00', '05') THEN 'total' ELSE industry_type END AS industry_type, industry_code, CASE WHEN industry_code = '00' THEN 'total' ELSE 'private' END AS ownership, seasonally_adjusted, ref_date, vintage_date, revision, benchmark_revision,
+  employment + CASE WHEN month(ref_date) = 3 AND ref_date >= DATE '1997-06-01' THEN 1 ELSE 0 END AS employment FROM re WHERE industry_code <> '30' AND vintage_date IS NOT NULL""")
+def str04_survey_capture(spark, sf_dir):
+    """The store after three deliveries of current levels: of older months, of all with other levels in each March, and the same again."""
+    levels, calendar = _survey(spark, sf_dir)
+    levels = levels.withColumn("code", F.when(F.col("code") == "30", "07").otherwise(F.col("code")))  # not on the stored axes
+    levels, calendar = stored(levels.withColumn("value", F.col("value").cast("double")), "levels"), stored(calendar.where("vintage_date <= '1998-02-20'"), "calendar")
+    changed = levels.withColumn("value", F.col("value") + F.when(F.month("ref_date") == 3, 1).otherwise(0))
+
+    def start(arrivals, folder):
+        return capture.capture_survey(arrivals, calendar, f"{folder}/store", folder, f"{folder}/offsets", datetime.date(1998, 2, 20))
+
+    folder = _streamed(spark, [levels.where("ref_date < '1997-06-01'"), changed, changed], start)
+    return store.read(spark, f"{folder}/store").select("industry_type", "industry_code", "ownership", "seasonally_adjusted", "ref_date", "vintage_date", "revision", "benchmark_revision", "employment")
+
+
+def _survey(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Current levels of both adjustments by survey code, and a calendar whose benchmark prints come each February; it lacks Aprils."""
     codes = {"BUILDING": "00", "MACHINERY": "05", "FURNITURE": "06", "AUTOMOBILE": "20"}
     code = F.coalesce(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("c_mktsegment")], F.lit("30")).alias("code")
     levels = order_months(spark, sf_dir).groupBy(code, _twelfth(F.col("month")).alias("ref_date")).agg(F.count("*").alias("n"))
@@ -160,9 +189,7 @@ def pip08_releases(spark, sf_dir):
     months = order_months(spark, sf_dir).select(_twelfth(F.col("month")).alias("ref_date")).distinct().where(F.month("ref_date") != 4)
     prints = F.array(*[F.struct(F.lit(r).alias("revision"), F.lit(b).alias("benchmark_revision"), n.alias("n")) for r, b, n in ((0, 0, F.lit(1)), (1, 0, F.lit(2)), (2, 0, F.lit(3)), (2, 1, 14 - F.month("ref_date")))])
     calendar = months.withColumn("p", F.explode(prints)).select(F.lit("ces").alias("publication"), "ref_date", F.expr("add_months(ref_date, p.n)").alias("vintage_date"), "p.revision", "p.benchmark_revision")
-    survey = estimates.survey_releases(levels, calendar.where("vintage_date <= '1998-02-20'"))
-    plain = vintage_obs(spark, sf_dir).where("source = 'qcew'").groupBy("source", "geographic_type", "geographic_code", "industry_type", "industry_code", "ref_date").agg(F.sum("employment").alias("employment"))
-    return estimates.combine(survey, _state_rows(spark, sf_dir), plain)
+    return levels, calendar
 
 
 # ------------------------------------------------------------------ the state of a store

@@ -42,6 +42,27 @@ def first_print_changes(store: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, "month", "vintage_date", (F.col("level") - partner).alias("change"), (F.ln("level") - F.ln(partner)).alias("growth"))
 
 
+def settled_changes(store: DataFrame, by: list[str]) -> DataFrame:
+    """Change of each month between its newest prints on the first benchmark (the third, once it is out): ``month, change``.
+
+    Of the prints of a month the most revised counts, of several of those the
+    latest; rows without a positive level do not.  A month whose calendar month
+    before has no level gives no row, so a gap never passes for a month.
+    """
+    rows = store.where("benchmark_revision = 0 AND employment > 0").withColumn("month", month(F.col("ref_date")))
+    level = rows.groupBy(*by, "month").agg(F.max_by("employment", F.struct("revision", "vintage_date", "employment")).alias("level"))
+    w = Window.partitionBy(*by).orderBy("month")
+    beside = F.add_months("month", -1) == F.lag("month").over(w)
+    return level.withColumn("change", F.when(beside, F.col("level") - F.lag("level").over(w))).where("change IS NOT NULL").select(*by, "month", "change")
+
+
+def change_revisions(store: DataFrame, by: list[str]) -> DataFrame:
+    """First and settled change of each month that has both, and the ``revision`` between them; ``lagged`` is that of the row before."""
+    first = first_print_changes(store, by).where("change IS NOT NULL").select(*by, "month", "vintage_date", F.col("change").alias("first"))
+    both = first.join(settled_changes(store, by).withColumnRenamed("change", "settled"), [*by, "month"]).withColumn("revision", F.col("settled") - F.col("first"))
+    return both.withColumn("lagged", F.lag("revision").over(Window.partitionBy(*by).orderBy("month")))
+
+
 def error_metrics(df: DataFrame, by: list[str], error: str) -> DataFrame:
     """Count, mean, mean absolute and root mean square error of the errors that are there."""
     e = F.when(~F.isnan(error), F.col(error))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import finite
+from tidemark.operators.evaluate import funding_gate, month_types
 
 #: A pivot this small beside its variance means that a regressor is a combination of others.
 _SINGULAR = 1e-12
@@ -81,3 +82,30 @@ def least_squares(df: DataFrame, by: list[str], y: str, regressors: list[str]) -
 def revision_regression(df: DataFrame, by: list[str], revision: str, regressors: list[str]) -> DataFrame:
     """What of a revision could be foreseen: the fit, with its intercept (the bias of first prints) as a column."""
     return least_squares(df, by, revision, regressors).withColumn("bias", F.col("coefficients")[0]["estimate"])
+
+
+def revision_diagnostics(df: DataFrame, by: list[str], revision: str, regressors: list[str], momentum: str, **kinds) -> DataFrame:
+    """The revision regression over all months (``month_type`` pooled) and over those of each type, from one aggregation.
+
+    Types are those of ``month_types`` with ``kinds``.  A type counts where it has
+    over two rows more than the pooled fit has coefficients, rows that lack a value
+    included.  A regressor that has no value in a type is left out of its fit.
+    ``missing`` lists regressors without any value in the pooled months.
+    """
+    typed = month_types(df, by, revision, momentum, **kinds)
+    each = typed.withColumn("month_type", F.explode(F.array(F.lit("pooled"), F.col("month_type"))))
+    fit = revision_regression(each, [*by, "month_type"], revision, regressors)
+    sizes = each.groupBy(*by, "month_type").agg(F.count("*").alias("n_months"))
+    pooled = F.when(F.col("month_type") == "pooled", F.col("coefficients"))
+    used = F.max(F.transform(pooled, lambda c: c["name"])).over(Window.partitionBy(*by))
+    rows = fit.join(sizes, [*by, "month_type"]).withColumn("_used", used)
+    kept = rows.where((F.col("month_type") == "pooled") | (F.col("n_months") > F.size("_used") + 2))
+    return kept.withColumn("missing", F.array_except(F.array(*map(F.lit, regressors)), "_used")).drop("_used")
+
+
+def diagnostics_gate(diagnostics: DataFrame, by: list[str], **bounds) -> DataFrame:
+    """What the fits by month type speak for (see ``funding_gate``), beside the ``pooled`` share that could be foreseen and the ``bias``."""
+    pooled = F.when(F.col("month_type") == "pooled", F.struct("n", F.col("r2").alias("pooled"), "bias", "missing"))
+    beside = diagnostics.withColumn("_pooled", F.max(pooled).over(Window.partitionBy(*by)))
+    out = funding_gate(beside, [*by, "_pooled"], **bounds)
+    return out.select(*by, "_pooled.*", *[c for c in out.columns if c not in (*by, "_pooled")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import acquire_queries, job_queries, rebuild_queries  # noqa: F401  (they register their queries)
 from tidemark.functions import dates, series
-from tidemark.operators import backtest, calendar, censor, composite, evaluate, hierarchy, model_data, quality, rebuild, store, triangle, views
+from tidemark.operators import backtest, calendar, censor, composite, evaluate, hierarchy, model_data, quality, rebuild, regression, store, triangle, views
 from tidemark.plans.demo import order_months, vintage_obs
 from tidemark.registry import ORACLES, QUERIES, query
 from tidemark.schemas import SERIES, VINTAGE, conform
@@ -794,6 +794,57 @@ def agg25_revision_regression(spark, sf_dir):
     return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("b0", "b1", "b2", "r2")])
 
 
+_SETTLED_CHANGES = _FIRST_PRINT + """, sl AS (SELECT industry_code, CAST(date_trunc('month', ref_date) AS DATE) AS month, employment AS level FROM obs WHERE source = 'ces' AND seasonally_adjusted AND benchmark_revision = 0 AND employment > 0
+  QUALIFY row_number() OVER (PARTITION BY industry_code, date_trunc('month', ref_date) ORDER BY revision DESC, vintage_date DESC, employment DESC) = 1),
+sc AS (SELECT a.industry_code, a.month, a.level - b.level AS settled FROM sl a JOIN sl b ON a.industry_code = b.industry_code AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)),
+rt AS (SELECT f.industry_code, f.month, f.vintage_date, change AS first, settled, settled - change AS revision FROM fpc f JOIN sc ON sc.industry_code = f.industry_code AND sc.month = f.month WHERE change IS NOT NULL),
+rl AS (SELECT *, lag(revision) OVER (PARTITION BY industry_code ORDER BY month) AS lagged FROM rt)"""
+_SETTLED_CHANGES = _SETTLED_CHANGES.replace("FROM obs WHERE source = 'ces' AND seasonally_adjusted AND", "FROM obs WHERE source = 'ces' AND seasonally_adjusted AND NOT (month(ref_date) = 7 AND year(ref_date) % 3 = 0) AND")
+
+
+def _change_revisions(spark, sf_dir):
+    """Revisions of a store that lacks a July in three years."""
+    rows = vintage_obs(spark, sf_dir).where("source = 'ces' AND seasonally_adjusted AND NOT (month(ref_date) = 7 AND year(ref_date) % 3 = 0)")
+    return evaluate.change_revisions(rows, ["industry_code"])
+
+
+@query(_SETTLED_CHANGES + " SELECT industry_code, month, vintage_date, first, settled, revision, lagged FROM rl")
+def jon11_change_revisions(spark, sf_dir):
+    return _change_revisions(spark, sf_dir)
+
+
+_DIAGNOSED = _SETTLED_CHANGES + """, im AS (SELECT c_mktsegment, month, CAST(n - lag(n, 3) OVER (PARTITION BY c_mktsegment ORDER BY month) AS DOUBLE) AS momentum FROM (SELECT c_mktsegment, month, count(*) AS n FROM om GROUP BY ALL)),
+dx AS (SELECT rl.*, momentum FROM rl LEFT JOIN im ON c_mktsegment = industry_code AND im.month = rl.month), db AS (SELECT industry_code, quantile_cont(abs(revision), 0.9) AS bound FROM dx GROUP BY ALL),
+dk AS (SELECT dx.*, CASE WHEN abs(revision) >= bound THEN 'large_revision' WHEN abs(momentum) >= 25 THEN 'turning_point' WHEN month(month) = 2 THEN 'benchmark_window' ELSE 'normal' END AS k FROM dx JOIN db USING (industry_code)),
+de AS (SELECT * REPLACE ('pooled' AS k) FROM dk UNION ALL SELECT * FROM dk), dn AS (SELECT industry_code, k AS month_type, count(*) AS n_months FROM de GROUP BY ALL),
+dm AS (SELECT industry_code, k AS month_type, count(*) AS n, avg(revision) AS my, avg(momentum) AS m1, avg(lagged) AS m2, var_pop(momentum) AS s11, var_pop(lagged) AS s22, var_pop(revision) AS syy, covar_pop(momentum, lagged) AS s12, covar_pop(momentum, revision) AS s1y, covar_pop(lagged, revision) AS s2y
+  FROM de WHERE momentum IS NOT NULL AND lagged IS NOT NULL GROUP BY ALL),
+df AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM dm JOIN dn USING (industry_code, month_type) WHERE month_type = 'pooled' OR n_months > 5),
+dr AS (SELECT industry_code, month_type, n, n_months, my - b1 * m1 - b2 * m2 AS bias, (b1 * s1y + b2 * s2y) / syy AS r2 FROM df)"""
+
+
+def _diagnostics(spark, sf_dir):
+    """A regressor of orders, the revision before, and a series that is not there."""
+    counts = order_months(spark, sf_dir).groupBy(F.col("c_mktsegment").alias("industry_code"), "month").agg(F.count("*").alias("n"))
+    moved = evaluate.momentum(counts, ["industry_code"], "n", 3).select("industry_code", "month", F.col("momentum").cast("double").alias("momentum"))
+    rows = _change_revisions(spark, sf_dir).join(moved, ["industry_code", "month"], "left").withColumn("absent", F.lit(None).cast("double"))
+    return regression.revision_diagnostics(rows, ["industry_code"], "revision", ["momentum", "absent", "lagged"], "momentum", turn_at=25.0)
+
+
+@query(_DIAGNOSED + " SELECT industry_code, month_type, n, n_months, round(bias, 4) AS bias, round(r2, 4) AS r2, 'absent' AS missing FROM dr")
+def pip13_revision_diagnostics(spark, sf_dir):
+    """How far revisions could be foreseen, over all months and by their type."""
+    out = _diagnostics(spark, sf_dir)
+    return out.select("industry_code", "month_type", "n", "n_months", F.round("bias", 4).alias("bias"), F.round("r2", 4).alias("r2"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(_DIAGNOSED + """, dg AS (SELECT industry_code, coalesce(max(r2) FILTER (month_type = 'normal'), 0) AS normal, coalesce(max(r2) FILTER (month_type = 'turning_point'), 0) AS turning FROM dr GROUP BY ALL)
+SELECT industry_code, n, round(r2, 4) AS pooled, round(bias, 4) AS bias, round(normal, 4) AS normal, round(turning, 4) AS turning_point, normal >= 0.1 AS fund_rebuild, turning - normal >= 0.15 AS fund_turning FROM dr JOIN dg USING (industry_code) WHERE month_type = 'pooled'""")
+def pip13_gate(spark, sf_dir):
+    out = regression.diagnostics_gate(_diagnostics(spark, sf_dir), ["industry_code"])
+    return out.select("industry_code", "n", *[F.round(c, 4).alias(c) for c in ("pooled", "bias", "normal", "turning_point")], "fund_rebuild", "fund_turning")
+
+
 @query(_TARGETS + """, e AS (SELECT industry_code, tm - rw AS a, rw - actual AS b FROM pred), u AS (SELECT industry_code, 'a' AS component, a AS error FROM e UNION ALL SELECT industry_code, 'b', b FROM e UNION ALL SELECT industry_code, 'total', a + b FROM e)
 SELECT industry_code, component, count(error) AS n, round(avg(error), 6) AS me, round(avg(abs(error)), 6) AS mae FROM u GROUP BY ALL""")
 def agg34_error_parts(spark, sf_dir):

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendar, census, hierarchy, store
+from tidemark.dimensions import remap, unknown
+from tidemark.operators import calendar, census, estimates, hierarchy, store
 from tidemark.schemas import VINTAGE, conform, empty
 
 
@@ -109,6 +110,38 @@ def capture_quarters(arrivals: DataFrame, path: str, folder: str, checkpoint: st
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# ------------------------------------------------------------------ prints of the survey
+
+
+def capture_survey(arrivals: DataFrame, schedule: DataFrame, path: str, folder: str, checkpoint: str, as_of: datetime.date):
+    """Take the prints that were out by ``as_of`` from deliveries of current survey levels (code, seasonally_adjusted, ref_date, value).
+
+    ``schedule`` is the release calendar, which says which print a level is (see
+    ``estimates.survey_releases``).  A delivery holds all months, most of them
+    stored already: those are skipped, and where their level is another one now
+    they go to ``drift`` and are never applied.  Codes that the stored axes lack
+    go to ``unknown``; ``runs`` counts what came, was new and was skipped.  All
+    four and the batch's rows (``pending``) are folders of the batch's own,
+    written once and before the store, so a replayed batch changes no sink.
+    ``jobs.heal`` joins the files that the store gathers.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark, pending = batch.sparkSession, f"{folder}/pending/epoch={epoch}"
+        prints = estimates.survey_releases(batch, schedule).where(F.col("vintage_date") <= F.lit(as_of))
+        _once(unknown(prints), f"{folder}/unknown/epoch={epoch}")
+        _once(conform(remap(prints), VINTAGE, fill=True), pending)
+        rows = spark.read.schema(VINTAGE).parquet(pending)
+        stored = store.read(spark, path) if store.exists(spark, path) else empty(spark, VINTAGE)
+        _once(store.drift(rows, stored), f"{folder}/drift/epoch={epoch}")
+        new = store.new_rows(rows, stored).agg(F.count("*").alias("n_new"))
+        counts = rows.agg(F.count("*").alias("n_rows")).join(new).withColumn("n_skipped", F.col("n_rows") - F.col("n_new"))  # a row each
+        _once(counts, f"{folder}/runs/epoch={epoch}")
+        store.append(rows, path)
+
+    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # ------------------------------------------------------------------ releases that are announced
 
 
