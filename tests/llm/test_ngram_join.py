@@ -79,6 +79,69 @@ def test_groups_of_several_blocks(spark, monkeypatch):
     assert result(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"))) == expected(docs)
 
 
+def crowd(n, seed=3):
+    """Near copies of one text: a third links with it, the others have too many changes of their own to link with any."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(5, 145), 2 if i % 3 == 0 else 8):
+            text[at] = f"n{i}x{at}"
+        docs.append((i, " ".join(text)))
+    return docs
+
+
+def test_places_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "_common", lambda docs: np.zeros(0, np.uint64))
+    made, real = {}, ngram_join._verify
+
+    def counted(docs, places, name):
+        made[name] = made.get(name, 0) + places.distinct().count()
+        return real(docs, places, name)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    rows = []
+    for n in (90, 180):
+        made.clear()
+        docs = crowd(n)
+        assert result(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"))) == expected(docs)
+        rows.append((made["stars"], made.get("large", 0)))
+    (few, late), (more, later) = rows
+    assert few > 90 and later <= 180 and late + few > 0 and more + later <= 3 * (few + late)
+
+
+def test_ids_of_several_texts_in_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    docs = crowd(60) + planted(7)
+    docs = [(i * 2**50 - 2**55 if i % 7 else i, t) for i, t in docs]  # gaps of every width
+    bridge = [(docs[1][0], docs[62][1]), (docs[1][0], ""), (docs[2][0], docs[3][1] + " tail"), (docs[4][0], docs[4][1])]
+    got = ngram_join.join(spark.createDataFrame(docs + bridge, "doc_id long, text string")).collect()
+    numbered = [((i, n), t) for n, (i, t) in enumerate(docs + bridge)]
+    component = {k: c[0] for k, (_, c) in expected(numbered).items()}
+    ids, links = {i for i, _ in docs}, {(k[0], c) for k, c in component.items()}
+    parent = {i: i for i in ids}
+    for _ in ids:  # texts of one id are one node
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert {(r.doc_id, r.component_id) for r in got} == set(parent.items())
+
+
+def test_reach_never_cuts_a_link(spark):
+    docs = planted(4) + crowd(30)
+    docs = [(n, t) for n, (_, t) in enumerate(docs) if t]
+    frame = spark.createDataFrame(docs, "id long, text string")
+    reach = {r.id: (r.low, r.reach) for r in ngram_join._reach(frame, frame.select("id")).collect()}
+    sets = {k: ngram_join.shingles(t) for k, t in docs}
+    assert set(reach) == set(sets) and all(reach[k][0] == len(s) for k, s in sets.items())
+    for a in sets:
+        for b in sets:
+            if a != b and ngram_join.linked(sets[a], sets[b]):
+                assert reach[a][0] <= reach[b][1] and reach[b][0] <= reach[a][1]
+    assert sum(low > far for low, far in reach.values()) >= 20  # those with too many n-grams of their own
+
+
 def test_sets_without_allocation_are_joined_by_all_ngrams(spark, monkeypatch):
     docs = planted(5)
     real = ngram_join._signatures

@@ -22,9 +22,14 @@ A bucket never lists its pairs.  It names its smallest member as pivot, and two
 sets of one bucket both stand in the group of its pivot.  Groups are compared
 inside tasks, in blocks of bounded size, on the n-gram sets themselves; what a
 block emits is one link for each set and component.  Equal texts are one set
-from the start, so groups of copies never count by their size, and where a
-group is larger than a block, only sets outside its largest component meet the
-other blocks.  All links between different texts are thus verified.
+from the start, so groups of copies never count by their size.  Where a group
+is larger than a block, only sets outside its largest component meet the other
+blocks, and of those blocks only the ones that they can link with: n-grams that
+no other set of a large group holds are no part of any intersection there, which
+bounds the sizes that a set links with.  A set that links with nothing for the
+n-grams that it has alone is in no block, so such sets cost a pass over their
+n-grams, not one over their group.  All links between different texts are thus
+verified.
 """
 
 from __future__ import annotations
@@ -431,21 +436,14 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
         links = links.union(_verify(own, _pairs_as_places(_by_all_ngrams(own, rest)), "rest"))
     components = stored(connected(links), "components")
 
-    # groups of several blocks: what is outside the largest component meets all blocks
+    # groups of several blocks: what is outside the largest component meets all blocks that it can link with
     large = dealt.where("blocks > 1").select("a", F.col("b").alias("id"))
     if not large.isEmpty():
         members = stored(_labelled(large, components, "id"), "large-groups")
         sizes = members.groupBy("a", "component").agg(F.count("*").alias("n"))
         top = sizes.groupBy("a").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-        top = stored(top.select(F.col("a").alias("p"), F.col("top.component").alias("most"), (F.col("n") - F.col("top.n")).alias("out"), "n").where("out > 0"), "large-tops")
-        cut = members.join(top, F.col("a") == F.col("p")).withColumns(
-            {"outside": F.ceil(F.col("out") / (BLOCK // 2)).cast("int"), "inside": F.ceil(F.col("n") / (BLOCK // 2)).cast("int")}
-        )
-        row, column = F.pmod(F.xxhash64("id", F.lit(1)), F.col("outside")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("inside"))
-        outer = cut.where("component <> most").select("a", F.explode(F.expr("sequence(0, inside - 1)")).alias("c"), row.alias("r"), "id", "inside")
-        inner = cut.select("a", column.alias("c"), F.explode(F.expr("sequence(0, outside - 1)")).alias("r"), "id", "inside")
-        places = outer.union(inner).select("a", (F.col("r") * F.col("inside") + F.col("c")).cast("int").alias("g"), "id")
-        late = _verify(own, places, "large")
+        top = stored(top.where("n > top.n").select(F.col("a").alias("p"), F.col("top.component").alias("most")), "large-tops")
+        late = _verify(own, _outside(own, members.join(top, F.col("a") == F.col("p"))), "large")
         components = stored(connected(components.select(F.col("component").alias("a"), F.col("id").alias("b")).union(late)), "components")
 
     sizes = found.where("kind = 'size'").groupBy(F.col("a").alias("hash"), F.col("b").alias("more")).agg(F.max("n").alias("n_shingles"))
@@ -454,6 +452,63 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.select(F.col("id").alias(id_col), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def _reach(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, low, reach``: a set links with none of ``ids`` whose ``low`` is above its ``reach``.
+
+    ``low`` is the size of its set.  Of its n-grams only those that another of
+    ``ids`` holds can be in an intersection, which bounds the union and so the
+    other's size.  Ids with several texts have the wider bounds of all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
+            sets = [shingles(x) for x in texts]
+            size = np.array([len(s) for s in sets])
+            held = np.concatenate([np.concatenate(sets).view(np.int64), np.zeros(len(sets), np.int64)])
+            owner = np.concatenate([np.repeat(np.arange(len(sets)), size), np.arange(len(sets))])
+            last = np.arange(len(held)) >= size.sum()  # one row for the set itself
+            kinds = [pa.array(held, mask=last), pa.array(np.array(keys, np.int64)[owner]), pa.array(size[owner], mask=~last)]
+            yield pa.RecordBatch.from_arrays(kinds, ["gram", "id", "size"])
+
+    texts = _passing(docs, _bitmap(ids)).join(ids, "id").select("id", "text")
+    held = texts.mapInArrow(lambda batches: lean(run(batches)), "gram long, id long, size long")
+    own = F.when(F.col("gram").isNull(), F.col("id")).alias("own")
+    once = held.groupBy("gram", own).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    each = once.where("n = 1 OR gram IS NULL").groupBy("id").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count("gram").alias("alone"), F.max(F.expr("gram IS NULL AND n > 1")).alias("several")
+    )
+    alone = F.when(F.col("several"), 0).otherwise(F.col("alone"))
+    return stored(each.select("id", "low", F.floor((100 * F.col("high") - (100 + PERCENT) * alone) / PERCENT).alias("reach")), "large-reach")
+
+
+def _outside(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Places in which each set outside its group's largest component meets all sets of the group that it can link with.
+
+    ``members`` has pivot a, id, component and the group's largest component,
+    ``most``.  A group is cut into classes of like size, and a set meets those
+    within its reach that reach it.
+    """
+    bounds = _reach(docs, stored(members.select("id").distinct(), "large-members"))
+    sized = members.join(bounds, "id").withColumn("class", F.floor(F.log(F.greatest("low", F.lit(1))) * 16).cast("int"))
+    sized = stored(sized.select("a", "id", "class", "low", "reach", (F.col("component") != F.col("most")).alias("out")), "large-sizes")
+    each = sized.groupBy("a", "class").agg(F.min("low").alias("least"), F.max("reach").alias("most"), F.count("*").alias("n"))
+    found = sized.where("out").select("a", "id", "low", "reach").join(each, "a").where("least <= reach AND low <= most")
+    found = stored(found.select("a", "class", "id", "n", "low", "reach"), "large-outside")
+    half = BLOCK // 2
+    cut = found.groupBy("a", "class").agg(
+        F.ceil(F.count("*") / half).cast("int").alias("outside"), F.ceil(F.max("n") / half).cast("int").alias("inside"),
+        F.min("low").alias("from"), F.max("reach").alias("to"),
+    )
+    cut = stored(cut, "large-cuts")
+    row, column = F.pmod(F.xxhash64("id", F.lit(1)), F.col("outside")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("inside"))
+    keys = ["a", "class"]
+    outer = found.select(*keys, "id").join(cut, keys).select("*", F.explode(F.expr("sequence(0, inside - 1)")).alias("c"), row.alias("r"))
+    inner = sized.join(cut, keys).where("low <= `to` AND `from` <= reach")
+    inner = inner.select("*", column.alias("c"), F.explode(F.expr("sequence(0, outside - 1)")).alias("r"))
+    g = F.col("r") * F.col("inside") + F.col("c") + F.shiftleft(F.col("class").cast("long"), 40)
+    return outer.select("a", g.alias("g"), "id").union(inner.select("a", g.alias("g"), "id"))
+
+
 def _pairs_as_places(pairs: DataFrame) -> DataFrame:
     """A block for each pair."""
     g = F.xxhash64("b").cast("int")
