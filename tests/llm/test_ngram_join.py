@@ -142,6 +142,19 @@ def test_reach_never_cuts_a_link(spark):
     assert sum(low > far for low, far in reach.values()) >= 20  # those with too many n-grams of their own
 
 
+def test_signatures_are_packed(spark):
+    docs = planted(5)
+    batch = spark.createDataFrame(docs, "id long, text string").coalesce(1).toArrow().combine_chunks().to_batches()
+    sent = [r for b in ngram_join._send(batch, 8, np.zeros(0, np.uint64)) for r in b.to_pylist() if r["part"] >= 0]
+    n = sum(len(ngram_join._unpacked(*list(r.values())[1:])[0]) for r in sent)
+    assert sum(len(v) for r in sent for v in list(r.values())[1:]) < 7.5 * n
+    ids = np.array([-(2**63), -5, -5, 0, 3, 2**40, 2**63 - 1])
+    for some in (ids, ids[1:], ids[1:5], ids[:1], ids[4:6]):
+        sigs, probes = ngram_join._mix(some.view(np.uint64)), some % 2 == 0
+        got = ngram_join._unpacked(*ngram_join._packed(sigs, probes, some))
+        assert (got[0] == sigs >> np.uint64(17)).all() and (got[1] == probes).all() and (got[2] == some).all()
+
+
 def test_sets_without_allocation_are_joined_by_all_ngrams(spark, monkeypatch):
     docs = planted(5)
     real = ngram_join._signatures

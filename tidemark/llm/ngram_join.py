@@ -16,7 +16,9 @@ are never used.
   its own batch (the costs decide which segments are looked up, never what is
   found); where it has fewer, some are looked up with their one-deletion neighbourhoods.  A
   set that cannot reach H + 1 even so is joined by all its n-grams instead.
-* Signatures travel as packed arrays, one row for each batch and bucket.
+* Signatures travel as packed arrays, one row for each batch and bucket: 47 bits
+  of each and the gap to the id before it (signatures that agree by chance cost
+  a comparison, no result).
 
 A bucket never lists its pairs.  It names its smallest member as pivot, and two
 sets of one bucket both stand in the group of its pivot.  Groups are compared
@@ -183,10 +185,27 @@ def _signatures(sets: _Sets, chosen: np.ndarray, band: np.ndarray, need: np.ndar
     return (sigs, owners, flags, failed) if index else (sigs[flags], owners[flags], flags[flags], failed)
 
 
-_SENT = "part int, sigs binary, owners binary, ids binary"
+_SENT = "part int, sigs binary, gaps binary, ids binary"
 _FOUND = "kind string, a long, b long, n long"
 
 
+def _packed(sigs: np.ndarray, probes: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """47 bits of each signature with its probe flag in six bytes, the gaps of the sorted ids in as few as they need, the first id."""
+    gaps = np.diff(ids, prepend=ids[:1]).view(np.uint64)
+    width = next(w for w in ("<u1", "<u2", "<u4", "<u8") if gaps.max() <= np.iinfo(w).max)
+    words = ((sigs >> _U(17)) << _U(1) | probes.astype(np.uint64)).astype("<u8")
+    return words.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), gaps.astype(width).tobytes(), ids[:1].astype("<i8").tobytes()
+
+
+def _unpacked(raw: bytes, gaps: bytes, first: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures (their 47 bits), probe flags and ids."""
+    words = np.zeros((len(raw) // 6, 8), np.uint8)
+    words[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    words = words.view("<u8")[:, 0]
+    ids = np.cumsum(np.frombuffer(gaps, f"<u{len(gaps) // len(words)}").astype(np.uint64), dtype=np.uint64).view(np.int64)
+    return words >> _U(1), (words & _ONE).astype(bool), ids + np.frombuffer(first, "<i8")
+
+
 def _send(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Signatures by bucket, packed; under negative buckets the texts' sizes, and the sets without an allocation."""
     for ids, texts in rows(in_slices(batches, "text", SLICE_BYTES), "id", "text"):
@@ -198,9 +217,9 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) ->
         a = _signatures(sets, own, sets.band, _differ(2 * sets.size) + 1, True)
         b = _signatures(sets, lower, under, _differ(sets.size + _BANDS[sets.band] - 1) + 1, False)
         sigs = np.concatenate([a[0], b[0]])
-        owners = (np.concatenate([a[1], b[1]]) << 1 | np.concatenate([a[2], b[2]])).astype("<u4")
+        owners, probes = keys[np.concatenate([a[1], b[1]])], np.concatenate([a[2], b[2]])
         part = (sigs % _U(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((owners, part))
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         digests = np.array([xxhash.xxh64_intdigest(x or "", seed) for x in texts for seed in _SEEDS], dtype=np.uint64)
         out = [(-1 - int(_mix(digests[:1])[0] % _U(parts)), sets.size.astype("<i8").tobytes(), b"", digests.tobytes())]
@@ -209,11 +228,9 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, common: np.ndarray) ->
         for p in range(parts):
             if cuts[p] < cuts[p + 1]:
                 some = order[cuts[p] : cuts[p + 1]]
-                there, local = np.unique(owners[some] >> 1, return_inverse=True)
-                packed = (local.astype("<u4") << 1 | (owners[some] & 1)).astype("<u2" if len(there) < 1 << 15 else "<u4")
-                out.append((p, sigs[some].tobytes(), packed.tobytes(), keys[there].tobytes()))
+                out.append((p, *_packed(sigs[some], probes[some], owners[some])))
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], ["part", "sigs", "owners", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], ["part", "sigs", "gaps", "ids"])
 
 
 def _table(kind: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.Table:
@@ -235,19 +252,13 @@ def _meet(table: pa.Table, parts: int) -> pa.Table:
     candidates; "rest" rows are sets without allocation.
     """
     part = table["part"][0].as_py()
-    blobs = [table[n].to_pylist() for n in ("sigs", "owners", "ids")]
+    blobs = [table[n].to_pylist() for n in ("sigs", "gaps", "ids")]
     if part == -1 - parts:
         return _table("rest", np.concatenate([np.frombuffer(x, np.int64) for x in blobs[2]]), None, None)
     if part < 0:
         size, digests = (np.concatenate([np.frombuffer(x, np.int64) for x in xs]) for xs in (blobs[0], blobs[2]))
         return _table("size", digests[::2], digests[1::2], size)
-    sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs[0]])
-    ids, probes = [], []
-    for raw, packed, keys in zip(*blobs):
-        own = np.frombuffer(packed, "<u2" if len(packed) * 4 == len(raw) else "<u4")
-        ids.append(np.frombuffer(keys, np.int64)[own >> 1])
-        probes.append(own & 1)
-    ids, probes = np.concatenate(ids), np.concatenate(probes).astype(bool)
+    sigs, probes, ids = (np.concatenate(x) for x in zip(*map(_unpacked, *blobs)))
     order = np.argsort(sigs, kind="stable")
     again = sigs[order][1:] == sigs[order][:-1]
     shared = np.concatenate([again, [False]]) | np.concatenate([[False], again])
